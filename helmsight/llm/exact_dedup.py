@@ -57,9 +57,12 @@ def exact_dedup(
         F.collect_list("_c").alias("_all")
     )
     mine = F.filter("_all", lambda c: c["own"] == F.col("_own"))
+    # the computed key keeps the join from reusing the partitioning above: both its sides get
+    # exchanges of its own, which adaptive execution can split where one digest is hot
+    routed = routed.select(F.concat("_digest").alias("_key"), "_all")
     found = (
         rows.select("_id", "_digest", second().alias("_own"), F.sha2("_text", 256).alias("_sha"))
-        .join(routed, "_digest")
+        .join(routed, F.col("_digest") == F.col("_key"))
         .withColumn("_mine", F.when(F.size(mine) == 1, mine[0]).otherwise(F.raise_error(F.lit("different texts share both digests"))))
     )
     keep = F.col("_mine._keep")

@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import chat_format, warc
+from .common import work_path
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .lm_score import lm_scores
 from .near_dedup import near_duplicates
+from .sentencepiece_np import encode_documents
 from .token_count import token_counts
+from .toxicity import toxicity, train
 from .url_filter import url_filter
 
 #: The rules of the url query: verdict, host, path. Fixed values.
@@ -33,6 +39,57 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(column: str, n: int):
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), use=_remainder("doc_id", 4) != 2)
+    return toxicity(docs, model, threshold=0.3).select(
+        "doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", F.size("sentences").cast("long").alias("n_offending")
+    )
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    captures = warc.assemble(warc.read_archives(spark, path, payloads=False)).select(
+        "capture_id",
+        F.get_json_object(F.col("metadata.payload").cast("string"), "$.id").cast("long").alias("page_id"),
+        F.col("response.type").alias("record_type"),
+        F.col("response.refers_to").alias("refers"),
+        F.when(F.col("response.type") == "revisit", F.col("response.stated_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.when(F.col("response.type") == "revisit", F.substring_index("response.stated_digest", ":", -1))
+        .otherwise(F.col("response.payload_digest"))
+        .alias("payload_digest"),
+    )
+    originals = captures.filter("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"))
+    return captures.join(originals, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    events = rows.withColumn("seq", F.row_number().over(order)).select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("message"), "role", "text")
+    back = chat_format.read_back(chat_format.render(chat_format.fold(events)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,6 +114,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), learn=_remainder("doc_id", 5) != 1)
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -68,6 +129,22 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+#: Base32 of a SHA-1: 32 groups of 5 bits of its 160.
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (
+  SELECT *, list_aggregate(list_transform(range(0, 40), lambda i: lpad(bin(CAST(strpos('0123456789abcdef', hex[i + 1]) - 1 AS BIGINT)), 4, '0')), 'string_agg', '') AS bits FROM p),
+d AS (
+  SELECT *, list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT)
+      + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT)]), 'string_agg', '') AS payload_digest FROM b),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 OP4_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -113,6 +190,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(role) + 9 + CASE WHEN role = 'user' THEN 15 ELSE 0 END + length(regexp_replace(
+    regexp_replace(text, '<(\\*)(/?s>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g')) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP8_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -132,13 +224,25 @@ SELECT doc_id, n.n AS n_shingles, component_id, doc_id = component_id AS kept FR
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_warc": op2_warc,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_url_filter": op4_url_filter,
         "op5_decontamination": op5_decontamination,
+        "op6_chat_format": op6_chat_format,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_near_dedup": op8_near_dedup,
+        "op9_lm_score": op9_lm_score,
         "op10_token_count": op10_token_count,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_near_dedup": OP8_SQL}
+    return {
+        "op2_warc": OP2_SQL,
+        "op3_exact_dedup": OP3_SQL,
+        "op4_url_filter": OP4_SQL,
+        "op5_decontamination": OP5_SQL,
+        "op6_chat_format": OP6_SQL,
+        "op8_near_dedup": OP8_SQL,
+    }
