@@ -144,3 +144,17 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         run, f"id {kind.simpleString()}, score double, predicted int, sentences array<struct<start: int, end: int, score: double>>"
     )
     return out.withColumnRenamed("id", id_col)
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below the threshold. Nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        model = sent.value
+        for batch in batches:
+            clean = [model.score(t.as_py() or "")[0] < threshold for t in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
