@@ -8,9 +8,11 @@
 3. Stars: in each bucket all members are compared with its smallest one. Sketches
    discard pairs that are far below the threshold, full sets confirm the others.
 4. Crossings: members of one bucket that the stars left in different components are
-   compared pair by pair, again first by sketch inside the join. Pairs inside one
-   component could add nothing to the result, so a group of n near copies costs n
-   comparisons and not n * n.
+   compared in tasks that take a bucket, or two blocks of a large one, at a time: by
+   sketch, then by what their sets have in common. A pair counts in the first band that
+   it shares, and only pairs at the threshold leave the task, to be confirmed on full
+   sets. Pairs inside one component could add nothing to the result, so they are passed
+   over: a group of n near copies costs n comparisons and not n * n.
 
 With 40 bands of 5 rows a pair at 0.8 is in no common bucket with probability 1.3e-7.
 The sketch lets through what lies within 5.5 standard deviations of the threshold.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,8 @@ from .components import components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: width of an odd sketch
 SKETCH_BITS = 512
+#: rows of a bucket in one block; a task holds two blocks at most, whatever the bucket's size
+BLOCK_ROWS = 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,6 +143,60 @@ def sketch_distance(a: Column, b: Column) -> Column:
     return total
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the columns ``by``, from sorted batches."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        if rest is not None:
+            t = pa.concat_tables([rest, t])
+        marks = np.stack([t.column(c).to_numpy() for c in by])
+        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+        bounds = [0, *cuts.tolist(), t.num_rows]
+        for x, y in zip(bounds[:-2], bounds[1:-1], strict=True):
+            yield t.slice(x, y - x)
+        rest = t.slice(bounds[-2])
+    if rest is not None:
+        yield rest
+
+
+def crossing_pairs(group: pa.Table, far: int, per_mille: int) -> tuple[list[int], list[int]]:
+    """Row numbers of the pairs of a bucket (or of two of its blocks) that may reach the threshold.
+
+    Pairs of one root are left out, and pairs that share an earlier band. What two sets
+    have in common is counted on the upper halves of their hashes, which can be too low
+    only where two of one set's hashes agree there; two such cases are allowed for.
+    """
+    wide = lambda name, kind, width: group.column(name).combine_chunks().flatten().to_numpy().view(kind).reshape(-1, width)
+    n = group.num_rows
+    root = group.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+    own = group.column("own").to_numpy()
+    split = group.column("first")[0].as_py() != group.column("second")[0].as_py()
+    band = group.column("band")[0].as_py()
+    sketch, size = wide("sketch", np.uint64, SKETCH_BITS // 64), group.column("n").to_numpy()
+    keys = wide("keys", np.int64, len(group.column("keys")[0]))
+    small = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("small")]
+    a, b = [], []
+    for i in range(n - 1):
+        rest = slice(i + 1, n)
+        ok = root[rest] != root[i]
+        if split:
+            ok &= own[rest] != own[i]
+        if not ok.any():
+            continue
+        js = np.flatnonzero(ok) + i + 1
+        js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= far]
+        js = js[(keys[js] == keys[i]).argmax(axis=1) == band]
+        for j in js.tolist():
+            common = len(np.intersect1d(small[i], small[j], assume_unique=True)) + 2
+            if common * 10_000 >= (int(size[i]) + int(size[j]) - common) * per_mille:
+                a.append(i)
+                b.append(j)
+    return a, b
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -193,7 +252,18 @@ def near_duplicates(
     def sets_of(batches):
         for ids, texts in blocks(batches, 1_000_000):
             sets = shingle_sets(texts, shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_id), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
+            small = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, arrow_id), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(small, pa.binary())],
+                ["id", "n", "set", "small"],
+            )
+
+    def cross(batches):
+        for group in groups_of(batches, ["key", "first", "second"]):
+            a, b = crossing_pairs(group, far, per_mille)
+            if len(a):
+                ids = group.column("id")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)).combine_chunks() for x in (a, b)], ["a", "b"])
 
     id_sql = kind.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -205,7 +275,7 @@ def near_duplicates(
         .agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    keyed = classes.select("id", F.explode("keys").alias("key"))
+    keyed = classes.select("id", F.posexplode("keys").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     shared = written(keyed.join(buckets, "key"), "buckets")
 
@@ -215,7 +285,7 @@ def near_duplicates(
     stars = shared.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     stars = stars.join(side(sketches, "b", "sketch"), "b").join(side(sketches, "a", "sketch"), "a").filter(close).select("a", "b")
 
-    full_sets = written(texts.join(shared.select("id").distinct(), "id").select("id", "text").mapInArrow(sets_of, f"id {id_sql}, set array<long>"), "sets")
+    full_sets = written(texts.join(shared.select("id").distinct(), "id").select("id", "text").mapInArrow(sets_of, f"id {id_sql}, n int, set array<long>, small binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side(full_sets, "b", "set"), "b").join(side(full_sets, "a", "set"), "a")
@@ -225,12 +295,17 @@ def near_duplicates(
 
     links = written(confirmed(stars), "stars")
     roots = components(links)
-    placed = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
-    open_rows = written(placed.join(mixed_keys, "key").join(sketches, "id"), "crossings")
-    ends = [open_rows.select("key", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    crossing = ends[0].join(ends[1], (ends[0]["key"] == ends[1]["key"]) & (F.col("root_a") > F.col("root_b")) & close)
-    more = confirmed(crossing.select("a", "b").distinct())
+    placed = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
+    open_keys = open_keys.filter("r0 < r1").select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
+    open_rows = written(placed.join(open_keys, "key"), "crossings")
+    known = classes.select("id", "keys", "sketch").join(full_sets.select("id", "n", "small"), "id")
+    rows_of = open_rows.join(known, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    with_all = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grouped = with_all.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "band", "id", "root", "n", "sketch", "keys", "small")
+    grouped = grouped.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
+    crossing = grouped.mapInArrow(cross, f"a {id_sql}, b {id_sql}")
+    more = written(confirmed(crossing), "crossed")
     # an id that comes with several sets ties them together
     marks = feats.filter("mark is not null and id is not null").select("id", "mark")
     by_mark = classes.select("mark", F.col("id").alias("class"))
