@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,13 +41,15 @@ SCORED, COUNTED, HELD_OUT = 0, 1, 2
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Numbers with all first bytes together, then all second ones and so on, which compresses well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    """Numbers with all first bytes together, then all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    size = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class Block:
@@ -54,6 +57,10 @@ class Block:
 
     def __init__(self, terms: np.ndarray, codes: np.ndarray, lengths: np.ndarray, use: np.ndarray):
         self.terms, self.codes, self.lengths, self.use = terms, codes, lengths, use
+
+    def index(self) -> Block:
+        """Work out the sorted keys of the block's words and pairs, and where each token finds its own."""
+        terms, codes, lengths, use = self.terms, self.codes, self.lengths, self.use
         starts = np.cumsum(lengths) - lengths
         before = np.empty_like(codes)
         before[1:] = codes[:-1]
@@ -65,14 +72,19 @@ class Block:
         self.word_keys = mixed(with_begin) | np.uint64(1)
         pairs = mixed(with_begin[before] * _ODD + terms[codes]) & ~np.uint64(1)
         self.keys, at = np.unique(np.concatenate([self.word_keys, pairs]), return_inverse=True)
+        at = at.astype(np.int32)
         self.word_at, self.pair_at = at[: len(with_begin)], at[len(with_begin) :]
+        return self
 
     @classmethod
     def of_texts(cls, texts: list[str], use: np.ndarray) -> Block:
         each = [WORD.findall(t.translate(ASCII_LOWER)) for t in texts]
         lengths = np.fromiter(map(len, each), np.int64, len(each)) + 1
         ends = np.cumsum(lengths) - 1
-        codes, terms = pd.factorize(np.array([w for ws in each for w in ws], dtype=object))
+        flat = np.array(list(chain.from_iterable(each)), dtype=object)
+        del each
+        codes, terms = pd.factorize(flat)
+        del flat
         hashes = mixed(pd.util.hash_array(np.asarray(terms, dtype=object), categorize=False)) if len(terms) else np.empty(0, np.uint64)
         rank = np.empty(len(terms), np.int64)  # frequent terms get small numbers
         order = np.argsort(-np.bincount(codes, minlength=len(terms)), kind="stable")
@@ -152,7 +164,7 @@ BLOCK = T.StructType(
 )
 
 
-def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 10_000_000, keys_per_range: int = 3_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 5_000_000, keys_per_range: int = 2_000_000) -> DataFrame:
     """One row per row of ``docs``: id_col, held_out (not learned from), n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words, A-Z lower-cased, and one end. base_score is the add-half
@@ -199,7 +211,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         get = lambda name: batch.column(batch.schema.get_field_index(name))[i].as_py()
         return Block(
             np.frombuffer(get("terms"), np.uint64), unpacked(get("codes"), np.int32), unpacked(get("lengths"), np.int32).astype(np.int64), np.frombuffer(get("use"), np.int8)
-        )
+        ).index()
 
     def range_of(keys: np.ndarray) -> np.ndarray:
         return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
