@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import chat_format, warc
-from .common import work_path
+from .common import work_path, written
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .lm_score import lm_scores
@@ -54,7 +54,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0)
-    captures = warc.assemble(warc.read_archives(spark, path, payloads=False)).select(
+    records = written(warc.read_archives(spark, path, payloads=False), "records")  # parsed once, though assembly looks at it several times
+    captures = warc.assemble(records).select(
         "capture_id",
         F.get_json_object(F.col("metadata.payload").cast("string"), "$.id").cast("long").alias("page_id"),
         F.col("response.type").alias("record_type"),
@@ -64,8 +65,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("response.payload_digest"))
         .alias("payload_digest"),
     )
-    originals = captures.filter("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"))
-    return captures.join(originals, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    originals = captures.filter("record_type = 'response'").select(F.col("capture_id").alias("key"), F.col("page_id").alias("refers_to"))
+    # responses refer to nothing; a key of their own keeps them from meeting as nulls in one task
+    captures = captures.withColumn("key", F.coalesce("refers", F.concat(F.lit("none "), "capture_id")))
+    return captures.join(originals, "key", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
