@@ -29,6 +29,8 @@ MARK = "▁"
 _BASE = np.uint64(0x100000001B3)
 #: Longer units are encoded one by one; the result is the same.
 BATCHED_LENGTH = 128
+#: Units whose ids are remembered between blocks; a matter of speed only.
+REMEMBERED = 300_000
 NO_PIECE = np.float64(-np.inf)
 
 
@@ -54,6 +56,7 @@ class Model:
     dummy_prefix: bool = True
     byte_fallback: bool = True
     usable: dict[str, int] = field(init=False)
+    known: dict[str, list[int]] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
         self.usable = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in (1, 4)}
@@ -275,7 +278,11 @@ class Model:
         number: dict[str, int] = {}
         setdefault = number.setdefault
         codes = [[setdefault(u, len(number)) for u in self.units(t)] for t in texts]
-        each = self.encode_units(list(number))
+        new = [u for u in number if u not in self.known]
+        self.known.update(zip(new, self.encode_units(new), strict=True))
+        each = list(map(self.known.__getitem__, number))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         starts = np.cumsum(sizes) - sizes
         flat = np.fromiter((i for ids in each for i in ids), np.int32, int(sizes.sum()))
