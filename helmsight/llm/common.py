@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,20 @@ def drop_work(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def coded(words: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Numbers of the words in the order of first sight, and the distinct words.
+
+    Arrow compares whole strings; pandas' factorize would end them at a NUL.
+    """
+    d = pa.array(words, pa.string()).dictionary_encode()
+    return d.indices.to_numpy(), d.dictionary.to_pylist()
+
+
+def word_hashes(terms: list[str]) -> np.ndarray:
+    """64-bit hashes of words, the same on every machine."""
+    return pd.util.hash_array(np.array(terms, dtype=object), categorize=False) if terms else np.empty(0, np.uint64)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
     """Cut Arrow batches of (id, text) into runs of rows of about so many characters.
 

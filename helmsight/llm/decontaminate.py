@@ -19,14 +19,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, blocks, written
+from .common import ASCII_LOWER, blocks, coded, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -56,7 +55,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             each = [words(t) for t in texts]
             lengths = np.fromiter(map(len, each), np.int64, len(each))
             starts = np.concatenate(([0], np.cumsum(lengths + 1))).astype(np.int32)
-            codes, terms = pd.factorize(np.array([w for ws in each for w in ws], dtype=object))
+            codes, terms = coded([w for ws in each for w in ws])
             where = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(each), dtype=np.int32), lengths)
             order = np.argsort(codes.astype(np.int32), kind="stable")
             offsets = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(terms))))).astype(np.int32)
@@ -66,7 +65,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [
                     pa.array([uuid.uuid4().hex]),
                     pa.array([keys], pa.list_(id_type)),
-                    pa.array([list(terms)], pa.list_(pa.string())),
+                    pa.array([terms], pa.list_(pa.string())),
                     *(pa.array([x.tobytes()], pa.binary()) for x in (starts, offsets, gaps)),
                 ],
                 ["segment", "ids", "terms", "starts", "offsets", "gaps"],

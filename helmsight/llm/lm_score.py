@@ -22,13 +22,12 @@ import uuid
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, blocks, written
+from .common import ASCII_LOWER, blocks, coded, word_hashes, written
 from .near_dedup import mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,11 +80,9 @@ class Block:
         each = [WORD.findall(t.translate(ASCII_LOWER)) for t in texts]
         lengths = np.fromiter(map(len, each), np.int64, len(each)) + 1
         ends = np.cumsum(lengths) - 1
-        flat = np.array(list(chain.from_iterable(each)), dtype=object)
+        codes, terms = coded(list(chain.from_iterable(each)))
         del each
-        codes, terms = pd.factorize(flat)
-        del flat
-        hashes = mixed(pd.util.hash_array(np.asarray(terms, dtype=object), categorize=False)) if len(terms) else np.empty(0, np.uint64)
+        hashes = mixed(word_hashes(terms))
         rank = np.empty(len(terms), np.int64)  # frequent terms get small numbers
         order = np.argsort(-np.bincount(codes, minlength=len(terms)), kind="stable")
         rank[order] = np.arange(1, len(terms) + 1)

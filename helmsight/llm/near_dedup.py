@@ -26,13 +26,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, blocks, written
+from .common import ASCII_LOWER, blocks, coded, word_hashes, written
 from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,9 +57,8 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     Fewer words: the whole sequence is the one shingle. No words: the set is empty.
     """
     each = [WORD.findall(t.translate(ASCII_LOWER)) for t in texts]
-    codes, terms = pd.factorize(np.array([w for ws in each for w in ws], dtype=object))
-    hashes = pd.util.hash_array(np.asarray(terms, dtype=object), categorize=False) if len(terms) else np.empty(0, np.uint64)
-    flat = mixed(hashes)[codes] if len(codes) else np.empty(0, np.uint64)
+    codes, terms = coded([w for ws in each for w in ws])
+    flat = mixed(word_hashes(terms))[codes]
     joined = flat[: max(0, len(flat) - n + 1)].copy()
     for k in range(1, n):
         joined = joined * _ODD + flat[k : k + len(joined)]

@@ -76,7 +76,7 @@ def fit(bags: list[list[str]] | pa.ChunkedArray, toxic: np.ndarray, least_docs:
     toxic = np.asarray(toxic, bool)
     n_toxic = int(toxic.sum())
     if not n_toxic:
-        return Model({}, 0.0 if not n_docs else 1.0 / (n_docs + 2))
+        return Model({}, 0.0)
     in_docs = np.bincount(word, minlength=n_words)
     in_toxic = np.bincount(word[toxic[doc]], minlength=n_words)
     shown = np.bincount(word, weights=times, minlength=n_words) + prior
@@ -89,7 +89,7 @@ def fit(bags: list[list[str]] | pa.ChunkedArray, toxic: np.ndarray, least_docs:
         total = np.bincount(d, weights=h[w] * x, minlength=n_toxic) + leak
         share = 1.0 / -np.expm1(-np.maximum(total, 1e-12))
         h = np.bincount(w, weights=h[w] * x * share[d], minlength=n_words) / shown
-        leak = float((leak * share).sum() / (n_docs + prior))
+        leak = float((leak * share).sum() / (n_docs + 20))  # as if 20 clean documents more had been seen
     words = coded.dictionary.to_pylist()
     return Model({words[i]: float(h[i]) for i in np.flatnonzero(h > 1e-3)}, -float(np.expm1(-leak)))
 
