@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-DATA = os.environ.get("TEST_DATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
