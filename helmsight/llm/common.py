@@ -43,15 +43,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._helmsight_path = path
+    return out
 
 
-def drop_work(df: DataFrame) -> None:
-    """Delete the files of a table that `written` made and nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/helmsight-" in f}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def as_written(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, which is columns of a written table, as what `discard` takes."""
+    df._helmsight_path = table._helmsight_path
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `written` made, once all that was made from them is written too."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._helmsight_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def coded(words: list[str]) -> tuple[np.ndarray, list[str]]:

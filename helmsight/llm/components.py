@@ -11,22 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import as_written, discard, written
 
 
 def _flattened(parent: DataFrame) -> DataFrame:
-    """parent: (node, root) trees, root < node. The same with all nodes on their tree's root."""
+    """parent: written (node, root) trees, root < node, which are discarded. The same with all nodes on their tree's root; a written table."""
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
         jumped = parent.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
         jumped = written(jumped, "trees")
-        parent = jumped.select("node", "root")
+        discard(parent)
         if jumped.filter("moved").isEmpty():
-            return parent
+            return jumped
+        parent = jumped
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: (a, b). Rows (node, root) for each node but its component's smallest, which is the root."""
+    """links: (a, b). A written table of rows (node, root) for each node but its component's smallest, which is the root."""
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     roots = None
     while not edges.isEmpty():
@@ -34,12 +35,18 @@ def components(links: DataFrame) -> DataFrame:
         hooked = both.groupBy("a").agg(F.min("b").alias("root")).filter("root < a").select(F.col("a").alias("node"), "root")
         tree = _flattened(written(hooked, "trees"))
         if roots is None:
-            roots = tree
+            roots = tree  # not discarded until it is superseded
         else:
-            moved = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            roots = written(roots.join(moved, "root", "left").select("node", F.coalesce("above", "root").alias("root")).union(tree), "roots")
+            moved, before = tree.select(F.col("node").alias("root"), F.col("root").alias("above")), roots
+            roots = written(roots.join(moved, "root", "left").select("node", F.coalesce("above", "root").alias("root")).union(tree.select("node", "root")), "roots")
         a = tree.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = tree.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        led = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        past, edges = edges, written(led.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        discard(past)
+        if roots is not tree:
+            discard(before, tree)
+    if roots is None:
+        return as_written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), edges)
+    discard(edges)
+    return as_written(roots.select("node", "root"), roots)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, blocks, coded, word_hashes, written
+from .common import ASCII_LOWER, blocks, coded, discard, word_hashes, written
 from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -292,8 +292,8 @@ def near_duplicates(
         return both.filter(common * 10_000 >= union * per_mille).select("a", "b")
 
     links = written(confirmed(stars), "stars")
-    roots = components(links)
-    placed = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
+    first_roots = components(links)
+    placed = shared.join(first_roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
     open_keys = open_keys.filter("r0 < r1").select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
     open_rows = written(placed.join(open_keys, "key"), "crossings")
@@ -311,6 +311,7 @@ def near_duplicates(
     several = own.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("a")).filter("a > b").select("id")
     tied = own.join(several, "id").select(F.col("class").alias("a"), F.col("id").alias("b"))
     roots = components(links.union(more).union(tied))
+    discard(classes, shared, full_sets, links, open_rows, more, first_roots)
 
     member = own.groupBy("id").agg(F.min("class").alias("class"))
     found = feats.select("id", "n").join(member, "id", "left").join(roots.select(F.col("node").alias("class"), "root"), "class", "left")

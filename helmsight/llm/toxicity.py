@@ -16,6 +16,7 @@ fitted, the sentence scores say where a document offends.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,19 +61,21 @@ class Model:
         return 1.0 - (1.0 - self.leak) * float(np.exp(-total)), found
 
 
-def fit(bags: list[list[str]] | pa.ChunkedArray, toxic: np.ndarray, least_docs: int = 3, prior: float = 2.0, rounds: int = 200) -> Model:
-    """Hazards from bags of words (one entry per word and sentence) and their labels.
+def bag(text: str) -> Counter:
+    """In how many sentences of a text each word occurs."""
+    return Counter(w for _, _, ws in sentences(text) for w in set(ws))
+
+
+def fit(words: pa.ListArray, times: np.ndarray, toxic: np.ndarray, least_docs: int = 3, prior: float = 2.0, rounds: int = 200) -> Model:
+    """Hazards from the documents' words, how often each entry of them occurs, and the labels.
 
     Words of fewer than ``least_docs`` documents are left out. ``prior`` counts as so
     many clean sentences with each word. Without toxic examples all hazards are 0.
     """
-    flat = pa.concat_arrays([c if isinstance(c, pa.ListArray) else c.cast(pa.list_(pa.string())) for c in bags.chunks]) if isinstance(bags, pa.ChunkedArray) else pa.array(bags, pa.list_(pa.string()))
-    lengths = np.diff(flat.offsets.to_numpy())
-    coded = flat.flatten().dictionary_encode()
-    word, doc = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(flat)), lengths)
-    n_words, n_docs = len(coded.dictionary), len(flat)
-    key, times = np.unique(doc * max(n_words, 1) + word, return_counts=True)
-    doc, word = key // max(n_words, 1), key % max(n_words, 1)
+    n_docs = len(words)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(words.offsets.to_numpy()))
+    coded = words.flatten().dictionary_encode()
+    word, n_words = coded.indices.to_numpy(), len(coded.dictionary)
     toxic = np.asarray(toxic, bool)
     n_toxic = int(toxic.sum())
     if not n_toxic:
@@ -95,7 +98,7 @@ def fit(bags: list[list[str]] | pa.ChunkedArray, toxic: np.ndarray, least_docs:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 12_000
+    docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 10_000
 ) -> Model:
     """Fit on at most ``most`` labelled documents: those of smallest hash among the rows of ``labels`` that ``use`` admits.
 
@@ -108,11 +111,14 @@ def train(
 
     def bags(batches):
         for batch in batches:
-            words = [[w for _, _, ws in sentences(t or "") for w in set(ws)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
+            each = [bag(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([list(b) for b in each], pa.list_(pa.string())), pa.array([list(b.values()) for b in each], pa.list_(pa.int32()))],
+                ["y", "words", "times"],
+            )
 
-    got = rows.select(F.col("_y").cast("int").alias("_y"), "_text").mapInArrow(bags, "y int, words array<string>").toArrow()
-    return fit(got.column("words"), got.column("y").to_numpy() > 0)
+    got = rows.select(F.col("_y").cast("int").alias("_y"), "_text").mapInArrow(bags, "y int, words array<string>, times array<int>").toArrow()
+    return fit(got.column("words").combine_chunks(), got.column("times").combine_chunks().flatten().to_numpy(), got.column("y").to_numpy() > 0)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

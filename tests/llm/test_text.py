@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,8 +44,8 @@ def test_noisy_or_learns_sentences():
             k = r.randrange(10)
             s[k] += " " + r.choice(bad)
         texts.append(". ".join(s))
-    bags = [[w for _, _, ws in toxicity.sentences(t) for w in set(ws)] for t in texts]
-    m = toxicity.fit(bags, np.array(labels))
+    bags = [toxicity.bag(t) for t in texts]
+    m = toxicity.fit(pa.array([list(b) for b in bags]), np.array([n for b in bags for n in b.values()]), np.array(labels))
     assert set(sorted(m.hazard, key=m.hazard.get)[-3:]) == set(bad)
     score, found = m.score("Fine words here. You AWFUL thing! Fine again")
     (start, end, p), = [f for f in found if f[2] >= 0.3]
@@ -64,7 +65,7 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(empty_docs(spark), m).count() == 0
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.train(odd_docs(spark), labels, F.lit(True)).hazard == {}
-    assert toxicity.fit([], np.array([])).leak == 0.0
+    assert toxicity.fit(pa.array([], pa.list_(pa.string())), np.array([]), np.array([])).leak == 0.0
     kept = toxicity.reject_toxic(odd_docs(spark), m)
     assert kept.columns == odd_docs(spark).columns and kept.count() == len(ODD)
 
