@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 
 @dataclass(frozen=True)
 class Last:
@@ -35,7 +37,8 @@ class Sum:
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None = None, **wanted: Last | Sum) -> DataFrame:
     columns = df.columns
     if chunk is not None:
-        df = df.withColumn("_chunk", chunk)
+        # read twice below; stored once, so that rounds that follow one another do not double the work each time
+        df = stored(df.withColumn("_chunk", chunk))
     inside = [*keys, "_chunk"] if chunk is not None else list(keys)
     window = W.partitionBy(*inside).orderBy(*order)
 

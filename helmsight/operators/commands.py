@@ -36,6 +36,11 @@ def body_writes(body: DataFrame) -> DataFrame:
     return _writes(body, w7=F.col("linear_x"), w8=F.col("angular_z"), kind=F.lit("body"), stop=ticks(F.col("body_speed_duration")))
 
 
+def drive_writes(both: DataFrame) -> DataFrame:
+    """Speed and LED commands that came together, as one write each; timeouts are left to the driver's log."""
+    return _writes(both, w7=F.col("linear_x"), w8=F.col("angular_z"), kind=F.lit("body"), user_led=F.col("a"), r=F.col("r"), g=F.col("g"), b=F.col("b"))
+
+
 def joint_writes(joint: DataFrame) -> DataFrame:
     """One row per command, without any shuffle: of a wheel that is named twice the last velocity counts.
 

@@ -1,8 +1,10 @@
-"""The driver's tick: what command frame it sends (ST1, ST4-8).
+"""The driver's tick: what command frame it sends (CMD1-5, ST1, ST4-8).
 
-The state looks recursive but a timeout depends only on the last valid command, so the
-whole is running last values: of the commands, then of the writes including the zeros
-that timeouts and disarming write.
+The state looks recursive but a timeout depends only on the last valid command. So parameter
+changes, commands and ticks become one log, and the frames are three rounds of running
+values over it, in one partitioning and order: parameters and tick numbers; the last
+command; the last write of each speed slot, where the zeros of timeouts and of disarming
+are writes too. Commands between ticks need no folding: the last write of a slot wins.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import LED_START
 from ..functions.running import Last, Sum, running
-from .commands import SLOTS
+from ..sources.topics import DEFAULTS
+from .commands import SLOTS, ticks
+from .params import accepted
 
-KEYS, ORDER = ["robot_id"], ["ts", "event_id"]
+KEYS, ORDER = ["robot_id"], ["ts", "event_id", "rank"]
 PARAMETERS = {"speed_limit_mode": "int", "hold": "boolean", "arm_robot": "boolean"}
+TIMED = {**PARAMETERS, "body_speed_duration": "double"}
 
 
 def mode(kind: Column, limit: Column) -> Column:
@@ -23,44 +28,37 @@ def mode(kind: Column, limit: Column) -> Column:
     return F.when(kind == "body", 1.0).otherwise(0.0) + F.when(limit == 0, 0.0).otherwise(2.0)
 
 
-def fold_into_ticks(ticks: DataFrame, writes: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """``ticks`` (robot_id, event_id, ts, ...) with the writes that came since the tick before.
+def driver_log(tick_rows: DataFrame, writes: DataFrame, changes: DataFrame) -> DataFrame:
+    """One log of all that a driver takes in.
 
-    Several commands in between: the last write of each slot, kind and stop of the last
-    valid one. A command with a tick's own (ts, event_id) comes before it. Commands after the
-    last tick are dropped. Adds n, the tick's number from 1, and the columns of writes.
+    At equal (ts, event_id) changes come first, then writes, then the tick. ``writes`` of
+    kind body have their timeout from the parameter, whatever their stop says.
     """
-    cols = [*SLOTS, "kind", "stop"]
-    keys = [*KEYS, *ORDER]
-    w = writes.select(*keys, *cols, F.lit(0).alias("_tick"))
-    t = ticks.withColumn("_tick", F.lit(1))
-    both = t.unionByName(w, allowMissingColumns=True)
-    both = running(both, KEYS, [*ORDER, "_tick"], chunk, _n=Sum("_tick"))
-    both = both.withColumn("n", F.col("_n") + 1 - F.col("_tick"))
-    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(*ORDER, "_tick", c)))[c].alias(c)
-    # kind marks valid commands, so stop goes with the last kind even where it is null
-    ended = F.max(F.when(F.col("kind").isNotNull(), F.struct(*ORDER, "kind", "stop")))
-    own = [c for c in t.columns if c not in (*KEYS, "_tick")]
-    tick = F.max(F.when(F.col("_tick") == 1, F.struct(*own)))
-    grouped = both.groupBy(*KEYS, "n").agg(tick.alias("_own"), *(last(c) for c in SLOTS), ended["kind"].alias("kind"), ended["stop"].alias("stop"))
-    return grouped.filter("_own is not null").select(*KEYS, "n", *(F.col("_own")[c].alias(c) for c in own), *SLOTS, "kind", "stop")
+    said = changes.filter(accepted("driver") & F.col("name").isin(*TIMED)).select(
+        "robot_id", "event_id", "ts", F.lit(0).alias("rank"), *(F.when(F.col("name") == n, F.col("value")).try_cast(t).alias(n) for n, t in TIMED.items())
+    )
+    wrote = writes.select("robot_id", "event_id", "ts", F.lit(1).alias("rank"), *SLOTS, "kind", "stop")
+    came = tick_rows.select("robot_id", "event_id", "ts", F.lit(2).alias("rank"), F.lit(1).alias("tick"))
+    return said.unionByName(wrote, allowMissingColumns=True).unionByName(came, allowMissingColumns=True)
 
 
-def command_frames(ticks: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """``ticks``: robot_id, n, event_id, ts, the write columns, and the parameters as of the tick.
-
-    One frame per tick, whatever was received. Adds timed_out.
-    """
-    d = ticks.withColumn("_cmd", F.when(F.col("kind").isNotNull(), F.struct("n", "kind", "stop")))
+def command_frames(log: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """One frame per tick of a `driver_log`, whatever was received. Adds n, the tick's number from 1, and timed_out."""
+    d = running(log, KEYS, ORDER, chunk, _n=Sum("tick"), **{f"_{n}": Last(n) for n in TIMED})
+    now = {n: F.coalesce(f"_{n}", F.lit(DEFAULTS["driver"][n]).try_cast(t)) for n, t in TIMED.items()}
+    is_tick = F.col("tick").isNotNull()
+    # a command counts from the first tick after it
+    d = d.withColumns({**now, "n": F.col("_n") + F.when(is_tick, 0).otherwise(1)})
+    stop = F.when(F.col("kind") == "body", ticks(F.col("body_speed_duration"))).otherwise(F.col("stop"))
+    d = d.withColumn("_cmd", F.when(F.col("kind").isNotNull(), F.struct("n", "kind", stop.alias("stop"))))
     d = running(d, KEYS, ORDER, chunk, _last=Last("_cmd"), **{f"_{c}": Last(c) for c in LED_START})
-    stop = F.coalesce(F.col("_last.stop"), F.lit(0))
-    out_of_time = F.coalesce((stop > 0) & (F.col("n") - F.col("_last.n") + 1 > stop), F.lit(False))
-    d = d.withColumn("timed_out", out_of_time)
-    zero = F.col("timed_out") | ~F.col("arm_robot")
+    over = F.coalesce((F.col("_last.stop") > 0) & (F.col("n") - F.col("_last.n") + 1 > F.col("_last.stop")), F.lit(False))
+    d = d.withColumn("timed_out", over)
+    zero = is_tick & (F.col("timed_out") | ~F.col("arm_robot"))
     d = d.withColumns({f"_x{s}": F.when(zero, F.lit(0.0)).otherwise(F.col(f"w{s}")) for s in "78"})
     d = running(d, KEYS, ORDER, chunk, _s7=Last("_x7"), _s8=Last("_x8"))
     flag = lambda c: F.when(F.col(c), 1.0).otherwise(0.0)
-    return d.select(
+    return d.filter(is_tick).select(
         "robot_id", "n", "event_id", mode(F.col("_last.kind"), F.col("speed_limit_mode")).alias("mode"),
         *(F.coalesce(f"_{c}", F.lit(start)).alias(c) for c, start in LED_START.items()),
         flag("arm_robot").alias("enable"), flag("hold").alias("hold"),

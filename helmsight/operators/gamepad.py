@@ -37,19 +37,21 @@ def speeds(rt: Column, lt: Column, lla: Column) -> tuple[Column, Column]:
     return throttle, F.when(~ahead & back, -steer * lla).otherwise(steer * lla) + 0.0
 
 
-def motion(armed_samples: DataFrame) -> DataFrame:
-    """cmd_vel messages, one per sample."""
+def motion(armed_samples: DataFrame, also: tuple[Column, ...] = ()) -> DataFrame:
+    """cmd_vel messages, one per sample, with other columns of it."""
     throttle, steering = speeds(F.col("rt"), F.col("lt"), F.col("lla"))
     on = F.col("armed")
-    return armed_samples.select("robot_id", "event_id", "ts", when_armed(on, throttle).alias("linear_x"), when_armed(on, steering).alias("angular_z"))
+    return armed_samples.select("robot_id", "event_id", "ts", when_armed(on, throttle).alias("linear_x"), when_armed(on, steering).alias("angular_z"), *also)
+
+
+def led_columns(on: Column) -> tuple[Column, ...]:
+    """Green while armed, else blue."""
+    return F.lit(0.0).alias("r"), F.when(on, 1.0).otherwise(0.0).alias("g"), F.when(on, 0.0).otherwise(1.0).alias("b"), F.lit(1.0).alias("a")
 
 
 def leds(armed_samples: DataFrame) -> DataFrame:
-    """LED messages, one per sample: green while armed, else blue."""
-    on = F.col("armed")
-    return armed_samples.select(
-        "robot_id", "event_id", "ts", F.lit(0.0).alias("r"), F.when(on, 1.0).otherwise(0.0).alias("g"), F.when(on, 0.0).otherwise(1.0).alias("b"), F.lit(1.0).alias("a")
-    )
+    """LED messages, one per sample."""
+    return armed_samples.select("robot_id", "event_id", "ts", *led_columns(F.col("armed")))
 
 
 def manual_drive(samples: DataFrame, chunk: Column | None = None) -> tuple[DataFrame, DataFrame]:

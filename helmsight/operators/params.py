@@ -46,15 +46,19 @@ def batch_results(checked: DataFrame) -> DataFrame:
     return checked.groupBy("batch").agg(F.bool_and("ok").alias("successful"), F.coalesce(F.max_by(F.when(~F.col("ok"), F.col("reason")), F.when(~F.col("ok"), F.col("pos"))), F.lit("")).alias("reason"))
 
 
+def accepted(node: str) -> Column:
+    """Whether a change (name, value) is one that a running node accepts."""
+    return rejection(F.lit(node), F.col("name"), F.col("value"), F.lit(True)).isNull()
+
+
 def as_of(rows: DataFrame, changes: DataFrame, types: dict[str, str], node: str = "driver", chunk: Column | None = None) -> DataFrame:
     """``rows`` with the value of each parameter in ``types`` as of the row: the last accepted change at or before it.
 
     changes: robot_id, event_id, ts, name, value. One union and one window, no range join.
     A change counts for the row with its own (ts, event_id). Extra columns of ``rows`` stay.
     """
-    good = rejection(F.lit(node), F.col("name"), F.col("value"), F.lit(True)).isNull()
     keys = ["robot_id", "ts", "event_id"]
-    said = changes.filter(good & F.col("name").isin(*types)).select(*keys, *(F.when(F.col("name") == n, F.col("value")).alias(f"_p_{n}") for n in types), F.lit(0).alias("_row"))
+    said = changes.filter(accepted(node) & F.col("name").isin(*types)).select(*keys, *(F.when(F.col("name") == n, F.col("value")).alias(f"_p_{n}") for n in types), F.lit(0).alias("_row"))
     both = rows.withColumn("_row", F.lit(1)).unionByName(said, allowMissingColumns=True)
     out = running(both, ["robot_id"], ["ts", "event_id", "_row"], chunk, **{f"_v_{n}": Last(f"_p_{n}") for n in types})
     default = DEFAULTS[node]

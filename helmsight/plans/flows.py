@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from ..operators import commands, driver, gamepad, params
+from pyspark.sql import functions as F
 
+from ..operators import commands, driver, gamepad
 
-def drive(ticks: DataFrame, writes: DataFrame, changes: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Command frames from ticks, write rows and parameter changes."""
-    folded = driver.fold_into_ticks(ticks, writes, chunk)
-    return driver.command_frames(params.as_of(folded, changes, driver.PARAMETERS, chunk=chunk), chunk)
+
+def writes(body: DataFrame, led: DataFrame, joint: DataFrame | None = None) -> DataFrame:
+    """Write rows of the command topics; timeouts of body commands are left to the driver's log."""
+    out = commands.body_writes(body.withColumn("body_speed_duration", F.lit(None).cast("double"))).unionByName(commands.led_writes(led))
+    return out if joint is None else out.unionByName(commands.joint_writes(joint))
 
 
-def all_writes(body: DataFrame, joint: DataFrame, led: DataFrame, changes: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Write rows of the three command topics; body durations are read at command time."""
-    timed = params.as_of(body, changes, {"body_speed_duration": "double"}, chunk=chunk)
-    return commands.body_writes(timed).unionByName(commands.joint_writes(joint)).unionByName(commands.led_writes(led))
+def drive(ticks: DataFrame, wrote: DataFrame, changes: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """Command frames from ticks, write rows and parameter changes."""
+    return driver.command_frames(driver.driver_log(ticks, wrote, changes), chunk)
 
 
 def gamepad_to_frames(samples: DataFrame, ticks: DataFrame, changes: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Gamepad -> toggle -> speed and LED commands -> tick machine -> command frames."""
-    body, led = gamepad.manual_drive(samples, chunk)
-    timed = params.as_of(body, changes, {"body_speed_duration": "double"}, chunk=chunk)
-    return drive(ticks, commands.body_writes(timed).unionByName(commands.led_writes(led)), changes, chunk)
+    armed = gamepad.with_armed(gamepad.decoded(samples), chunk)
+    both = gamepad.motion(armed, also=gamepad.led_columns(F.col("armed")))
+    return drive(ticks, commands.drive_writes(both), changes, chunk)

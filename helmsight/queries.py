@@ -432,7 +432,7 @@ def _(s, d):
 def _form(s: SparkSession, d: str, between: bool, chunk=None) -> DataFrame:
     e = ev.events(s, d)
     changes = ev.parameter_changes(e)
-    writes = flows.all_writes(ev.body_commands(e), ev.joint_commands(e), ev.led_commands(e), changes, chunk)
+    writes = flows.writes(ev.body_commands(e), ev.led_commands(e), ev.joint_commands(e))
     ticks = e.filter("event_type in ('view', 'error', 'signup')") if between else e
     return flows.drive(ticks.select("robot_id", "event_id", "ts"), writes, changes, chunk)
 

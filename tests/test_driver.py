@@ -23,7 +23,7 @@ def run(spark, log, chunk=None):
     led = spark.createDataFrame(pick("led"), LED_COMMAND)
     changes = spark.createDataFrame([(*a, "driver", x[1], str(x[2]).lower()) for a, x in zip(at, log, strict=True) if x[0] == "set"], PARAMETER)
     ticks = spark.createDataFrame([(*a,) for a, x in zip(at, log, strict=True) if x[0] == "tick"], "robot_id long, event_id long, ts timestamp_ntz")
-    frames = flows.drive(ticks, flows.all_writes(body, joint, led, changes), changes, chunk)
+    frames = flows.drive(ticks, flows.writes(body, led, joint), changes, chunk)
     return [r.asDict() for r in frames.orderBy("n").collect()]
 
 

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from compare import DATA
 from helmsight import queries as q
-from helmsight.operators import gamepad, params, routing, telemetry
-from helmsight.plans import flows
+from helmsight.operators import commands, gamepad, params, routing, telemetry
 from helmsight.sources import events as ev
 from helmsight.sources.topics import stream_topic
 from helmsight.streaming import processors, sinks
@@ -64,7 +63,8 @@ def test_driver(configured, tmp_path):
     # what one event sets is one row
     one = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
     per_event = good.groupBy("robot_id", "event_id", "ts").agg(one("arm_robot").alias("arm_robot"), one("hold").alias("hold"), one("speed_limit_mode").alias("speed_limit_mode"))
-    writes = flows.all_writes(ev.body_commands(e), ev.joint_commands(e), ev.led_commands(e), raw)
+    timed = params.as_of(ev.body_commands(e), raw, {"body_speed_duration": "double"})
+    writes = commands.body_writes(timed).unionByName(commands.joint_writes(ev.joint_commands(e))).unionByName(commands.led_writes(ev.led_commands(e)))
     rows = processors.driver_rows(per_event, writes, e)
     got = finish(processors.live(streamed(configured, rows, tmp_path), processors.Driver()), "driver", tmp_path)
     equal(got, q.queries()["st8_command_frames"](configured, SF), ["robot_id", "event_id", "n", "mode", "user_led", "r", "g", "b", "enable", "hold", "s7", "s8"])
