@@ -39,6 +39,22 @@ STEPS, LOWEST = 4, 48
 SCORED, COUNTED, HELD_OUT = 0, 1, 2
 
 
+#: terms of a block that are numbered by frequency
+HEAD = 4096
+
+
+def packed_terms(terms: np.ndarray) -> bytes:
+    """The end and the frequent terms as they are, the others, which are sorted, as differences."""
+    head, rest = terms[: HEAD + 1], terms[HEAD + 1 :]
+    return packed(np.concatenate([head, np.diff(rest, prepend=np.uint64(0))]))
+
+
+def unpacked_terms(data: bytes) -> np.ndarray:
+    terms = unpacked(data, np.uint64).copy()
+    terms[HEAD + 1 :] = np.cumsum(terms[HEAD + 1 :])
+    return terms
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers with all first bytes together, then all second ones and so on, compressed."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
@@ -83,8 +99,10 @@ class Block:
         codes, terms = coded(list(chain.from_iterable(each)))
         del each
         hashes = mixed(word_hashes(terms))
-        rank = np.empty(len(terms), np.int64)  # frequent terms get small numbers
+        # the frequent terms get small numbers, the others are in the order of their hashes; both compress
+        rank = np.empty(len(terms), np.int64)
         order = np.argsort(-np.bincount(codes, minlength=len(terms)), kind="stable")
+        order[HEAD:] = order[HEAD:][np.argsort(hashes[order[HEAD:]], kind="stable")]
         rank[order] = np.arange(1, len(terms) + 1)
         every = np.zeros(int(lengths.sum()), np.int32)
         words = np.ones(len(every), bool)
@@ -192,7 +210,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
                 [
                     pa.array([uuid.uuid4().hex]),
                     *(pa.array([x], pa.int64()) for x in (len(b.codes), *n)),
-                    *(pa.array([x], pa.binary()) for x in (b.terms.tobytes(), packed(b.codes), packed(b.lengths.astype(np.int32)), used.tobytes())),
+                    *(pa.array([x], pa.binary()) for x in (packed_terms(b.terms), packed(b.codes), packed(b.lengths.astype(np.int32)), used.tobytes())),
                     pa.array([ids], pa.list_(arrow_id)),
                 ],
                 schema.names,
@@ -207,7 +225,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     def opened(batch: pa.RecordBatch, i: int) -> Block:
         get = lambda name: batch.column(batch.schema.get_field_index(name))[i].as_py()
         return Block(
-            np.frombuffer(get("terms"), np.uint64), unpacked(get("codes"), np.int32), unpacked(get("lengths"), np.int32).astype(np.int64), np.frombuffer(get("use"), np.int8)
+            unpacked_terms(get("terms")), unpacked(get("codes"), np.int32), unpacked(get("lengths"), np.int32).astype(np.int64), np.frombuffer(get("use"), np.int8)
         ).index()
 
     def range_of(keys: np.ndarray) -> np.ndarray:
