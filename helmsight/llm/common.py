@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,28 +10,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.shared import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: str.translate table that lower-cases A-Z and nothing else
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor see.
-
-    It is ``spark.checkpoint.dir`` where the session names one. Only a
-    local-mode session (tests) may go without; it then gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="helmsight-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/helmsight-{name}-{uuid.uuid4().hex}"
 
