@@ -68,6 +68,10 @@ def render(messages: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> Da
 
     loss_spans are the 0-based [start, end) code points of ``formatted`` that are learned
     from: the texts of the roles in ``learned``, without marks.
+
+    A conversation becomes one text, so its turns meet in one task; what was logged of each
+    message has been folded before, apart for each message. Equal positions: in the order of
+    role and text. Null roles and texts are empty; no messages: no rows.
     """
     role = F.coalesce("role", F.lit(""))
     before = F.concat(F.lit("<s>"), _role_out(role), F.when(role == "user", F.lit("\n[INST] ")).otherwise(F.lit("\n")))

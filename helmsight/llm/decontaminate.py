@@ -152,7 +152,7 @@ def search(index: DataFrame, chunk: list[tuple], id_type: T.DataType, window: in
     owners: dict[tuple[int, ...], set[str]] = {}
     for key, text in chunk:
         for w in windows(words(text), window):
-            owners.setdefault(tuple(numbers.setdefault(x, len(numbers)) for x in w), set()).add(str(key))
+            owners.setdefault(tuple(numbers.setdefault(x, len(numbers)) for x in w), set()).add("null" if key is None else str(key))
     sent = index.sparkSession.sparkContext.broadcast((list(numbers), list(owners), [sorted(x) for x in owners.values()]))
 
     def run(batches):
@@ -243,7 +243,7 @@ def contamination(
     searched against the whole index; blocks only add hits, so their union is exact.
 
     * null and empty texts have no words, no hits and no items; null and empty items match nothing;
-    * items that repeat a text all count, items that repeat an id count once;
+    * items that repeat a text all count, items that repeat an id count once, items without an id are named "null";
     * repeated rows of ``docs`` are told apart and reported each; null ids stay;
     * an empty benchmark leaves all documents clean; an empty table gives no rows;
     * other columns are ignored, whatever their names.

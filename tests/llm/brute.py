@@ -56,7 +56,7 @@ def contaminated(docs, items, size=10):
     queries = []
     for key, text in items:
         w = bench_words(text)
-        queries += [(str(key), tuple(w[i : i + size])) for i in range(max(1, len(w) - size + 1))] if w else []
+        queries += [("null" if key is None else str(key), tuple(w[i : i + size])) for i in range(max(1, len(w) - size + 1))] if w else []
     out = {}
     for i, text in docs:
         w, hits, found = bench_words(text), set(), set()

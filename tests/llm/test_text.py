@@ -85,7 +85,7 @@ def test_contamination(spark):
     r = random.Random(5)
     v = [f"W{i}" for i in range(30)]
     docs = [(i, " ".join(r.choice(v) for _ in range(r.randint(0, 80)))) for i in range(60)]
-    items = [(i, " ".join(docs[r.randrange(60)][1].split()[3:20])) for i in range(15)] + [(50, "w1, W2!"), (51, ""), (52, None), (53, "w1 w2"), (53, "absent word"), (54, docs[0][1])]
+    items = [(i, " ".join(docs[r.randrange(60)][1].split()[3:20])) for i in range(15)] + [(50, "w1, W2!"), (51, ""), (52, None), (53, "w1 w2"), (53, "absent word"), (54, docs[0][1]), (None, "w3 w4")]
     docs += [(100 + i, t) for i, t in enumerate(ODD)]
     want = brute.contaminated(docs, items)
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumn("segment", F.lit(0))
