@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import ASCII_LOWER, blocks, coded, discard, word_hashes, written
 from .components import components
@@ -291,27 +290,26 @@ def near_duplicates(
         union = F.size("set_a") + F.size("set_b") - common
         return both.filter(common * 10_000 >= union * per_mille).select("a", "b")
 
-    links = written(confirmed(stars), "stars")
-    first_roots = components(links)
+    first_roots = components(confirmed(stars))  # each (node, root) row is as good as the links that made it
     placed = shared.join(first_roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
     open_keys = open_keys.filter("r0 < r1").select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    open_rows = written(placed.join(open_keys, "key"), "crossings")
+    open_rows = placed.join(open_keys, "key")
     known = classes.select("id", "keys", "sketch").join(full_sets.select("id", "n", "small"), "id")
     rows_of = open_rows.join(known, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     with_all = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = with_all.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "band", "id", "root", "n", "sketch", "keys", "small")
     grouped = grouped.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
     crossing = grouped.mapInArrow(cross, f"a {id_sql}, b {id_sql}")
-    more = written(confirmed(crossing), "crossed")
+    more = confirmed(crossing)
     # an id that comes with several sets ties them together
     marks = feats.filter("mark is not null and id is not null").select("id", "mark")
     by_mark = classes.select("mark", F.col("id").alias("class"))
     own = written(marks.join(by_mark, "mark").select("id", "class").distinct(), "members")
     several = own.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("a")).filter("a > b").select("id")
     tied = own.join(several, "id").select(F.col("class").alias("a"), F.col("id").alias("b"))
-    roots = components(links.union(more).union(tied))
-    discard(classes, shared, full_sets, links, open_rows, more, first_roots)
+    roots = components(first_roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(tied))
+    discard(classes, shared, full_sets, first_roots)
 
     member = own.groupBy("id").agg(F.min("class").alias("class"))
     found = feats.select("id", "n").join(member, "id", "left").join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
