@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, blocks, coded, word_hashes, written
+from .common import ASCII_LOWER, blocks, coded, packed, unpacked, word_hashes, written
 from .near_dedup import mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,18 +55,6 @@ def unpacked_terms(data: bytes) -> np.ndarray:
     return terms
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Numbers with all first bytes together, then all second ones and so on, compressed."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    planes = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 class Block:
     """Tokens of a block of documents; token 0 is the end, -1 stands for the begin."""
 

@@ -1,27 +1,37 @@
 """Token counts for byte-level BPE without materialising ids.
 
-A text is cut into pre-tokens; merges never cross them, so a document's count is
-the sum over its pre-tokens of their own counts. In each block of documents the
-pre-token frequencies of every document are kept, each distinct pre-token of the
-block is counted once by the library, and the two are joined and summed. Nothing
-is shuffled. A worker remembers a bounded number of counts between blocks.
+A text is cut into pre-tokens; merges never cross them, so a document's count is the
+sum over its pre-tokens of their own counts. Each distinct pre-token of the corpus is
+counted once by the library:
+
+1. documents are packed into blocks of a bounded number of characters: the block's
+   distinct pre-tokens, and for each document which of them it holds and how often;
+2. blocks send their distinct pre-tokens, cut into hash ranges; the reducer of a range
+   counts the pieces of each distinct one once and answers every block;
+3. blocks join the answers to their documents' frequencies and sum.
+
+A block sends a pre-token once however often it holds it, and hashes spread evenly, so
+no frequent pre-token makes a task large.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blocks
+from .common import blocks, packed, unpacked, word_hashes, written
 
 #: The pre-token pattern of byte-level BPE; fixed value.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Counts that a worker remembers; a matter of speed only.
-REMEMBERED = 200_000
 
 
 class PieceCounter:
@@ -39,7 +49,6 @@ class PieceCounter:
         special = sorted((x["content"] for x in said["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[str, int] = {}
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """Pre-token frequencies of a text, and how many special strings it holds."""
@@ -50,24 +59,38 @@ class PieceCounter:
             counts.update(self.pattern.findall(part))
         return counts, n
 
-    def count(self, pre_tokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pre_tokens, add_special_tokens=False)]
+    def count(self, pre_tokens: list[str]) -> np.ndarray:
+        """Pieces of each pre-token."""
+        out = []
+        for start in range(0, len(pre_tokens), 20_000):
+            out += [len(e.ids) for e in self.tokenizer.encode_batch_fast(pre_tokens[start : start + 20_000], add_special_tokens=False)]
+        return np.array(out, np.uint32)
 
-    def block(self, texts: list[str]) -> list[int]:
-        each = [self.frequencies(t) for t in texts]
-        new = list(set().union(*(c.keys() for c, _ in each)).difference(self.known))
-        known = self.known
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            known.update(zip(part, self.count(part), strict=True))
-        out = [n + sum(map(int.__mul__, map(known.__getitem__, c), c.values())) for c, n in each]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
+
+@lru_cache(maxsize=2)
+def counter_of(spec: str) -> PieceCounter:
+    """One counter per worker and file."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return PieceCounter(spec)
+
+
+def strings_out(tokens: pa.StringArray) -> tuple[bytes, bytes]:
+    """Lengths and characters of strings, compressed."""
+    offsets = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+    data = tokens.buffers()[2] or b""
+    return packed(np.diff(offsets).astype(np.uint32)), packed(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]])
+
+
+def strings_in(lengths: bytes, characters: bytes) -> pa.StringArray:
+    sizes = unpacked(lengths, np.uint32)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(unpacked(characters, np.uint8).tobytes()))
 
 
 def token_counts(
-    docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024
+    docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, block_chars: int = 6_000_000, tokens_per_range: int = 400_000
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -76,29 +99,104 @@ def token_counts(
     Very long texts are a block of their own. Repeated rows are counted each; an empty
     table gives no rows; other columns are ignored.
     """
-    with open(tokenizer_file, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        import os
+    from pyspark.sql.pandas.types import to_arrow_type
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = None
-        for ids, texts in blocks(batches, 6_000_000):
-            counter = counter or PieceCounter(sent.value)
-            n = counter.block(texts)
+    spark = docs.sparkSession
+    with open(tokenizer_file, encoding="utf-8") as f:
+        sent = spark.sparkContext.broadcast(f.read())
+    kind = docs.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
+    binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
+    schema = T.StructType(
+        [T.StructField("block", T.StringType()), T.StructField("distinct", T.LongType()), T.StructField("ids", T.ArrayType(kind))]
+        + binary("bytes", "specials", "sizes", "held", "times", "lengths", "characters")
+    )
+
+    def pack(batches):
+        for ids, texts in blocks(batches, block_chars):
+            counter = counter_of(sent.value)
+            each = [counter.frequencies(t) for t in texts]
+            tokens = sorted(set().union(*(c for c, _ in each)))  # neighbours are alike, which compresses
+            number = {t: i for i, t in enumerate(tokens)}
+            held, times = [], []
+            for c, _ in each:
+                own = np.fromiter(map(number.__getitem__, c), np.int32, len(c))
+                order = np.argsort(own)
+                held.append(np.diff(own[order], prepend=np.int32(0)))
+                times.append(np.fromiter(c.values(), np.uint32, len(c))[order])
+            columns = [
+                np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64),
+                np.array([n for _, n in each], np.int64),
+                np.array([len(c) for c, _ in each], np.int64),
+                np.concatenate(held),
+                np.concatenate(times),
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, id_type),
-                    pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array([x > limit for x in n], pa.bool_()),
+                    pa.array([uuid.uuid4().hex]),
+                    pa.array([len(tokens)], pa.int64()),
+                    pa.array([ids], pa.list_(id_type)),
+                    *(pa.array([packed(c)], pa.binary()) for c in columns),
+                    *(pa.array([x], pa.binary()) for x in strings_out(pa.array(tokens, pa.string()))),
                 ],
-                [id_col, "n_bytes", "n_tokens", "over_limit"],
+                schema.names,
             )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    packs = written(docs.select(id_col, text_col).mapInArrow(pack, schema), "frequencies")
+    total = packs.agg(F.sum("distinct")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // tokens_per_range))
+
+    def send(batches):
+        for batch in batches:
+            for name, lengths, characters in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = strings_in(lengths, characters)
+                if not len(tokens):
+                    continue
+                part = ((word_hashes(tokens.to_pylist()) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                order = np.argsort(part, kind="stable")
+                part = part[order].astype(np.int64)
+                cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                runs = [order[x:y] for x, y in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
+                texts = [strings_out(tokens.take(pa.array(r))) for r in runs]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part[cuts]),
+                        pa.array([name] * len(cuts), pa.string()),
+                        pa.array([packed(np.diff(r, prepend=0).astype(np.int32)) for r in runs], pa.binary()),
+                        *(pa.array([t[k] for t in texts], pa.binary()) for k in (0, 1)),
+                    ],
+                    ["range", "block", "places", "lengths", "characters"],
+                )
+
+    def answer(table: pa.Table) -> pa.Table:
+        each = [strings_in(a.as_py(), b.as_py()) for a, b in zip(table.column("lengths"), table.column("characters"), strict=True)]
+        coded = pa.concat_arrays(each).dictionary_encode()
+        pieces = counter_of(sent.value).count(coded.dictionary.to_pylist())  # each distinct pre-token once
+        found = np.split(pieces[coded.indices.to_numpy()], np.cumsum([len(e) for e in each])[:-1])
+        return pa.table({"block": table.column("block"), "places": table.column("places"), "pieces": pa.array([packed(f) for f in found], pa.binary())})
+
+    asked = packs.select("block", "lengths", "characters").mapInArrow(send, "range long, block string, places binary, lengths binary, characters binary")
+    answers = asked.groupBy("range").applyInArrow(answer, "block string, places binary, pieces binary")
+    parts = answers.groupBy("block").agg(F.collect_list(F.struct("places", "pieces")).alias("parts"))  # of one block's own pre-tokens
+    own = ["distinct", "ids", "bytes", "specials", "sizes", "held", "times"]
+    # a block whose texts are all empty has nothing to ask
+    joined = packs.select("block", *own).join(parts, "block", "left").select(*own, "parts")
+
+    def add_up(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                pieces = np.zeros(row["distinct"], np.int64)
+                for p in row["parts"] or []:
+                    pieces[np.cumsum(unpacked(p["places"], np.int32))] = unpacked(p["pieces"], np.uint32)
+                sizes, steps, times = unpacked(row["sizes"], np.int64), unpacked(row["held"], np.int32).astype(np.int64), unpacked(row["times"], np.uint32)
+                ends = np.cumsum(sizes)
+                places = np.cumsum(steps)
+                before = np.concatenate(([0], places))[ends - sizes]  # each document's numbers start again from 0
+                products = np.concatenate(([0], np.cumsum(pieces[places - np.repeat(before, sizes)] * times)))
+                n = products[ends] - products[ends - sizes] + unpacked(row["specials"], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["ids"], id_type), pa.array(unpacked(row["bytes"], np.int64)), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"]
+                )
+
+    out = joined.mapInArrow(add_up, f"id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return out.withColumnRenamed("id", id_col)
