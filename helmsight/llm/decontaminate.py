@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, blocks, coded, written
+from .common import ascii_lower, blocks, coded, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(ASCII_LOWER))
+    return WORD.findall(ascii_lower(text or ""))
 
 
 def windows(item: list[str], size: int) -> list[tuple[str, ...]]:
@@ -202,7 +202,7 @@ def search(index: DataFrame, chunk: list[tuple], id_type: T.DataType, window: in
 
 def proximity(index: DataFrame, queries: dict[str, list[str]], id_type: T.DataType, within: int) -> DataFrame:
     """Rows (doc, query, ends): where all words of a query lie within so many words, in any order."""
-    asked = {name: [w.translate(ASCII_LOWER) for w in dict.fromkeys(ws)] for name, ws in queries.items() if ws}
+    asked = {name: [ascii_lower(w) for w in dict.fromkeys(ws)] for name, ws in queries.items() if ws}
 
     def run(batches):
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, blocks, coded, packed, unpacked, word_hashes, written
+from .common import ascii_lower, blocks, coded, packed, unpacked, word_hashes, written
 from .near_dedup import mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,7 +81,7 @@ class Block:
 
     @classmethod
     def of_texts(cls, texts: list[str], use: np.ndarray) -> Block:
-        each = [WORD.findall(t.translate(ASCII_LOWER)) for t in texts]
+        each = [WORD.findall(ascii_lower(t)) for t in texts]
         lengths = np.fromiter(map(len, each), np.int64, len(each)) + 1
         ends = np.cumsum(lengths) - 1
         codes, terms = coded(list(chain.from_iterable(each)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, blocks, coded, discard, word_hashes, written
+from .common import ascii_lower, blocks, coded, discard, word_hashes, written
 from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,7 +55,7 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
 
     Fewer words: the whole sequence is the one shingle. No words: the set is empty.
     """
-    each = [WORD.findall(t.translate(ASCII_LOWER)) for t in texts]
+    each = [WORD.findall(ascii_lower(t)) for t in texts]
     codes, terms = coded([w for ws in each for w in ws])
     flat = mixed(word_hashes(terms))[codes]
     joined = flat[: max(0, len(flat) - n + 1)].copy()

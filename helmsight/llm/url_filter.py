@@ -15,7 +15,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ASCII_LOWER
+from .common import ascii_lower
 
 _END_OF_HOST = re.compile(r"[/?#]")
 _END_OF_PATH = re.compile(r"[?#]")
@@ -27,7 +27,7 @@ def split_url(url: str | None) -> tuple[str, str]:
     if not found:
         return "", ""
     host = _END_OF_HOST.split(rest, maxsplit=1)[0]
-    return host.translate(ASCII_LOWER), _END_OF_PATH.split(rest[len(host) :], maxsplit=1)[0]
+    return ascii_lower(host), _END_OF_PATH.split(rest[len(host) :], maxsplit=1)[0]
 
 
 class _PathNode:
@@ -56,7 +56,7 @@ class UrlTrie:
             if verdict not in ("allow", "block"):
                 raise ValueError(f"verdict {verdict!r} is neither allow nor block")
             node = self.root
-            for label in reversed(host.translate(ASCII_LOWER).split(".")):
+            for label in reversed(ascii_lower(host).split(".")):
                 node = node.next.setdefault(label, _HostNode())
             node.paths = at = node.paths or _PathNode()
             *whole, last = path.split("/")
