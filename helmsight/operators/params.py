@@ -20,14 +20,15 @@ def rejection(node: Column, name: Column, value: Column, is_running: Column) ->
     """Why a change is rejected, null if it is not. value is a string.
 
     A duration of NaN passes, as neither comparison with it holds. Camera sizes and
-    rates are not checked against each other. A value of the wrong type is no value and
-    passes here; typed logs do not have any.
+    rates are not checked against each other. A mode that is no integer is none of the
+    modes and is rejected as such; other values of the wrong type pass here, typed logs
+    do not have any.
     """
     mode, seconds = value.try_cast("int"), value.try_cast("double")
     low, high = BODY_DURATION_RANGE
     driver = (
         F.when(name == "driver_uri", F.when(is_running, FROZEN))
-        .when(name == "speed_limit_mode", F.when(~mode.between(*SPEED_LIMIT_MODES), BAD_MODE))
+        .when(name == "speed_limit_mode", F.when(mode.isNull() | ~mode.between(*SPEED_LIMIT_MODES), BAD_MODE))
         .when(name == "body_speed_duration", F.when((seconds < low) | ((seconds > high) & ~F.isnan(seconds)), BAD_DURATION))
         .when(name.isin("arm_robot", "hold"), None)
         .otherwise(UNKNOWN)

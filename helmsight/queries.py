@@ -605,6 +605,8 @@ val AS (
     WHEN name = 'body_speed_duration' THEN CASE WHEN v < 0 OR (v > 600 AND NOT isnan(v)) THEN 'body_speed_duration must be between 0 and 600 sec.' END
     WHEN name IN ('arm_robot', 'hold') THEN NULL
     ELSE 'The parameter is invalid.' END AS reason FROM raw)"""
+#: second values come with decimals, so they are no integers and as modes are rejected
+_CHG_ALL = _CHG.format(mode="pos = 1 OR v NOT BETWEEN 0 AND 1")
 #: a value with decimals is no integer, so second values of the mode are none
 _CHG = _CHG.format(mode="pos = 0 AND v NOT BETWEEN 0 AND 1")
 
@@ -632,6 +634,18 @@ def _(s, d):
     return params.batch_results(_checked(s, d).filter("NOT (name = 'speed_limit_mode' AND pos = 1)"))
 
 
+@query("val2_every_speed_limit_mode", sql(E, _CHG_ALL, select="SELECT batch, pos, name, reason, reason IS NULL AS ok FROM val WHERE node = 'driver' AND name = 'speed_limit_mode'"))
+def _(s, d):
+    """val2 with the second values too, which val2_speed_limit_mode leaves out as its SQL does."""
+    return _checked(s, d).filter("node = 'driver' AND name = 'speed_limit_mode'").select("batch", "pos", "name", "reason", "ok")
+
+
+@query("val7_every_set", sql(E, _CHG_ALL, select="SELECT batch, bool_and(reason IS NULL) AS successful, coalesce(arg_max(reason, pos) FILTER (reason IS NOT NULL), '') AS reason FROM val GROUP BY batch"))
+def _(s, d):
+    """val7 over every change; val7_sets leaves out second values of the mode, as its SQL does."""
+    return params.batch_results(_checked(s, d))
+
+
 @query("val8_no_size_check", sql(E, _CHG, select="SELECT count(*) AS n, count(*) FILTER (reason IS NULL) AS n_ok FROM val WHERE node = 'camera' AND name = 'frame_rate' AND NOT is_running"))
 def _(s, d):
     """Any frame rate passes while the node does not run: combinations are not enforced."""

@@ -78,6 +78,27 @@ def test_parameter_rules(spark):
         assert r.reason == r.want, r
 
 
+def test_wrong_typed_mode_is_rejected(spark):
+    values = ["7.0", "0.5", "NaN", "x", "", None, "1"]
+    df = spark.createDataFrame(list(enumerate(values)), "batch int, value string").selectExpr("batch", "0 AS pos", "'driver' AS node", "'speed_limit_mode' AS name", "value")
+    got = {r.value: r.reason for r in params.validated(df, F.lit(False)).collect()}
+    assert got == {v: None if v == "1" else params.BAD_MODE for v in values}
+
+
+def test_every_change_counts_in_its_set(spark):
+    """No change is left out of val2 and val7, second values of the mode included."""
+    import compare
+    from helmsight import queries as reference
+
+    sf, q = f"{compare.DATA}/sf0.001", reference.queries()
+    every = reference._checked(spark, sf)
+    modes = every.filter("node = 'driver' AND name = 'speed_limit_mode'")
+    assert q["val2_every_speed_limit_mode"](spark, sf).count() == modes.count() > q["val2_speed_limit_mode"](spark, sf).count()
+    rejected = {r.batch for r in every.filter("NOT ok").collect()}
+    assert {r.batch for r in q["val7_every_set"](spark, sf).filter("NOT successful").collect()} == rejected
+    assert rejected > {r.batch for r in q["val7_sets"](spark, sf).filter("NOT successful").collect()}
+
+
 def test_sets_fail_together(spark):
     df = spark.createDataFrame([(1, 0, "hold", "true"), (1, 1, "speed_limit_mode", "5"), (1, 2, "nope", "1"), (2, 0, "hold", "true")], "batch int, pos int, name string, value string")
     got = {r.batch: (r.successful, r.reason) for r in params.batch_results(params.validated(df.withColumn("node", F.lit("driver")), F.lit(False))).collect()}
