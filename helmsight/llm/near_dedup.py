@@ -163,8 +163,9 @@ def crossing_pairs(group: pa.Table, far: int, per_mille: int) -> tuple[list[int]
     """Row numbers of the pairs of a bucket (or of two of its blocks) that may reach the threshold.
 
     Pairs of one root are left out, and pairs that share an earlier band. What two sets
-    have in common is counted on the upper halves of their hashes, which can be too low
-    only where two of one set's hashes agree there; two such cases are allowed for.
+    have in common is counted on the upper halves of their hashes, which is too low only
+    where hashes in common agree there. Each set has at least as many more hashes than
+    upper halves, so the smaller of both differences is added and no pair is lost.
     """
     wide = lambda name, kind, width: group.column(name).combine_chunks().flatten().to_numpy().view(kind).reshape(-1, width)
     n = group.num_rows
@@ -175,6 +176,7 @@ def crossing_pairs(group: pa.Table, far: int, per_mille: int) -> tuple[list[int]
     sketch, size = wide("sketch", np.uint64, SKETCH_BITS // 64), group.column("n").to_numpy()
     keys = wide("keys", np.int64, len(group.column("keys")[0]))
     small = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("small")]
+    merged = [int(k) - len(x) for k, x in zip(size, small, strict=True)]
     a, b = [], []
     for i in range(n - 1):
         rest = slice(i + 1, n)
@@ -187,7 +189,7 @@ def crossing_pairs(group: pa.Table, far: int, per_mille: int) -> tuple[list[int]
         js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= far]
         js = js[(keys[js] == keys[i]).argmax(axis=1) == band]
         for j in js.tolist():
-            common = len(np.intersect1d(small[i], small[j], assume_unique=True)) + 2
+            common = len(np.intersect1d(small[i], small[j], assume_unique=True)) + min(merged[i], merged[j])
             if common * 10_000 >= (int(size[i]) + int(size[j]) - common) * per_mille:
                 a.append(i)
                 b.append(j)

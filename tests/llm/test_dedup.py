@@ -105,6 +105,29 @@ def test_sketch_keeps_what_it_must():
     assert lost == 0 and passed == 0
 
 
+def test_crossings_keep_sets_whose_upper_halves_collide():
+    """A pair exactly at the threshold leaves the task however many hashes agree in their upper halves."""
+    import numpy as np
+    import pyarrow as pa
+
+    def crossing(a, b):
+        sets = [np.array(sorted(s), np.uint64) for s in (a, b)]
+        group = pa.table({
+            "id": [1, 2], "root": [1, 2], "own": [0, 0], "first": [0, 0], "second": [0, 0], "band": [0, 0], "n": [len(s) for s in sets],
+            "sketch": pa.array([[0] * (near_dedup.SKETCH_BITS // 64)] * 2, pa.list_(pa.int64())), "keys": pa.array([[5], [5]], pa.list_(pa.int64())),
+            "small": [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets],
+        })
+        return near_dedup.crossing_pairs(group, 0, 8000)
+
+    hashes = lambda at, n, same: {(i // same << 32) + i % same for i in range(at, at + n)}
+    for same in (1, 2, 10):  # so many hashes have one upper half
+        shared = hashes(0, 160, same)
+        a, b = shared | hashes(1000, 20, 1), shared | hashes(2000, 20, 1)  # 160 of 200
+        assert crossing(a, b) == ([0], [1])
+    far = hashes(0, 100, 1) | hashes(1000, 50, 1), hashes(0, 100, 1) | hashes(2000, 50, 1)
+    assert crossing(*far) == ([], [])
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
 def test_components(spark, links):
