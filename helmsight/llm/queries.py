@@ -53,7 +53,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least_bytes=0, every_row=True)
     records = written(warc.read_archives(spark, path, payloads=False), "records")  # parsed once, though assembly looks at it several times
     captures = warc.assemble(records).select(
         "capture_id",

@@ -16,7 +16,7 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
@@ -49,7 +49,8 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def write_archives(
-    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, records_per_file: int = 6000
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, records_per_file: int = 6000,
+    every_row: bool = False,
 ) -> None:
     """Write gzipped archives of ``pages`` under ``path``.
 
@@ -57,7 +58,9 @@ def write_archives(
     smallest id is the response and the others are revisits of it; smaller payloads are
     all responses. Null html is an empty payload, a null url an empty one; line breaks
     in urls are percent-encoded in the target URI and kept exactly in the metadata.
-    Null ids order last. Rows that repeat id and payload are one capture.
+    Null ids order last. Rows that repeat id, url and payload are one capture; with
+    ``every_row`` they are numbered and each is a capture of its own. Numbers only tell
+    equal rows apart, so a task that runs again writes the same records.
     """
     rows = pages.select(
         F.col(id_col).alias("id"),
@@ -65,13 +68,19 @@ def write_archives(
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
     rows = rows.withColumn("hex", F.sha1("html")).withColumn("size", F.octet_length("html"))
+    # ids as keys of joins, with null as one of them
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null")))
+    capture = ["hex", "size", "key", "url"]
+    distinct = rows.select(*capture, "id").distinct()
     # null ids are never the smallest unless there are no others
-    first = rows.groupBy("hex", "size").agg(F.min("id").alias("first"))
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    d = rows.join(first, ["hex", "size"])
-    d = d.withColumn("revisit", (F.col("size") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first")))
-    ids = {k: _uuid(F.lit(k), key(F.col("id")), F.col("hex")) for k in ("response", "request", "metadata")}
-    original = _uuid(F.lit("response"), key(F.col("first")), F.col("hex"))
+    first = distinct.groupBy("hex", "size").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "url")).alias("first"))
+    # payloads are dealt by whole captures, so a payload that many pages have stays spread out
+    d = rows.join(distinct.join(first, ["hex", "size"]).select(*capture, "first"), capture)
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy(*capture).orderBy("hex")) if every_row else F.lit(1))
+    d = d.withColumn("revisit", (F.col("size") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first.id")))
+    own = (F.col("key"), F.col("hex"), F.col("n").cast("string"), F.col("url"))
+    ids = {k: _uuid(F.lit(k), *own) for k in ("response", "request", "metadata")}
+    original = _uuid(F.lit("response"), F.col("first.key"), F.col("hex"), F.lit("1"), F.col("first.url"))
     digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("hex")))
     line = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     when = F.lit("1970-01-01T00:00:00Z")

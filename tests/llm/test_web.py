@@ -61,6 +61,26 @@ def test_empty_and_repeated(spark, tmp_path):
     assert warc.assemble(empty).count() == 0
 
 
+def test_every_page_row_is_a_capture(spark, tmp_path):
+    """Repeated rows, ids with several urls and rows without an id, as OP2_SQL counts them."""
+    same = [(1, "http://a/", "x")] * 3 + [(1, "http://b/", "x"), (2, "http://a/", "x"), (2, "http://a/", "x"), (3, "http://a/", "y")]
+    rows = same + [(None, "http://n/", "x"), (None, "http://m/", "x"), (None, "http://m/", "x"), (None, "http://n/", "z"), (None, "http://n|/", "z")]
+    records, _ = captures(spark, tmp_path, rows, every_row=True)
+    assert records.count() == 3 * len(rows) == records.select("record_id").distinct().count()
+    made = warc.assemble(records).collect()
+    assert len(made) == len(rows) and all(r.request and r.metadata for r in made)
+    own = {r.capture_id for r in made if r.response.type == "response"}
+    assert all(r.response.refers_to in own for r in made if r.response.type == "revisit")
+
+    from compare import connect, same as agree
+
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame(same, "page_id long, url string, html string").repartition(3).write.parquet(f"{sf}/pages.parquet")
+    con = connect(str(tmp_path / "none"))
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet/*.parquet')")
+    agree(queries.op2_warc(spark, sf), con, queries.OP2_SQL)
+
+
 def test_links_both_ways_and_orphans(spark):
     row = lambda i, t, to: (i, t, None, None, to, None, None, None, None, 0, "", b"", "f", 0)
     df = spark.createDataFrame([row("r1", "response", ["q1"]), row("q1", "request", []), row("m1", "metadata", ["r1", "zz"]), row("q2", "request", ["gone"]), row("r2", "revisit", []), row("m1", "metadata", ["r1"])], warc.RECORD)
