@@ -2,26 +2,45 @@
 benchmark passages go; what stays is encoded.
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir). Stages drop
-documents by an anti-join with the ids to drop, so rows without an id, which cannot be
-told apart, stay, and the join is by broadcast only where the ids turn out to be few.
+documents by an anti-join with what to drop, which is by broadcast only where that turns
+out to be little. Where ids are null or repeated, which a count of the ids tells, ids do
+not name rows, and decisions go by the id with the text: a row goes for what its own text
+is, and of exact copies one row stays, also of repeated rows and of rows without an id.
+Without an id, null texts and empty ones are groups of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helmsight.llm.common import written
 from helmsight.llm.decontaminate import contamination
-from helmsight.llm.exact_dedup import exact_dedup
+from helmsight.llm.exact_dedup import exact_dedup, normalised
 from helmsight.llm.near_dedup import near_duplicates
 from helmsight.llm.queries import table, tokenizer_path
 from helmsight.llm.sentencepiece_np import encode_documents
 from helmsight.llm.toxicity import reject_toxic, train
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+def ids_name_rows(docs: DataFrame) -> bool:
+    """Whether no id is null or repeated. Reads the ids only."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1").isEmpty()
+
+
+def row_name() -> Column:
+    """A number for the id with the text: in the order of ids, with null as the last, then 18 digits of a hash of the text."""
+    last = "10000000000000000000"  # above all 64-bit ids
+    text = F.pmod(F.xxhash64("text"), F.lit(10**18)).cast("string")
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit(last)), F.lpad(text, 18, "0")).cast("decimal(38,0)")
+
+
+def without(docs: DataFrame, found, drop) -> DataFrame:
+    """``docs`` without those rows for which ``drop`` holds in found(docs, id column)."""
+    if ids_name_rows(docs):
+        return docs.join(found(docs, "doc_id").filter(drop).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    named = docs.withColumn("_name", row_name())
+    return named.join(found(named, "_name").filter(drop).select("_name"), "_name", "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +49,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup(docs).filter(~F.col("kept")))
+    if ids_name_rows(docs):
+        return docs.join(exact_dedup(docs).filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    found = exact_dedup(docs).select("doc_id", "kept", F.col("text_sha256").alias("_sha"))
+    rows = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
+    # what an id and a text are kept for is one decision, however many rows have both
+    groups = found.groupBy("doc_id", "_sha").agg(F.bool_and("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    groups = groups.filter("NOT _kept OR _n > 1").withColumnsRenamed({"doc_id": "_id", "_sha": "_of"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of"))
+    repeated = rows.join(groups.filter("_kept"), same, "left_semi")
+    order = Window.partitionBy("_sha", F.col("doc_id").isNull() & F.col("text").isNull()).orderBy(*(F.col(c) for c in docs.columns))
+    one = repeated.withColumn("_row", F.row_number().over(order)).filter("_row = 1")
+    return rows.join(groups, same, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, near_duplicates(docs, shingle=5, similarity=0.8).filter(~F.col("kept")))
+    return without(docs, lambda rows, id_col: near_duplicates(rows, id_col, shingle=5, similarity=0.8), ~F.col("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
-    return without(docs, found.filter(F.size("hits") > 0))
+    benchmark = table(spark, sf_dir, "benchmark")
+    return without(docs, lambda rows, id_col: contamination(rows, benchmark, id_col, window=10), F.size("hits") > 0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

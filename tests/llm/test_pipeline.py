@@ -51,3 +51,23 @@ def test_odd_rows_and_empty_table(spark):
         for _, stage in cp.STAGES:
             rest = cp.written(stage(spark, rest, SF), "test")
         assert sorted(str(r.doc_id) for r in rest.collect()) == (["1", "None", "None"] if start is docs else [])
+
+
+def test_rows_that_share_ids(spark):
+    """Clean rows stay whatever other rows share their id; of copies one stays, repeated and nameless ones too."""
+    schema = table(spark, SF, "documents").schema
+    word = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    a, b, c, d = (word(x) for x in "abcd")
+    near = a + " end"
+    leak = next(r.text for r in table(spark, SF, "benchmark").collect() if len((r.text or "").split()) > 12)
+    docs = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    after = lambda stage, rows: sorted(pairs(cp.written(stage(spark, docs(rows), SF), "test")), key=str)
+
+    exact = [(3, a), (7, a), (7, b), (8, c), (8, c), (8, c.replace(" ", "  ")), (None, d), (None, d), (None, a), (9, d + " x"), (None, None), (None, "")]
+    got = after(cp.drop_exact_copies, exact)
+    want = [(3, a), (7, b), (9, d + " x"), (None, None), (None, ""), (None, d)]
+    assert sorted(((i, t) for i, t in got if i != 8), key=str) == sorted(want, key=str)
+    assert [(i, t and t.replace("  ", " ")) for i, t in got if i == 8] == [(8, c)]
+
+    assert after(cp.drop_near_copies, [(3, a), (7, near), (7, b), (None, b + " end"), (None, c)]) == sorted([(3, a), (7, b), (None, c)], key=str)
+    assert after(cp.drop_contaminated, [(7, leak), (7, b), (None, leak), (None, c)]) == sorted([(7, b), (None, c)], key=str)
