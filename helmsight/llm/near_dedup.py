@@ -290,7 +290,7 @@ def near_duplicates(
         both = pairs.join(side(full_sets, "b", "set"), "b").join(side(full_sets, "a", "set"), "a")
         common = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - common
-        return both.filter(common * 10_000 >= union * per_mille).select("a", "b")
+        return both.filter(common.cast("long") * 10_000 >= union.cast("long") * per_mille).select("a", "b")
 
     first_roots = components(confirmed(stars))  # each (node, root) row is as good as the links that made it
     placed = shared.join(first_roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))

@@ -88,6 +88,28 @@ def test_near_edges(spark):
     assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False)]
 
 
+@pytest.mark.parametrize("union", [200_000, 1_000_000])
+def test_near_long_texts(spark, union):
+    """Long texts of distinct words at, just above and just below the threshold, and more common shingles than 32-bit products hold."""
+    share = union * 4 // 5
+    word = lambda k, at, n: " ".join(f"{k}{i}" for i in range(at, at + n))
+    docs = []
+    for k, common in enumerate((share, share + 1, share - 1)):
+        own = union - common
+        # with single-word shingles the sets are the words
+        docs += [(2 * k, word(f"c{k}x", 0, common) + " " + word(f"a{k}x", 0, own // 2)), (2 * k + 1, word(f"c{k}x", 0, common) + " " + word(f"b{k}x", 0, own - own // 2))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle=1).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+    assert got[0][0] == share + (union - share) // 2
+
+
+def test_near_more_common_shingles_than_fit_an_int(spark):
+    words = [f"w{i}" for i in range(320_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-9], "z"]))], "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(df, shingle=2).collect()} == {1}
+
+
 def test_sketch_keeps_what_it_must():
     """Pairs at the threshold pass the sketch, random pairs do not."""
     import numpy as np
