@@ -8,11 +8,17 @@
 3. Stars: in each bucket all members are compared with its smallest one. Sketches
    discard pairs that are far below the threshold, full sets confirm the others.
 4. Crossings: members of one bucket that the stars left in different components are
-   compared in tasks that take a bucket, or two blocks of a large one, at a time: by
-   sketch, then by what their sets have in common. A pair counts in the first band that
-   it shares, and only pairs at the threshold leave the task, to be confirmed on full
-   sets. Pairs inside one component could add nothing to the result, so they are passed
-   over: a group of n near copies costs n comparisons and not n * n.
+   compared in a task that takes the bucket: by sketch, then by what their sets have in
+   common. A pair counts in the first band that it shares, and only pairs at the
+   threshold leave the task, to be confirmed on full sets. Pairs inside one component
+   could add nothing to the result, so they are passed over: a group of n near copies
+   costs n comparisons and not n * n.
+5. Large buckets (by rows or by shingles) whose members stay apart, such as pages of one
+   template, are not compared all with all. Two sets at the threshold have one of their
+   rarest shingles in common: of n shingles, the rarest n - ceil(similarity * n) + 1. So
+   their members meet by each of these, which is exact and leaves out what a template has
+   in all its pages. Where many members share even a rarest shingle, they are compared by
+   sketch in pairs of blocks.
 
 With 40 bands of 5 rows a pair at 0.8 is in no common bucket with probability 1.3e-7.
 The sketch lets through what lies within 5.5 standard deviations of the threshold.
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, blocks, coded, discard, word_hashes, written
@@ -36,8 +42,8 @@ from .components import components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: width of an odd sketch
 SKETCH_BITS = 512
-#: rows of a bucket in one block; a task holds two blocks at most, whatever the bucket's size
-BLOCK_ROWS = 2048
+#: a bucket of more rows, or of more shingles in all, is large; a task holds two blocks of so many rows at most
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,43 +165,75 @@ def groups_of(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.T
         yield rest
 
 
-def crossing_pairs(group: pa.Table, far: int, per_mille: int) -> tuple[list[int], list[int]]:
-    """Row numbers of the pairs of a bucket (or of two of its blocks) that may reach the threshold.
+def _wide(group: pa.Table, name: str, kind: type, width: int) -> np.ndarray:
+    return group.column(name).combine_chunks().flatten().to_numpy().view(kind).reshape(-1, width)
 
-    Pairs of one root are left out, and pairs that share an earlier band. What two sets
-    have in common is counted on the upper halves of their hashes, which is too low only
-    where hashes in common agree there. Each set has at least as many more hashes than
-    upper halves, so the smaller of both differences is added and no pair is lost.
-    """
-    wide = lambda name, kind, width: group.column(name).combine_chunks().flatten().to_numpy().view(kind).reshape(-1, width)
+
+def close_pairs(group: pa.Table, far: int, per_mille: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers (i, several j > i) of different roots whose sketches and sizes allow the threshold."""
     n = group.num_rows
     root = group.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
     own = group.column("own").to_numpy()
     split = group.column("first")[0].as_py() != group.column("second")[0].as_py()
-    band = group.column("band")[0].as_py()
-    sketch, size = wide("sketch", np.uint64, SKETCH_BITS // 64), group.column("n").to_numpy()
-    keys = wide("keys", np.int64, len(group.column("keys")[0]))
-    small = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("small")]
-    merged = [int(k) - len(x) for k, x in zip(size, small, strict=True)]
-    a, b = [], []
+    sketch, size = _wide(group, "sketch", np.uint64, SKETCH_BITS // 64), group.column("n").to_numpy().astype(np.int64)
     for i in range(n - 1):
         rest = slice(i + 1, n)
         ok = root[rest] != root[i]
         if split:
             ok &= own[rest] != own[i]
-        if not ok.any():
-            continue
+        ok &= np.minimum(size[rest], size[i]) * 10_000 >= np.maximum(size[rest], size[i]) * per_mille
         js = np.flatnonzero(ok) + i + 1
-        js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= far]
+        if len(js):
+            js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= far]
+        if len(js):
+            yield i, js
+
+
+def crossing_pairs(group: pa.Table, far: int, per_mille: int) -> tuple[list[int], list[int]]:
+    """Row numbers of the pairs of a bucket that may reach the threshold.
+
+    Pairs of one root are left out, and pairs that share an earlier band. What two sets
+    have in common is counted on the upper halves of their hashes, which is too low only
+    where hashes in common agree there. Each set has at least as many more hashes than
+    upper halves, so the smaller of both differences is added and no pair is lost.
+    """
+    band = group.column("band")[0].as_py()
+    size = group.column("n").to_numpy().astype(np.int64)
+    keys = _wide(group, "keys", np.int64, len(group.column("keys")[0]))
+    small = [np.frombuffer(x.as_py(), np.uint32) for x in group.column("small")]
+    lengths = np.array([len(x) for x in small], np.int64)
+    merged, starts = size - lengths, np.concatenate(([0], np.cumsum(lengths)))
+    flat = here = None
+    a, b = [], []
+    for i, js in close_pairs(group, far, per_mille):
         js = js[(keys[js] == keys[i]).argmax(axis=1) == band]
-        for j in js.tolist():
-            common = len(np.intersect1d(small[i], small[j], assume_unique=True)) + min(merged[i], merged[j])
-            if common * 10_000 >= (int(size[i]) + int(size[j]) - common) * per_mille:
-                a.append(i)
-                b.append(j)
+        if len(js) > 16:
+            if flat is None:  # the bucket's hashes, numbered
+                flat = np.unique(np.concatenate(small), return_inverse=True)[1].astype(np.int32)
+                here = np.zeros(int(flat.max()) + 1, np.uint8)
+            here[flat[starts[i] : starts[i + 1]]] = 1
+            common = np.add.reduceat(here[flat[starts[js[0]] :]], starts[js[0] : -1] - starts[js[0]], dtype=np.int64)[js - js[0]]
+            here[flat[starts[i] : starts[i + 1]]] = 0
+        else:
+            common = np.array([len(np.intersect1d(small[i], small[j], assume_unique=True)) for j in js.tolist()], np.int64)
+        common += np.minimum(merged[i], merged[js])
+        got = js[common * 10_000 >= (size[i] + size[js] - common) * per_mille]
+        a += [i] * len(got)
+        b += got.tolist()
     return a, b
 
 
+def with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the columns of groups, which has one row for some of the keys in the column ``key``.
+
+    The other side's key is computed anew, which keeps the join from taking over the
+    partitioning of the aggregation that made it: both sides get exchanges of their own,
+    so adaptive execution can split a hot key.
+    """
+    named = groups.select(F.col("key").bitwiseXOR(F.lit(1)).alias("_key"), *(c for c in groups.columns if c != "key"))
+    return rows.join(named, F.col("key").bitwiseXOR(F.lit(1)) == F.col("_key")).drop("_key")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -216,6 +254,8 @@ def near_duplicates(
     * one id with several texts: its sets are all linked through the id;
     * very long texts are one row of their own block; an empty table gives no rows;
     * other columns are ignored, whatever their names.
+
+    The result is a written table; the work tables are deleted.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -253,16 +293,23 @@ def near_duplicates(
             sets = shingle_sets(texts, shingle)
             small = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, arrow_id), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(small, pa.binary())],
-                ["id", "n", "set", "small"],
+                [pa.array(ids, arrow_id), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(small, pa.binary())], ["id", "set", "small"]
             )
 
+    def of_pairs(group, a, b):
+        ids = group.column("id")
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())).combine_chunks() for x in (a, b)], ["a", "b"])
+
     def cross(batches):
         for group in groups_of(batches, ["key", "first", "second"]):
             a, b = crossing_pairs(group, far, per_mille)
-            if len(a):
-                ids = group.column("id")
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)).combine_chunks() for x in (a, b)], ["a", "b"])
+            if a:
+                yield of_pairs(group, a, b)
+
+    def cross_by_sketch(batches):
+        for group in groups_of(batches, ["key", "first", "second"]):
+            for i, js in close_pairs(group, far, per_mille):
+                yield of_pairs(group, [i] * len(js), js)
 
     id_sql = kind.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -271,12 +318,12 @@ def near_duplicates(
     classes = written(
         feats.filter("mark is not null and id is not null")
         .groupBy("mark")
-        .agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")),
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    keyed = classes.select("id", F.posexplode("keys").alias("band", "key"))
+    keyed = classes.select("id", "n", F.posexplode("keys").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    shared = written(keyed.join(buckets, "key"), "buckets")
+    shared = written(with_group(keyed, buckets), "buckets")
 
     sketches = classes.select("id", "sketch")
     side = lambda df, name, column: df.select(F.col("id").alias(name), F.col(column).alias(f"{column}_{name}"))
@@ -284,7 +331,7 @@ def near_duplicates(
     stars = shared.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     stars = stars.join(side(sketches, "b", "sketch"), "b").join(side(sketches, "a", "sketch"), "a").filter(close).select("a", "b")
 
-    full_sets = written(texts.join(shared.select("id").distinct(), "id").select("id", "text").mapInArrow(sets_of, f"id {id_sql}, n int, set array<long>, small binary"), "sets")
+    full_sets = written(texts.join(shared.select("id").distinct(), "id").select("id", "text").mapInArrow(sets_of, f"id {id_sql}, set array<long>, small binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side(full_sets, "b", "set"), "b").join(side(full_sets, "a", "set"), "a")
@@ -293,17 +340,29 @@ def near_duplicates(
         return both.filter(common.cast("long") * 10_000 >= union.cast("long") * per_mille).select("a", "b")
 
     first_roots = components(confirmed(stars))  # each (node, root) row is as good as the links that made it
-    placed = shared.join(first_roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
-    open_keys = open_keys.filter("r0 < r1").select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks"))
-    open_rows = placed.join(open_keys, "key")
-    known = classes.select("id", "keys", "sketch").join(full_sets.select("id", "n", "small"), "id")
-    rows_of = open_rows.join(known, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    with_all = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = with_all.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "band", "id", "root", "n", "sketch", "keys", "small")
-    grouped = grouped.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
-    crossing = grouped.mapInArrow(cross, f"a {id_sql}, b {id_sql}")
-    more = confirmed(crossing)
+    placed = shared.join(first_roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "band", "id", "n", F.coalesce("root", "id").alias("root"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"))
+    is_large = (F.col("size") > BLOCK_ROWS) | (F.col("mass") > BLOCK_SHINGLES)
+    open_rows = written(with_group(placed, open_keys.filter("r0 < r1").select("key", is_large.alias("large"))), "open")
+    whole = {"own": F.lit(0), "first": F.lit(0), "second": F.lit(0)}
+    known = classes.select("id", "keys", "sketch").join(full_sets.select("id", "small"), "id")
+    grouped = open_rows.filter("NOT large").join(known, "id").withColumns(whole).select("key", "first", "second", "own", "band", "id", "root", "n", "sketch", "keys", "small")
+    crossing = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(cross, f"a {id_sql}, b {id_sql}")
+
+    # large buckets: members meet by their rarest shingles
+    apart = open_rows.filter("large").select("id", "root", "n").distinct()
+    tokens = full_sets.select("id", "set").join(apart, "id").select("id", "root", "n", F.explode("set").alias("key"))
+    ranked = with_group(tokens, tokens.groupBy("key").agg(F.count(F.lit(1)).alias("held")))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("held", "key"))
+    needed = F.col("n") - F.ceil(F.col("n") * per_mille / F.lit(10_000)) + 1
+    rare = ranked.withColumn("nth", nth).filter((F.col("nth") <= needed) & (F.col("held") > 1)).select("key", "id", "root", "n")
+    met = rare.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 < r1")
+    met = with_group(rare, met.select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")))
+    met = met.join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "root", "n", "sketch")
+    met = met.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(cross_by_sketch, f"a {id_sql}, b {id_sql}")
+    more = confirmed(crossing if open_rows.filter("large").isEmpty() else crossing.union(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     # an id that comes with several sets ties them together
     marks = feats.filter("mark is not null and id is not null").select("id", "mark")
     by_mark = classes.select("mark", F.col("id").alias("class"))
@@ -311,11 +370,13 @@ def near_duplicates(
     several = own.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("a")).filter("a > b").select("id")
     tied = own.join(several, "id").select(F.col("class").alias("a"), F.col("id").alias("b"))
     roots = components(first_roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(tied))
-    discard(classes, shared, full_sets, first_roots)
 
     member = own.groupBy("id").agg(F.min("class").alias("class"))
     found = feats.select("id", "n").join(member, "id", "left").join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     component = F.coalesce("root", "class", "id")
-    return found.select(
+    found = found.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )
+    out = written(found, "near")
+    discard(feats, classes, shared, full_sets, first_roots, open_rows, own, roots)
+    return out

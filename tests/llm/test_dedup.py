@@ -69,10 +69,11 @@ def copies(seed, n_groups=12, size=8):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("seed, n, block", [(1, 2, 2048), (2, 5, 2048), (3, 2, 3), (4, 1, 2)])
-def test_near(spark, seed, n, block, monkeypatch):
-    """Small blocks make large buckets be compared in parts."""
-    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("seed, n, rows, shingles", [(1, 2, 2048, 10**9), (2, 5, 2048, 10**9), (3, 2, 3, 10**9), (4, 1, 1, 10**9), (5, 2, 2048, 300), (6, 5, 2, 1)])
+def test_near(spark, seed, n, rows, shingles, monkeypatch):
+    """Low limits make all buckets large, by rows or by shingles."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     docs = copies(seed) + [(1000 + i, t) for i, (_, t, _) in enumerate(AWKWARD)]
     want = brute.near(docs, n, 0.8)
     rows = near_duplicates(table(spark, [(*d, "") for d in docs]), shingle=n, similarity=0.8).collect()
@@ -80,6 +81,20 @@ def test_near(spark, seed, n, block, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_template_family(spark, monkeypatch):
+    """Pages of one template stay apart; those few that are at the threshold are found in the large bucket."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 64)
+    r = random.Random(7)
+    core = [f"core{i}" for i in range(75)]
+    docs = [(i, " ".join(core + [f"own{i}x{j}" for j in range(25)])) for i in range(600)]
+    for i in range(600, 620):
+        near = docs[r.randrange(600)][1].split()
+        docs.append((i, " ".join(near[:-3] + [f"other{i}x{j}" for j in range(3)])))
+    want = brute.near(docs, 1, 0.8)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(table(spark, [(*d, "") for d in docs]), shingle=1).collect()}
+    assert got == want and sum(c != i for i, (_, c) in got.items()) >= 20
+
+
 def test_near_edges(spark):
     assert near_duplicates(table(spark, [])).count() == 0
     assert near_duplicates(table(spark, [(1, None, ""), (2, "", ""), (3, "  ", "")])).filter("kept").count() == 3
