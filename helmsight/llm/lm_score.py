@@ -9,10 +9,9 @@ estimates of the rest. Scores then use the counts of all training documents.
 
 How the counts get to the documents: documents are packed into blocks of a bounded
 number of characters. A block sends each of its distinct n-grams once, as sorted 64-bit
-hashes cut into hash ranges; the reducer of a range adds up the counts of all blocks and
-answers each block in the block's own order. Hashes spread evenly and a block sends an
-n-gram once however often it holds it, so no frequent word makes a task large. Only the
-bounded table of the EM's cells comes to the driver.
+hashes, and gets the corpus' counts of them back (see `exchange`). Hashes spread evenly
+and a block sends an n-gram once however often it holds it, so no frequent word makes a
+task large. Only the bounded table of the EM's cells comes to the driver.
 """
 
 from __future__ import annotations
@@ -27,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, blocks, coded, packed, unpacked, word_hashes, written
+from .common import ascii_lower, blocks, coded, discard, packed, unpacked, word_hashes, written
+from .exchange import FAN_IN, PARTS, Codec, answered, answers_of, fragments, hash_part
 from .near_dedup import mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,6 +114,42 @@ class Block:
         return counts[self.pair_at], counts[self.word_at[self.before]], counts[self.word_at[self.codes]]
 
 
+class Counts(Codec):
+    """Sorted 64-bit keys with occurrences in counted and in held-out documents; answers are those of the corpus."""
+
+    def opened(self, keys, vals):
+        return np.cumsum(unpacked(keys, np.uint64), dtype=np.uint64), self.opened_answer(vals)
+
+    def closed(self, keys, vals):
+        return packed(np.diff(keys, prepend=np.uint64(0))), self.packed_answer(vals)
+
+    def part_of(self, keys, parts):
+        return hash_part(keys, parts)
+
+    def cut(self, keys, vals, start, end):
+        return keys[start:end], [v[start:end] for v in vals]
+
+    def united(self, children, parts):
+        every, at = np.unique(np.concatenate([k for k, _ in children]), return_inverse=True)
+        vals = [np.bincount(at, weights=np.concatenate([v[i] for _, v in children]), minlength=len(every)).astype(np.uint64) for i in (0, 1)]
+        return every, vals, np.split(at, np.cumsum([len(k) for k, _ in children])[:-1])
+
+    def answer(self, keys, vals):
+        """The number to be added up is that of distinct words."""
+        return vals, int(((keys & np.uint64(1) == 1) & (vals[0] + vals[1] > 0)).sum())
+
+    def packed_answer(self, answers):
+        first, second = (packed(a.astype(np.uint64)) for a in answers)
+        return len(first).to_bytes(8, "little") + first + second
+
+    def opened_answer(self, data):
+        size = int.from_bytes(data[:8], "little")
+        return [unpacked(data[8 : 8 + size], np.uint64), unpacked(data[8 + size :], np.uint64)]
+
+
+COUNTS = Counts()
+
+
 def bucket(context: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(1.0 + context)).astype(np.int64)
 
@@ -167,7 +203,7 @@ BLOCK = T.StructType(
 )
 
 
-def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 5_000_000, keys_per_range: int = 2_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 5_000_000, parts: int = PARTS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of ``docs``: id_col, held_out (not learned from), n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words, A-Z lower-cased, and one end. base_score is the add-half
@@ -179,6 +215,8 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     * very long texts are a block of their own;
     * nothing to learn from: N and V are 0, base_score and score are that of a uniform guess;
     * an empty table gives no rows; other columns are ignored, whatever their names.
+
+    The result is a written table; the work tables are deleted.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -206,9 +244,8 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.struct(F.col(id_col).alias("id"), use.cast("int").alias("use")).alias("key"), F.col(text_col).alias("text"))
     packs = written(rows.mapInArrow(pack, schema), "blocks")
-    total = packs.agg(F.sum("n_tokens"), F.sum("n_counted"), F.sum("n_held_out")).first()
-    n_all, n_counted, n_held = (int(x or 0) for x in total)
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * n_all // keys_per_range))
+    total = packs.agg(F.count(F.lit(1)), F.sum("n_counted"), F.sum("n_held_out")).first()
+    n_blocks, n_counted, n_held = (int(x or 0) for x in total)
 
     def opened(batch: pa.RecordBatch, i: int) -> Block:
         get = lambda name: batch.column(batch.schema.get_field_index(name))[i].as_py()
@@ -216,75 +253,43 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             unpacked_terms(get("terms")), unpacked(get("codes"), np.int32), unpacked(get("lengths"), np.int32).astype(np.int64), np.frombuffer(get("use"), np.int8)
         ).index()
 
-    def range_of(keys: np.ndarray) -> np.ndarray:
-        return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 b = opened(batch, i)
-                counted, held = b.counts()
-                part = range_of(b.keys).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                ends = np.append(cuts[1:], len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(part[cuts]),
-                        pa.array([batch.column(0)[i].as_py()] * len(cuts), pa.string()),
-                        pa.array([packed(np.diff(b.keys[x:y], prepend=np.uint64(0))) for x, y in zip(cuts, ends, strict=True)], pa.binary()),
-                        pa.array([packed(counted[x:y]) for x, y in zip(cuts, ends, strict=True)], pa.binary()),
-                        pa.array([packed(held[x:y]) for x, y in zip(cuts, ends, strict=True)], pa.binary()),
-                    ],
-                    ["range", "block", "keys", "counted", "held"],
-                )
-
-    def answer(table: pa.Table) -> pa.Table:
-        names = table.column("block").to_pylist()
-        keys = [np.cumsum(unpacked(x.as_py(), np.uint64)) for x in table.column("keys")]
-        sizes = np.cumsum([len(k) for k in keys])
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        got = []
-        for name in ("counted", "held"):
-            each = np.concatenate([unpacked(x.as_py(), np.uint32) for x in table.column(name)])
-            got.append(np.bincount(at, weights=each, minlength=len(every)).astype(np.uint64))
-        distinct = int(((every & np.uint64(1) == 1) & (got[0] + got[1] > 0)).sum())
-        back = [[packed(x) for x in np.split(g[at], sizes[:-1])] for g in got]
-        n = len(names)
-        return pa.table(
-            {
-                "block": pa.array(names),
-                "range": table.column("range"),
-                "counted": pa.array(back[0], pa.binary()),
-                "held": pa.array(back[1], pa.binary()),
-                "distinct": pa.array([distinct] + [0] * (n - 1), pa.int64()),
-            }
-        )
-
-    cols = ["block", "n_tokens", "n_counted", "n_held_out", "terms", "codes", "lengths", "use"]
-    sent = packs.select(*cols).mapInArrow(send, "range long, block string, keys binary, counted binary, held binary")
-    answers = written(sent.groupBy("range").applyInArrow(answer, "block string, range long, counted binary, held binary, distinct long"), "counts")
-    # the begin is a context and no token, so it is not one of the V words
-    begins = 1 if n_counted + n_held else 0
-    vocabulary = int(answers.agg(F.sum("distinct")).first()[0] or 0) - begins
-    parts = answers.groupBy("block").agg(F.collect_list(F.struct("range", "counted", "held")).alias("parts"))  # one block's own keys
-    joined = packs.join(parts, "block")
+                yield fragments(COUNTS, batch.column(0)[i].as_py(), b.keys, list(b.counts()), parts)
 
-    def counts_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-        own = sorted(batch.column(batch.schema.get_field_index("parts"))[i].as_py(), key=lambda x: x["range"])
-        return tuple(np.concatenate([unpacked(x[name], np.uint64) for x in own]) for name in ("counted", "held"))
+    of_block = ["terms", "codes", "lengths", "use"]
+    asked = packs.select("block", *of_block).mapInArrow(send, "child string, part long, keys binary, vals binary")
+    answers = answered(asked, n_blocks, COUNTS, parts, fan_in)
+    own = answers.groupBy(F.col("child").alias("block")).agg(F.collect_list(F.struct("part", "answer")).alias("answers"), F.sum("extra").alias("extra"))  # one block's own keys
 
     def tally(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 b = opened(batch, i)
-                pair, context, word = (x[b.token_use == HELD_OUT].astype(float) for x in b.read(counts_of(batch, i)[0]))
+                totals = answers_of(COUNTS, batch.column(batch.schema.get_field_index("answers"))[i].as_py())
+                pair, context, word = (x[b.token_use == HELD_OUT].astype(float) for x in b.read(totals[0]))
                 p2 = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
                 cell = (bucket(context) * 1000 + _quantum(p2)) * 1000 + _quantum(word / max(n_counted, 1))
                 cells, n = np.unique(cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], ["cell", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(batch.schema.get_field_index(c)).slice(i, 1) for c in ("ids", *of_block, "extra")),
+                        pa.array([packed(totals[0] + totals[1])], pa.binary()),
+                        *(pa.array([x.astype(np.int64)], pa.list_(pa.int64())) for x in (cells, n)),
+                    ],
+                    ["ids", *of_block, "extra", "totals", "cells", "times"],
+                )
 
+    tallied = T.StructType([f for f in schema.fields if f.name in ("ids", *of_block)])
+    tallied = T.StructType([tallied["ids"], *(tallied[c] for c in of_block), T.StructField("extra", T.LongType()), T.StructField("totals", T.BinaryType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("cells", "times"))])
+    counted = written(packs.select("block", "ids", *of_block).join(own, "block").mapInArrow(tally, tallied), "counts")
+    discard(packs)
+    # the begin is a context and no token, so it is not one of the V words
+    vocabulary = int(counted.agg(F.sum("extra")).first()[0] or 0) - (1 if n_counted + n_held else 0)
     if n_held and n_counted:
-        found = joined.select(*cols, "parts").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        found = counted.select(F.inline(F.arrays_zip(F.col("cells").alias("cell"), F.col("times").alias("n")))).toDF("cell", "n").groupBy("cell").agg(F.sum("n").alias("n"))
         cells = {(r.cell // 1_000_000, r.cell // 1000 % 1000, r.cell % 1000): r.n for r in found.toLocalIterator()}  # at most 64 * (STEPS * LOWEST + 1)^2, whatever the corpus
     else:
         cells = {}
@@ -295,8 +300,8 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = opened(batch, i)
-                counted, held = counts_of(batch, i)
-                pair, context, word = (x.astype(float) for x in b.read(counted + held))
+                totals = unpacked(batch.column(batch.schema.get_field_index("totals"))[i].as_py(), np.uint64)
+                pair, context, word = (x.astype(float) for x in b.read(totals))
                 w = weights[bucket(context)]
                 p2 = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
                 if n_train:
@@ -319,7 +324,9 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
                     ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    out = joined.select(*cols, "ids", "parts").mapInArrow(
+    out = counted.select("ids", *of_block, "totals").mapInArrow(
         score, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return out.withColumnRenamed("id", id_col)
+    out = written(out.withColumnRenamed("id", id_col), "scores")
+    discard(counted)
+    return out

@@ -6,8 +6,8 @@ counted once by the library:
 
 1. documents are packed into blocks of a bounded number of characters: the block's
    distinct pre-tokens, and for each document which of them it holds and how often;
-2. blocks send their distinct pre-tokens, cut into hash ranges; the reducer of a range
-   counts the pieces of each distinct one once and answers every block;
+2. blocks send their distinct pre-tokens; the pieces of each distinct one of the corpus
+   are counted once, and the answers go back to the blocks (see `exchange`);
 3. blocks join the answers to their documents' frequencies and sum.
 
 A block sends a pre-token once however often it holds it, and hashes spread evenly, so
@@ -23,12 +23,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, packed, unpacked, word_hashes, written
+from .common import blocks, discard, packed, unpacked, word_hashes, written
+from .exchange import FAN_IN, PARTS, Codec, answered, answers_of, fragments, hash_part
 
 #: The pre-token pattern of byte-level BPE; fixed value.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,6 +46,8 @@ class PieceCounter:
         step = said.get("pre_tokenizer") or {}
         if said.get("normalizer") or step.get("type") != "ByteLevel" or step.get("add_prefix_space") or not step.get("use_regex", True):
             raise ValueError("this counter takes byte-level BPE files without a normalizer or prefix space")
+        if any(x.get(flag) for x in said["added_tokens"] for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("this counter takes added tokens that are found as they are written")
         self.pattern = regex.compile(PRE_TOKEN)
         #: special strings inside a text are one token each, as by the library's default
         special = sorted((x["content"] for x in said["added_tokens"]), key=len, reverse=True)
@@ -89,35 +93,81 @@ def strings_in(lengths: bytes, characters: bytes) -> pa.StringArray:
     return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(unpacked(characters, np.uint8).tobytes()))
 
 
+class Pieces(Codec):
+    """Distinct pre-tokens without values; answers are their numbers of pieces. ``spec`` gives the tokenizer's file."""
+
+    def __init__(self, spec):
+        self.spec = spec
+
+    def opened(self, keys, vals):
+        size = int.from_bytes(keys[:8], "little")
+        return strings_in(keys[8 : 8 + size], keys[8 + size :]), None
+
+    def closed(self, keys, vals):
+        lengths, characters = strings_out(keys)
+        return len(lengths).to_bytes(8, "little") + lengths + characters, b""
+
+    def part_of(self, keys, parts):
+        return hash_part(word_hashes(keys.to_pylist()), parts)
+
+    def cut(self, keys, vals, start, end):
+        return keys.slice(start, end - start), None
+
+    def united(self, children, parts):
+        coded = pa.concat_arrays([k for k, _ in children]).dictionary_encode()
+        keys, order = self.ordered(coded.dictionary, parts)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return keys, None, np.split(rank[coded.indices.to_numpy()], np.cumsum([len(k) for k, _ in children])[:-1])
+
+    def ordered(self, keys: pa.StringArray, parts: int) -> tuple[pa.StringArray, np.ndarray]:
+        """By part, and inside parts by the text: neighbours are alike, which compresses."""
+        by_text = pc.array_sort_indices(keys).to_numpy().astype(np.int64)
+        order = by_text[np.argsort(self.part_of(keys, parts)[by_text], kind="stable")]
+        return keys.take(pa.array(order)), order
+
+    def answer(self, keys, vals):
+        return [counter_of(self.spec.value).count(keys.to_pylist())], 0
+
+    def packed_answer(self, answers):
+        return packed(answers[0].astype(np.uint32))
+
+    def opened_answer(self, data):
+        return [unpacked(data, np.uint32)]
+
+
 def token_counts(
-    docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, block_chars: int = 6_000_000, tokens_per_range: int = 400_000
+    docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, block_chars: int = 6_000_000,
+    parts: int = PARTS, fan_in: int = FAN_IN
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     ``tokenizer_file`` is read on the driver and its text sent along: a fixed file of
     one or two MB, whatever the corpus. Null and empty texts have 0 bytes and tokens.
     Very long texts are a block of their own. Repeated rows are counted each; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. The result is a written table; the work
+    tables are deleted.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
+    codec = Pieces(sent)
     kind = docs.schema[id_col].dataType
     id_type = to_arrow_type(kind)
     binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
     schema = T.StructType(
         [T.StructField("block", T.StringType()), T.StructField("distinct", T.LongType()), T.StructField("ids", T.ArrayType(kind))]
-        + binary("bytes", "specials", "sizes", "held", "times", "lengths", "characters")
+        + binary("bytes", "specials", "sizes", "held", "times", "tokens")
     )
 
     def pack(batches):
         for ids, texts in blocks(batches, block_chars):
             counter = counter_of(sent.value)
             each = [counter.frequencies(t) for t in texts]
-            tokens = sorted(set().union(*(c for c, _ in each)))  # neighbours are alike, which compresses
-            number = {t: i for i, t in enumerate(tokens)}
+            tokens, _ = codec.ordered(pa.array(set().union(*(c for c, _ in each)), pa.string()), parts)
+            number = {t: i for i, t in enumerate(tokens.to_pylist())}
             held, times = [], []
             for c, _ in each:
                 own = np.fromiter(map(number.__getitem__, c), np.int32, len(c))
@@ -137,57 +187,28 @@ def token_counts(
                     pa.array([len(tokens)], pa.int64()),
                     pa.array([ids], pa.list_(id_type)),
                     *(pa.array([packed(c)], pa.binary()) for c in columns),
-                    *(pa.array([x], pa.binary()) for x in strings_out(pa.array(tokens, pa.string()))),
+                    pa.array([codec.closed(tokens, None)[0]], pa.binary()),
                 ],
                 schema.names,
             )
 
     packs = written(docs.select(id_col, text_col).mapInArrow(pack, schema), "frequencies")
-    total = packs.agg(F.sum("distinct")).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // tokens_per_range))
 
     def send(batches):
         for batch in batches:
-            for name, lengths, characters in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = strings_in(lengths, characters)
-                if not len(tokens):
-                    continue
-                part = ((word_hashes(tokens.to_pylist()) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                order = np.argsort(part, kind="stable")
-                part = part[order].astype(np.int64)
-                cuts = np.flatnonzero(np.diff(part, prepend=-1))
-                runs = [order[x:y] for x, y in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
-                texts = [strings_out(tokens.take(pa.array(r))) for r in runs]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(part[cuts]),
-                        pa.array([name] * len(cuts), pa.string()),
-                        pa.array([packed(np.diff(r, prepend=0).astype(np.int32)) for r in runs], pa.binary()),
-                        *(pa.array([t[k] for t in texts], pa.binary()) for k in (0, 1)),
-                    ],
-                    ["range", "block", "places", "lengths", "characters"],
-                )
+            for name, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield fragments(codec, name, *codec.opened(tokens, b""), parts)
 
-    def answer(table: pa.Table) -> pa.Table:
-        each = [strings_in(a.as_py(), b.as_py()) for a, b in zip(table.column("lengths"), table.column("characters"), strict=True)]
-        coded = pa.concat_arrays(each).dictionary_encode()
-        pieces = counter_of(sent.value).count(coded.dictionary.to_pylist())  # each distinct pre-token once
-        found = np.split(pieces[coded.indices.to_numpy()], np.cumsum([len(e) for e in each])[:-1])
-        return pa.table({"block": table.column("block"), "places": table.column("places"), "pieces": pa.array([packed(f) for f in found], pa.binary())})
-
-    asked = packs.select("block", "lengths", "characters").mapInArrow(send, "range long, block string, places binary, lengths binary, characters binary")
-    answers = asked.groupBy("range").applyInArrow(answer, "block string, places binary, pieces binary")
-    parts = answers.groupBy("block").agg(F.collect_list(F.struct("places", "pieces")).alias("parts"))  # of one block's own pre-tokens
-    own = ["distinct", "ids", "bytes", "specials", "sizes", "held", "times"]
     # a block whose texts are all empty has nothing to ask
-    joined = packs.select("block", *own).join(parts, "block", "left").select(*own, "parts")
+    asked = packs.filter("distinct > 0").select("block", "tokens").mapInArrow(send, "child string, part long, keys binary, vals binary")
+    answers = answered(asked, packs.count(), codec, parts, fan_in)
+    own = answers.groupBy(F.col("child").alias("block")).agg(F.collect_list(F.struct("part", "answer")).alias("answers"))  # of one block's own pre-tokens
+    joined = packs.drop("tokens").join(own, "block", "left").drop("block")
 
     def add_up(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                pieces = np.zeros(row["distinct"], np.int64)
-                for p in row["parts"] or []:
-                    pieces[np.cumsum(unpacked(p["places"], np.int32))] = unpacked(p["pieces"], np.uint32)
+                pieces = answers_of(codec, row["answers"])[0].astype(np.int64) if row["answers"] else np.zeros(0, np.int64)
                 sizes, steps, times = unpacked(row["sizes"], np.int64), unpacked(row["held"], np.int32).astype(np.int64), unpacked(row["times"], np.uint32)
                 ends = np.cumsum(sizes)
                 places = np.cumsum(steps)
@@ -199,4 +220,6 @@ def token_counts(
                 )
 
     out = joined.mapInArrow(add_up, f"id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
-    return out.withColumnRenamed("id", id_col)
+    out = written(out.withColumnRenamed("id", id_col), "counts")
+    discard(packs)
+    return out

@@ -1,7 +1,9 @@
 """Plain, slow versions of the corpus operators, written apart from them."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 from itertools import combinations
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,3 +89,83 @@ def url(rules, address, default="allow"):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UP)) + [None]
+
+
+class NgramCounts:
+    """Counts of a list of texts; "<" is the begin, None the end."""
+
+    def __init__(self, texts):
+        self.word, self.pair, self.begins = Counter(), Counter(), 0
+        for t in texts:
+            ws = _tokens(t)
+            self.begins += 1
+            self.word.update(ws)
+            self.pair.update(zip(["<"] + ws[:-1], ws))
+        self.total = sum(self.word.values())
+
+    def context(self, w):
+        return self.begins if w == "<" else self.word[w]
+
+
+def _bucket(n):
+    return int(math.floor(math.log2(1 + n)))
+
+
+def _rounded(p):
+    """To quarters of an octave, 2^-48 at least; 0 stays 0."""
+    return 2.0 ** (-min(1 + round(-4 * math.log2(p)), 192) / 4 + 0.25) if p > 0 else 0.0
+
+
+def interpolation_weights(counted, held_out, rounds=100, tied=20.0):
+    """Weights (pair, word, uniform) by bucket, by EM on the held-out texts under the counts of the others."""
+    c = NgramCounts(counted)
+    v = len(set(c.word) | set(NgramCounts(held_out).word))
+    seen = Counter()
+    for t in held_out:
+        ws = _tokens(t)
+        for a, b in zip(["<"] + ws[:-1], ws):
+            n = c.context(a)
+            seen[_bucket(n), _rounded(c.pair[a, b] / n if n else 0), _rounded(c.word[b] / max(c.total, 1))] += 1
+    start = (0.4, 0.55, 0.05)
+
+    def climb(cells, at, prior):
+        for _ in range(rounds):
+            got = list(prior)
+            for (p2, p1), n in cells:
+                parts = [at[0] * p2, at[1] * p1, at[2] / (v + 1)]
+                for k in range(3):
+                    got[k] += n * parts[k] / sum(parts)
+            at = [x / sum(got) for x in got]
+        return at
+
+    by = {}
+    for (b, p2, p1), n in seen.items():
+        by.setdefault(b, []).append(((p2, p1), n))
+    weights = {b: start for b in range(65)}
+    if seen and counted:
+        together = climb([x for cells in by.values() for x in cells], start, [1e-3] * 3)
+        weights = {b: climb(by.get(b, []), together, [w * tied for w in together]) for b in range(65)}
+    w = weights[0]
+    weights[0] = (0.0, w[1] / (1 - w[0]), w[2] / (1 - w[0]))
+    return weights
+
+
+def lm_scores(docs, learn, deleted):
+    """{id: (n_tokens, n_known, train_tokens, base, score)}; ``deleted`` says which of the texts learned from are held out."""
+    rows = [(i, t) for i, t in docs if learn(i)]
+    weights = interpolation_weights([t for i, t in rows if not deleted(i)], [t for i, t in rows if deleted(i)])
+    c = NgramCounts([t for _, t in rows])
+    n, v, out = c.total, len(c.word), {}
+    for i, t in docs:
+        ws, score, base = _tokens(t), 0.0, 0.0
+        for a, b in zip(["<"] + ws[:-1], ws):
+            k = c.context(a)
+            w = weights[_bucket(k)]
+            score += math.log10(w[2] / (v + 1) + w[1] * c.word[b] / n + (w[0] * c.pair[a, b] / k if k else 0))
+            base += math.log10((c.word[b] + 0.5) / (n + 0.5 * (v + 1)))
+        out[i] = (len(ws), sum(c.word[x] > 0 for x in ws), n, base, score)
+    return out

@@ -1,15 +1,15 @@
 """Toxicity, decontamination, language model, token counts, SentencePiece."""
 
-import collections
 import hashlib
+import json
 import math
 import random
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import brute
@@ -119,50 +119,27 @@ def test_proximity(spark):
 # ------------------------------------------------------------------------ language model
 
 
-def model_by_hand(docs, learn, weights, held):
-    """Scores by the formula with given weights."""
-    toks = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(brute.UP)) + [None] for i, t in docs}
-    c, c2, begins = collections.Counter(), collections.Counter(), 0
-    for i, ws in toks.items():
-        if learn(i):
-            begins += 1
-            c.update(ws)
-            c2.update(zip(["<"] + ws[:-1], ws))
-    n, v = sum(c.values()), len(c)
-    context = lambda w: begins if w == "<" else c[w]
-    out = {}
-    for i, ws in toks.items():
-        score = base = 0.0
-        for a, b in zip(["<"] + ws[:-1], ws):
-            w = weights[int(math.log2(1 + context(a)))]
-            p = w[2] / (v + 1) + (w[1] * c[b] / n if n else 0) + (w[0] * c2[a, b] / context(a) if context(a) else 0)
-            score += math.log10(p)
-            base += math.log10((c[b] + 0.5) / (n + 0.5 * (v + 1)))
-        out[i] = (len(ws), sum(c[w] > 0 for w in ws), n, base, score)
-    return out
-
-
-def test_language_model(spark, monkeypatch):
-    seen = {}
-    learn_weights = lm_score.learn_weights
-
-    def spy(cells, vocabulary):
-        seen["w"] = learn_weights(cells, vocabulary)
-        return seen["w"]
-
-    monkeypatch.setattr(lm_score, "learn_weights", spy)
+def deleted(i):
+    """A fifth by a hash of the id and a word, as Spark's xxhash64 chains them."""
+    h = xxhash.xxh64(b"deleted", seed=xxhash.xxh64(str(i).encode(), seed=42).intdigest()).intdigest()
+    return (h - (h >> 63 << 64)) % 5 == 0
+
+
+@pytest.mark.parametrize("parts, fan_in, chars", [(128, 256, 5_000_000), (128, 256, 30_000), (3, 4, 60_000)])
+def test_language_model(spark, parts, fan_in, chars):
+    """Counts, tally, weights and scores against a plain version; one block, many, and a tree of several levels."""
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()] + [(1000 + i, t) for i, t in enumerate(ODD)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = lm_score.lm_scores(df, learn=F.crc32(F.col("doc_id").cast("string")) % 5 != 1, block_chars=30_000, keys_per_range=5_000).collect()
-    want = model_by_hand(docs, lambda i: zlib.crc32(str(i).encode()) % 5 != 1, seen["w"], None)
+    learn = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    got = lm_score.lm_scores(df, learn=F.crc32(F.col("doc_id").cast("string")) % 5 != 1, block_chars=chars, parts=parts, fan_in=fan_in).collect()
+    want = brute.lm_scores(docs, learn, deleted)
     assert len(got) == len(want)
     for r in got:
         n, known, train, base, score = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, train) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, train, not learn(r.doc_id))
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert np.allclose(seen["w"].sum(axis=1), 1)
 
 
 def test_em_finds_the_weights():
@@ -200,6 +177,9 @@ def test_token_counts(spark):
     want = {i: (len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in docs}
     assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+    # many blocks, and a tree of several levels
+    small = token_count.token_counts(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), path, block_chars=60_000, parts=3, fan_in=4).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in small} == want
     assert token_count.token_counts(odd_docs(spark), path).count() == len(ODD) + 2
     assert token_count.token_counts(empty_docs(spark), path).count() == 0
 
@@ -207,6 +187,10 @@ def test_token_counts(spark):
 def test_counter_refuses_other_files():
     with pytest.raises(ValueError):
         token_count.PieceCounter(open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read())
+    said = json.loads(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
+    said["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError):
+        token_count.PieceCounter(json.dumps(said))
 
 
 # -------------------------------------------------------------------------- SentencePiece
