@@ -26,12 +26,22 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/helmsight-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch for deleting a query's exchanges from the executors' disks as soon as the query has run
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its
-    lineage: a lost executor costs the tasks that ran on it and no earlier stage."""
+    lineage: a lost executor costs the tasks that ran on it and no earlier stage.
+    The exchanges that made the table are not needed again and are deleted."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._helmsight_path = path
     return out

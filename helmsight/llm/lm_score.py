@@ -263,6 +263,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     asked = packs.select("block", *of_block).mapInArrow(send, "child string, part long, keys binary, vals binary")
     answers = answered(asked, n_blocks, COUNTS, parts, fan_in)
     own = answers.groupBy(F.col("child").alias("block")).agg(F.collect_list(F.struct("part", "answer")).alias("answers"), F.sum("extra").alias("extra"))  # one block's own keys
+    own = written(own, "answers")  # which ends the largest exchange, that of what the blocks ask
 
     def tally(batches):
         for batch in batches:
@@ -285,7 +286,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     tallied = T.StructType([f for f in schema.fields if f.name in ("ids", *of_block)])
     tallied = T.StructType([tallied["ids"], *(tallied[c] for c in of_block), T.StructField("extra", T.LongType()), T.StructField("totals", T.BinaryType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("cells", "times"))])
     counted = written(packs.select("block", "ids", *of_block).join(own, "block").mapInArrow(tally, tallied), "counts")
-    discard(packs)
+    discard(packs, own)
     # the begin is a context and no token, so it is not one of the V words
     vocabulary = int(counted.agg(F.sum("extra")).first()[0] or 0) - (1 if n_counted + n_held else 0)
     if n_held and n_counted:
