@@ -3,14 +3,17 @@
 A document is a bag of sentences, and only documents have labels. A word w of a
 sentence causes toxicity with a hazard h[w] >= 0, so
 
-    p(sentence) = 1 - exp(-sum of h[w] over its words)
+    p(sentence) = 1 - exp(-sum of h[w] over its distinct words)
     p(document) = 1 - (1 - leak) * product over sentences of (1 - p(sentence))
 
 which is a noisy-or of the sentences (and inside them of the words), with a leak for
-labels that no word explains. The hazards are fitted by expectation-maximisation: the
-cause of a toxic label is shared out over the words of its document, so what one word
-explains is not credited to the others; a clean label denies all its words. Once
-fitted, the sentence scores say where a document offends.
+labels that no word explains. A word counts once a sentence, in training and in scoring.
+The hazards are fitted by expectation-maximisation: of the cause of a toxic label a
+sentence gets the share p(sentence) / p(document), and in it a word h[w] / p(sentence),
+so what one word explains is not credited to the others; a clean label denies all
+sentences. The product of both shares is h[w] / p(document), so for the fit a document
+is told by the number of its sentences with each word. Once fitted, the sentence scores
+say where a document offends.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, discard, written
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,14 +49,14 @@ class Model:
 
     def sentence(self, words: list[str]) -> float:
         get = self.hazard.get
-        return -float(np.expm1(-sum(get(w, 0.0) for w in words)))
+        return -float(np.expm1(-sum(get(w, 0.0) for w in set(words))))
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score and (start, end, score) of each sentence that is not quite clean."""
         get, total, found = self.hazard.get, 0.0, []
         for m in SENTENCE.finditer(text):
             h = 0.0
-            for w in WORD.findall(m.group().lower()):
+            for w in set(WORD.findall(m.group().lower())):
                 h += get(w, 0.0)
             if h:
                 total += h
@@ -94,16 +97,19 @@ def fit(words: pa.ListArray, times: np.ndarray, toxic: np.ndarray, least_docs: i
         h = np.bincount(w, weights=h[w] * x * share[d], minlength=n_words) / shown
         leak = float((leak * share).sum() / (n_docs + 20))  # as if 20 clean documents more had been seen
     words = coded.dictionary.to_pylist()
-    return Model({words[i]: float(h[i]) for i in np.flatnonzero(h > 1e-3)}, -float(np.expm1(-leak)))
+    return Model({words[i]: float(h[i]) for i in np.flatnonzero(h)}, -float(np.expm1(-leak)))
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 10_000
+    docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 10_000, most_bytes: int = 64_000_000
 ) -> Model:
-    """Fit on at most ``most`` labelled documents: those of smallest hash among the rows of ``labels`` that ``use`` admits.
+    """Fit on at most ``most`` labelled documents of at most ``most_bytes`` of text in all: those of smallest
+    hash among the rows of ``labels`` that ``use`` admits; a text that no longer fits is passed over.
 
-    The bound holds for the fit alone; scoring covers every document. An id labelled
-    both ways counts as toxic; null ids and null labels are not learned from.
+    The bounds hold for the fit alone; scoring covers every document. An id labelled
+    both ways counts as toxic; null ids and null labels are not learned from. Null and
+    empty texts have no words. Of an id with several rows each is learned from. Without
+    labels or documents the model is empty and its leak 0.
     """
     named = labels.filter(use & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     picked = named.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
@@ -111,14 +117,26 @@ def train(
 
     def bags(batches):
         for batch in batches:
-            each = [bag(t.as_py() or "") for t in batch.column(1)]
+            each = [bag(t.as_py() or "") for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([list(b) for b in each], pa.list_(pa.string())), pa.array([list(b.values()) for b in each], pa.list_(pa.int32()))],
-                ["y", "words", "times"],
+                [*batch.columns[:3], pa.array([list(b) for b in each], pa.list_(pa.string())), pa.array([list(b.values()) for b in each], pa.list_(pa.int32()))],
+                ["at", "size", "y", "words", "times"],
             )
 
-    got = rows.select(F.col("_y").cast("int").alias("_y"), "_text").mapInArrow(bags, "y int, words array<string>, times array<int>").toArrow()
-    return fit(got.column("words").combine_chunks(), got.column("times").combine_chunks().flatten().to_numpy(), got.column("y").to_numpy() > 0)
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    told = rows.select(F.xxhash64("_id").alias("at"), size.alias("size"), F.col("_y").cast("int").alias("y"), "_text")
+    told = written(told.mapInArrow(bags, "at long, size long, y int, words array<string>, times array<int>").withColumn("row", F.monotonically_increasing_id()), "bags")
+    fits, total = [], 0
+    for r in told.select("row", "size", "at").orderBy("at", "row").limit(most).collect():  # at most `most` rows of three numbers
+        if total + r.size <= most_bytes:
+            fits.append(r.row)
+            total += r.size
+    chosen = docs.sparkSession.createDataFrame([(r,) for r in fits], "row long")
+    # in the order of their numbers, so that equal inputs give equal sums
+    got = told.join(F.broadcast(chosen), "row").select("row", "y", "words", "times").orderBy("row").toArrow()
+    discard(told)
+    column = lambda name: got.column(name).combine_chunks()
+    return fit(column("words"), column("times").flatten().to_numpy(), column("y").to_numpy() > 0)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -153,7 +171,12 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is below the threshold. Nothing is shuffled."""
+    """The rows of ``docs``, with all their columns, whose score is below the threshold. Nothing is shuffled.
+
+    Null, empty and wordless texts score the leak; very long ones are scored whole.
+    Repeated rows are judged each, so they stay or go together; null ids and columns of
+    any name pass through; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

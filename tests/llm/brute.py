@@ -169,3 +169,46 @@ def lm_scores(docs, learn, deleted):
             base += math.log10((c.word[b] + 0.5) / (n + 0.5 * (v + 1)))
         out[i] = (len(ws), sum(c.word[x] > 0 for x in ws), n, base, score)
     return out
+
+
+def _sentence_words(text):
+    return [set(re.findall(r"[^\W\d_]+", s.lower())) for s in re.findall(r"[^.!?\n]+", text or "")]
+
+
+def noisy_or_fit(docs, rounds=200, prior=2.0):
+    """docs: list of (text, toxic). (hazards, leak) by EM sentence by sentence."""
+    bags = [(_sentence_words(t), y) for t, y in docs]
+    in_docs, in_toxic, shown = Counter(), Counter(), Counter()
+    for ss, y in bags:
+        for w in set().union(*ss):
+            in_docs[w] += 1
+            in_toxic[w] += y
+        for s in ss:
+            shown.update(s)
+    h = {w: in_toxic[w] / (shown[w] + prior) for w in in_docs if in_docs[w] >= 3 and in_toxic[w] >= 2}
+    if not any(y for _, y in bags):
+        return {}, 0.0
+    leak = 0.1  # as a hazard
+    toxic = [[[w for w in s if w in h] for s in ss] for ss, y in bags if y]
+    for _ in range(rounds):
+        got, got_leak = dict.fromkeys(h, 0.0), 0.0
+        for ss in toxic:
+            hazards = [sum(h[w] for w in s) for s in ss]
+            p_doc = -math.expm1(-max(sum(hazards) + leak, 1e-12))
+            for s, total in zip(ss, hazards):
+                if total:
+                    p_sentence = -math.expm1(-total)
+                    of_sentence = p_sentence / p_doc
+                    for w in s:
+                        got[w] += of_sentence * h[w] / p_sentence
+            got_leak += leak / p_doc
+        h = {w: g / (shown[w] + prior) for w, g in got.items()}
+        leak = got_leak / (len(bags) + 20)
+    return h, -math.expm1(-leak)
+
+
+def noisy_or_score(model, text):
+    """(score, scores of the sentences)"""
+    h, leak = model
+    each = [-math.expm1(-sum(h.get(w, 0.0) for w in s)) for s in _sentence_words(text)]
+    return 1 - (1 - leak) * math.prod(1 - p for p in each), each

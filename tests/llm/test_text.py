@@ -53,6 +53,37 @@ def test_noisy_or_learns_sentences():
     assert math.isclose(score, 1 - (1 - m.leak) * math.prod(1 - f[2] for f in found))
 
 
+def test_toxicity_as_by_hand(spark):
+    """Hazards, leak, scores and sentences of the query against a plain version."""
+    docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    toxic = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    by_hand = brute.noisy_or_fit([(t, toxic[i]) for i, t in docs if i in toxic])
+    m = toxicity.train(table(spark, SF, "documents"), table(spark, SF, "labels"), F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    assert sum(toxic.values()) > 3 and math.isclose(m.leak, by_hand[1], rel_tol=1e-6, abs_tol=1e-12)
+    assert all(math.isclose(m.hazard.get(w, 0.0), h, rel_tol=1e-6, abs_tol=1e-12) for w, h in by_hand[0].items())
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, SF).collect()}
+    where = {r.doc_id: r.sentences for r in toxicity.toxicity(table(spark, SF, "documents"), m).collect()}
+    for i, t in docs:
+        score, each = brute.noisy_or_score(by_hand, t)
+        assert math.isclose(got[i].score, score, rel_tol=1e-9, abs_tol=1e-9) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i].n_offending == len(where[i]) == sum(p >= 0.3 for p in each)
+
+
+def test_a_word_counts_once_a_sentence():
+    m = toxicity.Model({"bad": 0.2}, 0.0)
+    once = 1 - math.exp(-0.2)
+    assert math.isclose(m.score("bad bad BAD")[0], once) and math.isclose(m.sentence(["bad"] * 3), once)
+    assert math.isclose(m.score("bad. bad")[0], 1 - math.exp(-0.4))
+
+
+def test_training_bounds(spark):
+    """Bounds by documents and by bytes; what does not fit is passed over."""
+    docs = spark.createDataFrame([(i, "awful thing" if i % 2 else "fine thing") for i in range(40)] + [(99, "awful " * 1000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(99, 1)], "doc_id long, toxic int")
+    train = lambda **k: toxicity.train(docs, labels, F.lit(True), **k).hazard
+    assert set(train()) == set(train(most_bytes=500)) == {"awful", "thing"} and train(most_bytes=5) == {} and train(most=1) == {}
+
+
 def test_toxicity_edges(spark):
     m = toxicity.Model({"one": 1.0}, 0.01)
     rows = toxicity.toxicity(odd_docs(spark), m).collect()
@@ -66,6 +97,7 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.train(odd_docs(spark), labels, F.lit(True)).hazard == {}
     assert toxicity.fit(pa.array([], pa.list_(pa.string())), np.array([]), np.array([])).leak == 0.0
+    assert toxicity.reject_toxic(empty_docs(spark), m).count() == 0
     kept = toxicity.reject_toxic(odd_docs(spark), m)
     assert kept.columns == odd_docs(spark).columns and kept.count() == len(ODD)
 
