@@ -4,8 +4,9 @@
 where an earlier capture has the same payload) and a metadata record; request and
 metadata name the response in WARC-Concurrent-To. Records are written by Spark's
 text sink, whose separator is the blank line pair that ends a record, so archives can
-lie in any store that Spark writes. `read_archives` parses any gzipped or plain
-archives by Content-Length, and `assemble` joins records into one row per capture.
+lie in any store that Spark writes; files are cut by bytes. `read_archives` parses any
+gzipped or plain archives by Content-Length, inflating and parsing as it goes, and
+`assemble` joins records into one row per capture.
 """
 
 from __future__ import annotations
@@ -14,12 +15,18 @@ import base64
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
 CRLF = "\r\n"
+#: equal rows that one task makes of one; more are dealt out in runs of so many
+EQUAL_ROWS = 1000
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -49,7 +56,7 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def write_archives(
-    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, records_per_file: int = 6000,
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, bytes_per_file: int = 16_000_000,
     every_row: bool = False,
 ) -> None:
     """Write gzipped archives of ``pages`` under ``path``.
@@ -60,7 +67,11 @@ def write_archives(
     in urls are percent-encoded in the target URI and kept exactly in the metadata.
     Null ids order last. Rows that repeat id, url and payload are one capture; with
     ``every_row`` they are numbered and each is a capture of its own. Numbers only tell
-    equal rows apart, so a task that runs again writes the same records.
+    equal rows apart, so a task that runs again writes the same records. An empty table
+    gives archives without records; other columns are ignored, whatever their names.
+
+    A file holds at most ``bytes_per_file`` before compression, or one capture that is
+    larger by itself.
     """
     rows = pages.select(
         F.col(id_col).alias("id"),
@@ -71,12 +82,29 @@ def write_archives(
     # ids as keys of joins, with null as one of them
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null")))
     capture = ["hex", "size", "key", "url"]
-    distinct = rows.select(*capture, "id").distinct()
+    distinct = rows.groupBy(*capture).agg(F.first("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     # null ids are never the smallest unless there are no others
-    first = distinct.groupBy("hex", "size").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "url")).alias("first"))
-    # payloads are dealt by whole captures, so a payload that many pages have stays spread out
-    d = rows.join(distinct.join(first, ["hex", "size"]).select(*capture, "first"), capture)
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy(*capture).orderBy("hex")) if every_row else F.lit(1))
+    # (copies are in it so that both uses of `distinct` have the same columns and share its exchange)
+    first = distinct.groupBy("hex", "size").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "url", "copies")).alias("first"))
+    # computed keys keep the join from taking over the aggregations' partitioning, so that
+    # adaptive execution can split a payload that many pages have
+    payload = lambda: F.concat_ws(" ", "hex", F.col("size").cast("string"))
+    first = first.select(payload().alias("_payload"), "first")
+    named = distinct.join(first, payload() == F.col("_payload")).select(*capture, "id", "copies", "first")
+    # whole captures are dealt, so a payload that many pages have stays spread out
+    if not every_row:
+        d = rows.join(named.drop("id"), capture).withColumn("n", F.lit(1))
+    else:
+        named = written(named, "captures")
+        few, many = named.filter(F.col("copies") <= EQUAL_ROWS), named.filter(F.col("copies") > EQUAL_ROWS)
+        d = rows.join(few.drop("id"), capture).withColumn("n", F.row_number().over(Window.partitionBy(*capture).orderBy("hex")))
+        if not many.isEmpty():
+            # of very many equal rows one is taken, and made again in runs
+            one = rows.select(*capture, "html").join(many, capture).dropDuplicates(capture)
+            runs = one.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / EQUAL_ROWS)))).repartition(*capture, "run")
+            start = F.col("run") * EQUAL_ROWS + 1
+            again = runs.withColumn("n", F.explode(F.sequence(start, F.least(start + EQUAL_ROWS - 1, F.col("copies")))))
+            d = d.select(*capture, "id", "html", "first", "n").unionByName(again.select(*capture, "id", "html", "first", "n"))
     d = d.withColumn("revisit", (F.col("size") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first.id")))
     own = (F.col("key"), F.col("hex"), F.col("n").cast("string"), F.col("url"))
     ids = {k: _uuid(F.lit(k), *own) for k in ("response", "request", "metadata")}
@@ -112,50 +140,104 @@ def write_archives(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", ids["metadata"]), *common, ("WARC-Concurrent-To", ids["response"]), ("Content-Type", F.lit("application/json"))],
         meta,
     )
-    records = d.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("compression", "gzip").option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+
+    def files(batches):
+        """Captures of a task, put together up to a file's bytes: one row a file."""
+        held, size = [], 0
+        for batch in batches:
+            for r in batch.column(0).cast(pa.binary()).to_pylist():
+                if held and size + len(r) > bytes_per_file:
+                    yield _one_string(_BETWEEN.join(held))
+                    held, size = [], 0
+                held.append(r)
+                size += len(r) + len(_BETWEEN)
+        if held:
+            yield _one_string(_BETWEEN.join(held))
+
+    captures = d.select(F.concat_ws(CRLF * 2, request, response, metadata).alias("value")).mapInArrow(files, "value string")
+    captures.write.option("compression", "gzip").option("lineSep", CRLF * 2).option("maxRecordsPerFile", 1).text(path)
+    if every_row:
+        discard(named)
+
+
+_BETWEEN = (CRLF * 2).encode()
+
+
+def _one_string(data: bytes) -> pa.RecordBatch:
+    offsets = pa.py_buffer(np.array([0, len(data)], np.int32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), 1, [None, offsets, pa.py_buffer(data)])], ["value"])
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r?\n")
 
 
-def parse(data: bytes):
+#: bytes that are taken from a file, and records that are handed on, at a time
+STEP, BATCH_BYTES = 1 << 20, 16_000_000
+
+
+def plain(data: bytes) -> Iterator[bytes]:
+    """Plain bytes of a gzip file of any number of members, or of a plain file, piece by piece."""
+    at = 0
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at : at + STEP] for at in range(0, len(data), STEP))
+        return
+    while at < len(data):
+        if data[at : at + 2] != b"\x1f\x8b":
+            raise ValueError(f"no gzip member at byte {at}")
+        z = zlib.decompressobj(31)
+        while not z.eof:
+            piece = data[at : at + STEP]
+            if not piece:
+                raise ValueError("gzip file is cut short")
+            if out := z.decompress(piece, 4 * STEP):
+                yield out
+            at += len(piece) - len(z.unconsumed_tail) - len(z.unused_data)
+
+
+def inflated(data: bytes) -> bytes:
+    return b"".join(plain(data))
+
+
+def parse(data: bytes | Iterator[bytes]):
     """(offset, headers, block) of each record; names in lower case, repeated ones in a list.
 
-    Raises on a record that is cut short: an archive is never taken for complete when it is not.
+    Takes bytes or pieces of them and holds one record and one piece at a time. Raises on
+    a record that is cut short: an archive is never taken for complete when it is not.
     """
-    at, size = 0, len(data)
-    while at < size:
-        while at < size and data[at] in b"\r\n":
+    pieces = iter([data]) if isinstance(data, bytes) else data
+    held, at, base = bytearray(), 0, 0  # held[at] is byte base + at of the archive
+
+    def more() -> bool:
+        nonlocal at, base
+        del held[:at]
+        base, at = base + at, 0
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while at < len(held) and held[at] in b"\r\n":
             at += 1
-        if at >= size:
-            return
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        start, end = data.index(b"\n", at) + 1, data.index(b"\r\n\r\n", at)
+        if at == len(held):
+            if not more():
+                return
+            continue
+        while len(held) - at < 5 and more():
+            pass
+        if not held.startswith(b"WARC/", at):
+            raise ValueError(f"no WARC record at byte {base + at}")
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError(f"the record at byte {base + at} is cut short")
         headers: dict[str, list[str]] = {}
-        for m in _HEADER.finditer(data, start, end + 2):
+        for m in _HEADER.finditer(bytes(held[held.index(b"\n", at) + 1 : end + 2])):
             headers.setdefault(m[1].decode("utf-8").lower(), []).append(m[2].decode("utf-8", "replace").strip())
-        length = int(headers["content-length"][0])
-        body = end + 4
-        if body + length > size:
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield at, headers, data[body : body + length]
-        at = body + length
-
-
-def inflated(data: bytes) -> bytes:
-    """Plain bytes of a gzip file of any number of members, or of a plain file."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        if not z.eof:
-            raise ValueError("gzip file is cut short")
-        data = z.unused_data
-    return b"".join(out)
+        length, head = int(headers["content-length"][0]), end + 4 - at
+        while len(held) < at + head + length:
+            if not more():
+                raise ValueError(f"the record at byte {base + at} is cut short")
+        yield base + at, headers, bytes(held[at + head : at + head + length])
+        at += head + length
 
 
 RECORD = (
@@ -169,13 +251,16 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     payload is the entity of HTTP messages and the block of others, null without
     ``payloads``; payload_digest is computed from it, stated_* are what headers say.
+    A file comes as one value, as Spark reads it (2 GB at most, or it fails), and is
+    inflated and parsed piece by piece. Files without records, and folders of such, give
+    no rows; records that came twice give a row each.
     """
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for offset, h, block in parse(inflated(content.as_py())):
+                rows, size = [], 0
+                for offset, h, block in parse(plain(content.as_py())):
                     one = lambda n, h=h: h.get(n, [None])[0]
                     stated = None
                     if (one("content-type") or "").startswith("application/http"):
@@ -189,8 +274,15 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                             block if payloads or one("content-type") == "application/json" else None, name, offset,
                         )
                     )
-                for start in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[start : start + 2000], strict=True), schema, strict=True)], schema=schema)
+                    size += len(rows[-1][-3] or b"")
+                    if len(rows) >= 2000 or size > BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     s, n = pa.string(), pa.int64()
     types = [s, s, s, s, pa.list_(s), s, s, s, n, n, s, pa.binary(), s, n]

@@ -29,7 +29,7 @@ def captures(spark, tmp_path, rows, **more):
 
 
 def test_round_trip(spark, tmp_path):
-    records, _ = captures(spark, tmp_path, PAGES, records_per_file=4)
+    records, _ = captures(spark, tmp_path, PAGES, bytes_per_file=4000)
     assert records.count() == 3 * len(PAGES) and records.select("file").distinct().count() > 1
     rows = warc.assemble(records).collect()
     assert len(rows) == len(PAGES)
@@ -81,6 +81,65 @@ def test_every_page_row_is_a_capture(spark, tmp_path):
     agree(queries.op2_warc(spark, sf), con, queries.OP2_SQL)
 
 
+def test_no_pages_and_no_archives(spark, tmp_path):
+    records, path = captures(spark, tmp_path, [], every_row=True)
+    assert records.count() == 0 and warc.assemble(records).count() == 0
+
+
+@pytest.mark.parametrize("every_row", [False, True])
+def test_long_pages_and_file_sizes(spark, tmp_path, every_row):
+    """Files are cut by bytes, not by pages; a page that is larger than a file has one by itself."""
+    import glob
+
+    rows = [(i, f"http://a/{i}", str(i) + "x" * 1000 * (i % 50)) for i in range(400)] + [(1000, "http://long/", "é" * 3_000_000), (1001, "http://long/", "é" * 3_000_000 + "!")]
+    records, path = captures(spark, tmp_path, rows, bytes_per_file=400_000, every_row=every_row)
+    assert records.count() == 3 * len(rows)
+    sizes = [len(warc.inflated(open(f, "rb").read())) for f in glob.glob(f"{path}/part-*")]
+    assert len(sizes) >= 25 and all(s <= 400_000 + 4 or 6_000_000 < s < 6_010_000 for s in sizes)
+    got = {r.capture_id: r for r in warc.assemble(records).collect()}
+    assert len(got) == len(rows) and max(r.response.payload_bytes for r in got.values()) == 6_000_001
+
+
+def test_very_many_equal_rows(spark, tmp_path, monkeypatch):
+    """More equal rows than one task makes; all come back, and revisits find the first of them."""
+    monkeypatch.setattr(warc, "EQUAL_ROWS", 10)
+    rows = [(1, "http://a/", "x")] * 95 + [(None, None, None)] * 41 + [(2, "http://b/", "x")] * 10 + [(3, "http://c/", "z")]
+    records, _ = captures(spark, tmp_path, rows, every_row=True)
+    made = warc.assemble(records).collect()
+    assert len(made) == len(rows) == records.filter("type in ('response', 'revisit')").select("record_id").distinct().count()
+    own = {r.capture_id for r in made if r.response.type == "response"}
+    assert len(own) == 95 + 41 + 1 and {r.response.refers_to for r in made if r.response.type == "revisit"} <= own
+
+
+def test_a_popular_payload_can_be_split(spark, tmp_path):
+    """Both sides of the joins that spread what a payload has are exchanges, which adaptive execution can split."""
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    seen = []
+    keep = warc.written
+    try:
+        warc.written = lambda d, name: seen.append(d) or keep(d, name)
+        warc.write_archives(df, str(tmp_path / "w"), every_row=True)
+    finally:
+        warc.written = keep
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [x.strip(" :+-*") for x in seen[0]._jdf.queryExecution().executedPlan().toString().split("\n")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sides = [i for i, x in enumerate(lines) if x.startswith(("Sort [concat_ws", "Sort [_payload"))]
+    assert len(sides) == 2 and all(lines[i + 1].startswith("Exchange hashpartitioning") for i in sides)
+    assert sum(x.startswith("ReusedExchange") for x in lines) <= 1
+
+
+def test_parsing_piece_by_piece():
+    record = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 5\r\n\r\nhe\r\no\r\n\r\n"
+    whole = list(warc.parse(record * 3))
+    for n in (1, 2, 7, 50):
+        data = record * 3
+        assert list(warc.parse(data[i : i + n] for i in range(0, len(data), n))) == whole
+    assert [o for o, _, _ in whole] == [0, len(record), 2 * len(record)]
+
+
 def test_links_both_ways_and_orphans(spark):
     row = lambda i, t, to: (i, t, None, None, to, None, None, None, None, 0, "", b"", "f", 0)
     df = spark.createDataFrame([row("r1", "response", ["q1"]), row("q1", "request", []), row("m1", "metadata", ["r1", "zz"]), row("q2", "request", ["gone"]), row("r2", "revisit", []), row("m1", "metadata", ["r1"])], warc.RECORD)
