@@ -6,10 +6,10 @@ positions at which it occurs. Terms are never gathered across segments, so a wor
 that every document holds makes no task larger than its segment. The index is a
 table in the shared folder and can be searched again.
 
-`search` sends a block of benchmark phrases to all segments. In each, a phrase
-starts from the positions of its rarest term and keeps those that the offset-adjusted
-positions of its other terms confirm, from rare to frequent. `proximity` finds
-places where all terms of a query lie within so many words.
+`search` sends a block of benchmark phrases to all segments. In each, all phrases start
+together from the positions of their rarest terms and keep those that the offset-adjusted
+positions of their other terms confirm, from rare to frequent. `proximity` finds places
+where all terms of a query lie within so many words.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, blocks, coded, written
+from .common import ascii_lower, blocks, coded, discard, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -34,18 +34,13 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(ascii_lower(text or ""))
 
 
-def windows(item: list[str], size: int) -> list[tuple[str, ...]]:
-    """Runs of ``size`` words; the whole of a shorter item; nothing of an empty one."""
-    if len(item) <= size:
-        return [tuple(item)] if item else []
-    return [tuple(item[i : i + size]) for i in range(len(item) - size + 1)]
-
-
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_chars: int = 3_000_000) -> DataFrame:
     """Positional inverted index of ``docs``, one row per segment; written to the shared folder.
 
     Positions number the words of the segment's documents one after the other, with
     one number left out between documents, so no run of positions crosses documents.
+    Null and empty texts have no positions; a very long text is a segment by itself;
+    repeated rows are documents each; an empty table gives no segments.
     """
     kind = docs.schema[id_col].dataType
     ids = T.ArrayType(kind)
@@ -92,6 +87,7 @@ class Segment:
         self.terms = get("terms").values
         self.starts, self.offsets = ints("starts"), ints("offsets")
         self.positions = np.cumsum(ints("gaps"), dtype=np.int32)
+        self.postings_in_order = np.repeat(np.arange(len(self.offsets) - 1, dtype=np.int64) << 32, np.diff(self.offsets)) + self.positions
 
     def find(self, vocabulary: pa.Array) -> np.ndarray:
         """The segment's number of each word, -1 where it has none."""
@@ -104,19 +100,35 @@ class Segment:
     def document(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
-    def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """Positions at which the terms follow one another."""
-        order = np.argsort(self.offsets[terms + 1] - self.offsets[terms], kind="stable")
-        found = self.postings(terms[order[0]]) - np.int32(order[0])
-        for k in order[1:]:
-            held = self.postings(terms[k])
-            want = found + np.int32(k)
-            at = np.searchsorted(held, want)
-            at[at == len(held)] = 0
-            found = found[held[at] == want]
-            if not len(found):
-                break
-        return found
+    def phrases(self, terms: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """terms: a row of term numbers a phrase. Pairs (row, position) at which a row's terms follow one another.
+
+        Postings of rarest terms are taken ``most`` at a time, or those of one phrase.
+        """
+        held = self.offsets[terms + 1] - self.offsets[terms]
+        order = np.argsort(held, axis=1, kind="stable")
+        row = np.arange(len(terms))
+        rarest = terms[row, order[:, 0]]
+        first, n = self.offsets[rarest].astype(np.int64), held[row, order[:, 0]].astype(np.int64)
+        cuts = np.cumsum(n) // most
+        for part in np.split(row, np.flatnonzero(np.diff(cuts)) + 1):
+            own = np.repeat(part, n[part])
+            at = np.arange(len(own)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + first[own]
+            start = self.positions[at].astype(np.int64) - order[own, 0]
+            for k in range(1, terms.shape[1]):
+                place = order[own, k]
+                ok = self.holds(terms[own, place], start + place)
+                own, start = own[ok], start[ok]
+                if not len(own):
+                    break
+            yield own, start
+
+    def holds(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """Whether terms have positions: both sorted together, as the postings are."""
+        want = (terms << 32) + positions
+        at = np.searchsorted(self.postings_in_order, want)
+        at[at == len(self.postings_in_order)] = 0
+        return self.postings_in_order[at] == want
 
     def near(self, terms: np.ndarray, within: int) -> np.ndarray:
         """Last positions of stretches of at most ``within`` words that hold all terms, in any order."""
@@ -133,75 +145,103 @@ class Segment:
         return ends[self.document(ends) == self.document(first)]
 
 
-def _chunks(benchmark: DataFrame, id_col: str, text_col: str, chars: int) -> Iterator[list[tuple]]:
-    """The query set in blocks of a bounded size, partition by partition."""
+def _chunks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple]]:
+    """The query set in blocks of a bounded number of bytes, partition by partition."""
     chunk, size = [], 0
     for row in benchmark.select(id_col, text_col).toLocalIterator():
-        if chunk and size + len(row[1] or "") > chars:
+        own = len((row[1] or "").encode("utf-8", "surrogatepass"))
+        if chunk and size + own > most:
             yield chunk
             chunk, size = [], 0
         chunk.append((row[0], row[1]))
-        size += len(row[1] or "")
+        size += own
     yield chunk
 
 
-def search(index: DataFrame, chunk: list[tuple], id_type: T.DataType, window: int = 10) -> DataFrame:
-    """One row per document: segment, ordinal, doc, n_words, hits (word numbers inside any
-    occurrence of a window of any item of the chunk), items (ids as strings)."""
-    numbers: dict[str, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for key, text in chunk:
-        for w in windows(words(text), window):
-            owners.setdefault(tuple(numbers.setdefault(x, len(numbers)) for x in w), set()).add("null" if key is None else str(key))
-    sent = index.sparkSession.sparkContext.broadcast((list(numbers), list(owners), [sorted(x) for x in owners.values()]))
+def search(index: DataFrame, chunk: list[tuple], window: int = 10) -> DataFrame:
+    """Rows (segment, ordinal, hits, items), one per document with hits: the numbers of its words that lie inside
+    any occurrence of a window of any item of the chunk, and these items (ids as strings).
+
+    chunk: (id, text). A window is ``window`` words that follow one another, or all of an item that
+    has fewer. Null and empty texts have no windows; an item without an id is named "null"; items that
+    repeat an id count once. No index and no items: no rows. The chunk's words go to all tasks as numbers.
+    """
+    each = [words(text) for _, text in chunk]
+    codes, vocabulary = coded([w for ws in each for w in ws])
+    names = ["null" if key is None else str(key) for key, _ in chunk]
+    sent = index.sparkSession.sparkContext.broadcast((pa.array(vocabulary, pa.string()), codes.astype(np.int32), np.array([len(ws) for ws in each], np.int64), names))
+    del each
+
+    def windows(lengths: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, first words, items) of all windows, by their size."""
+        size = np.minimum(lengths, window)
+        n = np.where(lengths > 0, lengths - size + 1, 0)
+        item = np.repeat(np.arange(len(lengths)), n)
+        first = (np.cumsum(lengths) - lengths)[item] + np.arange(len(item)) - (np.cumsum(n) - n)[item]
+        return [(int(k), first[size[item] == k], item[size[item] == k]) for k in np.unique(size[item])]
 
     def run(batches):
-        vocabulary, phrases, of = sent.value
-        vocabulary = pa.array(vocabulary, pa.string())
-        by_length: dict[int, list[int]] = {}
-        for n, p in enumerate(phrases):
-            by_length.setdefault(len(p), []).append(n)
-        matrices = [(np.array(ns), np.array([phrases[n] for n in ns])) for ns in by_length.values()]
+        vocabulary, codes, lengths, names = sent.value
+        every = windows(lengths)
         for batch in batches:
             for row in range(batch.num_rows):
                 s = Segment(batch, row)
-                number = s.find(vocabulary)
-                hit = np.zeros(int(s.starts[-1]) + 1, bool)
-                items: list[set[str]] = [set() for _ in s.ids]
-                for ns, matrix in matrices:
-                    terms = number[matrix]
-                    for k in np.flatnonzero((terms >= 0).all(axis=1)):
-                        found = s.phrase(terms[k])
-                        if len(found):
-                            for step in range(matrix.shape[1]):
-                                hit[found + step] = True
-                            for d in set(s.document(found).tolist()):
-                                items[d].update(of[ns[k]])
+                number = s.find(vocabulary)[codes] if len(codes) else np.empty(0, np.int64)
+                missing = np.concatenate(([0], np.cumsum(number < 0)))
+                hit, found = np.zeros(int(s.starts[-1]) + 1, bool), []
+                for size, first, item in every:
+                    here = np.flatnonzero(missing[first + size] == missing[first])
+                    for some in np.split(here, range(200_000, len(here), 200_000)):
+                        for own, start in s.phrases(number[first[some, None] + np.arange(size)]):
+                            for step in range(size):
+                                hit[start + step] = True
+                            found.append(np.unique(s.document(start) * len(names) + item[some[own]]))
                 at = np.flatnonzero(hit)
+                if not len(at):
+                    continue
                 owner = s.document(at)
-                bounds = np.searchsorted(owner, np.arange(len(s.ids) + 1))
+                docs = np.unique(owner)
+                bounds = np.searchsorted(owner, np.append(docs, len(s.ids)))
+                pairs = np.unique(np.concatenate(found))
+                items = [sorted({names[i] for i in pairs[slice(*np.searchsorted(pairs, [d * len(names), (d + 1) * len(names)]))] % len(names)}) for d in docs.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([s.name] * len(s.ids)),
-                        pa.array(range(len(s.ids)), pa.int32()),
-                        pa.array(s.ids, arrow_type),
-                        pa.array(np.diff(s.starts).astype(np.int64) - 1),
-                        pa.array([(at[a:b] - s.starts[d]).tolist() for d, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))], pa.list_(pa.int32())),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                        pa.array([s.name] * len(docs)),
+                        pa.array(docs, pa.int32()),
+                        pa.array([at[a:b] - s.starts[d] for d, a, b in zip(docs, bounds, bounds[1:], strict=False)], pa.list_(pa.int32())),
+                        pa.array(items, pa.list_(pa.string())),
                     ],
-                    ["segment", "ordinal", "doc", "n_words", "hits", "items"],
+                    ["segment", "ordinal", "hits", "items"],
                 )
 
+    return index.mapInArrow(run, "segment string, ordinal int, hits array<int>, items array<string>")
+
+
+def documents_of(index: DataFrame, id_type: T.DataType) -> DataFrame:
+    """Rows (segment, ordinal, doc, n_words), one per document of an index."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_type = to_arrow_type(id_type)
-    return index.mapInArrow(
-        run, f"segment string, ordinal int, doc {id_type.simpleString()}, n_words long, hits array<int>, items array<string>"
-    )
+
+    def run(batches):
+        for batch in batches:
+            for name, ids, starts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                n = len(ids.values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * n), pa.array(range(n), pa.int32()), ids.values.cast(arrow_type), pa.array(np.diff(np.frombuffer(starts, np.int32)).astype(np.int64) - 1)],
+                    ["segment", "ordinal", "doc", "n_words"],
+                )
+
+    return index.select("segment", "ids", "starts").mapInArrow(run, f"segment string, ordinal int, doc {id_type.simpleString()}, n_words long")
 
 
 def proximity(index: DataFrame, queries: dict[str, list[str]], id_type: T.DataType, within: int) -> DataFrame:
-    """Rows (doc, query, ends): where all words of a query lie within so many words, in any order."""
+    """Rows (doc, query, ends): where all words of a query lie within so many words, in any order.
+
+    ends are the numbers of last words. A word that a query repeats counts once; queries
+    without words find nothing; repeated documents are reported each. Of many queries,
+    give those of one call a bounded size: they go to all tasks.
+    """
     asked = {name: [ascii_lower(w) for w in dict.fromkeys(ws)] for name, ws in queries.items() if ws}
 
     def run(batches):
@@ -235,28 +275,32 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = 10,
-    chunk_chars: int = 16_000_000,
+    chunk_bytes: int = 8_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, hits, items.
 
-    Benchmarks of any size are taken in blocks of ``chunk_chars``, each broadcast and
-    searched against the whole index; blocks only add hits, so their union is exact.
+    Benchmarks of any size are taken in blocks of ``chunk_bytes``, each broadcast and
+    searched against the whole index; blocks only add hits, so their union is exact. A
+    block costs the driver some 20 times its bytes for a moment, and a task 10 times.
 
     * null and empty texts have no words, no hits and no items; null and empty items match nothing;
     * items that repeat a text all count, items that repeat an id count once, items without an id are named "null";
     * repeated rows of ``docs`` are told apart and reported each; null ids stay;
     * an empty benchmark leaves all documents clean; an empty table gives no rows;
     * other columns are ignored, whatever their names.
+
+    The result is a written table; the index is deleted.
     """
     kind = docs.schema[id_col].dataType
     index = build_index(docs, id_col, text_col)
-    parts = [search(index, chunk, kind, window) for chunk in _chunks(benchmark, item_col, item_text_col, chunk_chars)]
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        gathered = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  one entry per block of the benchmark
-        found = every.groupBy("segment", "ordinal").agg(F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), gathered("hits"), gathered("items"))
-    return found.select(F.col("doc").alias(id_col), "n_words", "hits", "items")
+    parts = [written(search(index, chunk, window), "hits") for chunk in _chunks(benchmark, item_col, item_text_col, chunk_bytes)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    gathered = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  one entry per block of the benchmark
+    found = every.groupBy("segment", "ordinal").agg(gathered("hits"), gathered("items"))
+    out = documents_of(index, kind).join(found, ["segment", "ordinal"], "left")
+    none = lambda c, of: F.coalesce(c, F.array().cast(f"array<{of}>")).alias(c)
+    out = written(out.select(F.col("doc").alias(id_col), "n_words", none("hits", "int"), none("items", "string")), "contamination")
+    discard(index, *parts)
+    return out

@@ -122,14 +122,29 @@ def test_contamination(spark):
     want = brute.contaminated(docs, items)
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumn("segment", F.lit(0))
     b = spark.createDataFrame(items, "item_id long, text string")
-    for chunk in (16_000_000, 60):  # one block of the benchmark, and many
-        got = {x.doc_id: (x.n_words, x.hits, x["items"]) for x in decontaminate.contamination(d, b, chunk_chars=chunk).collect()}
+    for chunk in (8_000_000, 60):  # one block of the benchmark, and many
+        got = {x.doc_id: (x.n_words, x.hits, x["items"]) for x in decontaminate.contamination(d, b, chunk_bytes=chunk).collect()}
         assert got == want
     assert decontaminate.contamination(empty_docs(spark), b).count() == 0
     assert decontaminate.contamination(d, b.limit(0)).filter(F.size("hits") > 0).count() == 0
     assert decontaminate.contamination(odd_docs(spark), b).count() == len(ODD) + 2
 
 
+def test_postings_in_parts(spark):
+    """Phrases of frequent words, with postings taken a few at a time."""
+    text = "a b " * 300 + "a a b b " * 100
+    index = decontaminate.build_index(spark.createDataFrame([(1, text), (2, "b a"), (3, None)], "doc_id long, text string").coalesce(1))
+    s = decontaminate.Segment(pa.RecordBatch.from_pylist(index.toArrow().to_pylist()), 0)
+    w = text.split()
+    terms = s.find(pa.array(["a", "b"]))[np.array([[0, 0, 1], [1, 0, 0], [0, 1, 0]])]
+    got = [(int(r), int(p)) for most in (1, 7, 10**6) for own, at in s.phrases(terms, most) for r, p in zip(own, at, strict=True)]
+    want = [(r, i) for r, q in enumerate(["aab", "baa", "aba"]) for i in range(len(w) - 2) if "".join(w[i : i + 3]) == q]
+    assert sorted(got) == sorted(want * 3)
+    nothing = decontaminate.search(index.limit(0), [(1, "a b")])
+    assert nothing.count() == 0 and decontaminate.search(index, []).count() == 0
+    assert decontaminate.proximity(index.limit(0), {"q": ["a"]}, index.schema["ids"].dataType.elementType, 3).count() == 0
+
+
 def test_proximity(spark):
     r = random.Random(6)
     docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(40))) for i in range(20)]
