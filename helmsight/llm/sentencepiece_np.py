@@ -8,8 +8,8 @@ and these probe the sorted hashes of the pieces.
 * `unigram` models: Viterbi. For each end, all lengths are tried for all units at once;
   vectorised maxima keep the best score and the backpointer.
 * `bpe` models: their ids are defined by merging in order of rank, and the path of the
-  largest sum of scores is a different one. The same matrices then hold the symbols'
-  starts; in each round every unit merges its best pair (vectorised maxima, leftmost of
+  largest sum of scores is a different one. A symbol of a unit is then known by its first
+  character; in each round every unit merges its best pair (vectorised maxima, leftmost of
   equals), and only the two neighbouring pairs are probed again.
 
 Characters without a piece become their UTF-8 bytes' pieces, or the unknown piece in
@@ -22,15 +22,18 @@ import heapq
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 
+from .common import coded
+
 MARK = "▁"
 _BASE = np.uint64(0x100000001B3)
 #: Longer units are encoded one by one; the result is the same.
 BATCHED_LENGTH = 128
 #: Units whose ids are remembered between blocks; a matter of speed only.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 NO_PIECE = np.float64(-np.inf)
 
 
@@ -56,10 +59,12 @@ class Model:
     dummy_prefix: bool = True
     byte_fallback: bool = True
     usable: dict[str, int] = field(init=False)
-    known: dict[str, list[int]] = field(init=False, default_factory=dict)
+    known: dict[str, bytes] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        self.usable = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in (1, 4)}
+        if 4 in self.types:
+            raise ValueError("this encoder takes no models with user-defined pieces, which are matched before all others")
+        self.usable = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == 1}
         self.unknown = next((i for i, t in enumerate(self.types) if t == 2), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == 6}
         self.longest = max(map(len, self.usable), default=1)
@@ -75,6 +80,12 @@ class Model:
         self.key_ids = np.array([self.usable[n] for n in names], np.int64)[order]
         self.key_points = [np.frombuffer(names[i].encode("utf-32-le"), np.uint32) for i in order]
         self.score_of = np.array(self.scores, np.float64)
+        #: scores by their order, equal ones alike; -1 where there is no piece (the last entry, which -1 reads)
+        self.priority = np.append(np.unique(self.score_of, return_inverse=True)[1], -1).astype(np.int32)
+        self.single = np.full(0x110000, -1, np.int32)
+        for p, i in self.usable.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
         self.decoded = [b"" if t == 3 else bytes([int(p[3:5], 16)]) if t == 6 else b" \xe2\x81\x87 " if t == 2 else p.replace(MARK, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
 
     @staticmethod
@@ -116,26 +127,27 @@ class Model:
         text = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
         return _UNIT.findall(text) if self.cuts else [text]
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit."""
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, as 32-bit numbers."""
         out: list = [None] * len(units)
         by_length = defaultdict(list)
-        for i, u in enumerate(units):
-            by_length[len(u)].append(i)
+        for i, n in enumerate(map(len, units)):
+            by_length[n].append(i)
         for length, members in by_length.items():
-            if length > BATCHED_LENGTH:
+            if length > BATCHED_LENGTH and self.kind == "bpe":
                 for i in members:
-                    out[i] = self._one(units[i])
+                    out[i] = np.array(self._one(units[i]), np.int32).tobytes()
                 continue
             for start in range(0, len(members), 1 + 2_000_000 // length):
                 part = members[start : start + 1 + 2_000_000 // length]
                 points = np.frombuffer("".join([units[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
                 ids, ends = self._viterbi(points) if self.kind == "unigram" else self._merge(points)
-                ids = ids.tolist()
-                bounds = [0, *ends.tolist()]
-                for k, i in enumerate(part):
-                    got = ids[bounds[k] : bounds[k + 1]]
-                    out[i] = got if min(got) >= 0 else self._with_bytes(got)
+                data, bounds = ids.astype(np.int32).tobytes(), [0, *(4 * ends).tolist()]
+                for i, a, b in zip(part, bounds, bounds[1:], strict=False):
+                    out[i] = data[a:b]
+                starts = np.concatenate(([0], ends[:-1]))
+                for k in np.flatnonzero(np.minimum.reduceat(ids, starts) < 0).tolist():
+                    out[part[k]] = np.array(self._with_bytes(ids[starts[k] : ends[k]].tolist()), np.int32).tobytes()
         return out
 
     def _with_bytes(self, ids: list[int]) -> list[int]:
@@ -189,45 +201,35 @@ class Model:
     def _merge(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, length = points.shape
         h, powers = self._prefixes(points)
-        # symbols of each unit: their starts (and the unit's end after the last), ids, and the piece that each makes with the next
-        start = np.broadcast_to(np.arange(length + 1, dtype=np.int32), (n, length + 1)).copy()
-        ids = self.probe(_char_values(points).ravel()).reshape(n, length)
-        count = np.full(n, length)
-        pair = np.full((n, length), -1, np.int64)
+        # a symbol is known by the column of its first character; where it ends the next one begins
+        ids = self.single[points]
+        after = np.broadcast_to(np.arange(1, length + 2, dtype=np.int32), (n, length + 1)).copy()
+        before = np.broadcast_to(np.arange(-1, length, dtype=np.int32), (n, length + 1)).copy()
+        pair = np.full((n, length), -1, np.int32)  # the piece that a symbol makes with the next one
         if length > 1:
             pair[:, :-1] = self.probe((h[:, 2:] - h[:, :-2] * powers[2]).ravel()).reshape(n, length - 1)
-        rank = np.where(pair >= 0, self.score_of[pair], NO_PIECE)
-        live = np.flatnonzero(rank.max(axis=1) > NO_PIECE)
-        columns = np.arange(length, dtype=np.int32)
-        while len(live):
-            r, p, st, sy = rank[live], pair[live], start[live], ids[live]
-            k = r.argmax(axis=1)
-            rows = np.arange(len(live))
-            sy[rows, k] = p[rows, k]
-            # drop symbol k + 1: what lies behind it moves up
-            source = np.minimum(columns + (columns > k[:, None]), length - 1)
-            sy = np.take_along_axis(sy, source, 1)
-            tail = np.arange(length + 1)
-            st = np.take_along_axis(st, np.minimum(tail + (tail > k[:, None]), length), 1)
-            count[live] -= 1
-            left = count[live]
-            shift = np.minimum(columns + (columns >= k[:, None]), length - 1)
-            p, r = np.take_along_axis(p, shift, 1), np.take_along_axis(r, shift, 1)
-            for at in (k - 1, k):
-                ok = (at >= 0) & (at + 1 < left)
-                rr, aa = rows[ok], at[ok]
-                a, b = st[rr, aa], st[rr, aa + 2]
-                w = live[rr]
-                found = self.probe(h[w, b] - h[w, a] * powers[b - a])
-                p[rr, aa] = found
-                r[rr, aa] = np.where(found >= 0, self.score_of[found], NO_PIECE)
-            past = columns >= (left - 1)[:, None]
-            r[past] = NO_PIECE
-            rank[live], pair[live], start[live], ids[live] = r, p, st, sy
-            live = live[r.max(axis=1) > NO_PIECE]
-        keep = columns < count[:, None]
-        first = np.take_along_axis(points, np.minimum(start[:, :-1], length - 1).astype(np.int64), 1).astype(np.int64)
-        return np.where(ids >= 0, ids, -1 - first)[keep], np.cumsum(count)
+        rank = self.priority[pair]
+        begins = np.ones((n, length), bool)
+        live = np.arange(n)
+        while True:
+            ranks = rank[live]
+            k = ranks.argmax(axis=1)
+            going = ranks[np.arange(len(live)), k] >= 0
+            live, k = live[going], k[going]
+            if not len(live):
+                break
+            gone = after[live, k]
+            end = after[live, gone]
+            ids[live, k] = pair[live, k]
+            after[live, k], before[live, end] = end, k
+            begins[live, gone], rank[live, gone], rank[live, k] = False, -1, -1
+            right, left = np.flatnonzero(end < length), np.flatnonzero(k > 0)
+            row = np.concatenate([live[right], live[left]])
+            first = np.concatenate([k[right], before[live[left], k[left]]])
+            past = np.concatenate([after[live[right], end[right]], end[left]])
+            found = self.probe(h[row, past] - h[row, first] * powers[past - first])
+            pair[row, first], rank[row, first] = found, self.priority[found]
+        return np.where(ids >= 0, ids, -1 - points.astype(np.int64))[begins], np.cumsum(begins.sum(axis=1))
 
     def _one(self, unit: str) -> list[int]:
         """A long unit by itself, with dictionaries."""
@@ -275,24 +277,23 @@ class Model:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; every distinct unit of the texts is encoded once."""
-        number: dict[str, int] = {}
-        setdefault = number.setdefault
-        codes = [[setdefault(u, len(number)) for u in self.units(t)] for t in texts]
-        new = [u for u in number if u not in self.known]
+        units = [self.units(t) for t in texts]
+        n_units = np.fromiter(map(len, units), np.int64, len(units))
+        codes, distinct = coded(list(chain.from_iterable(units)))
+        del units
+        new = [u for u in distinct if u not in self.known]
         self.known.update(zip(new, self.encode_units(new), strict=True))
-        each = list(map(self.known.__getitem__, number))
+        each = list(map(self.known.__getitem__, distinct))
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
         starts = np.cumsum(sizes) - sizes
-        flat = np.fromiter((i for ids in each for i in ids), np.int32, int(sizes.sum()))
-        out = []
-        for c in codes:
-            c = np.array(c, np.int64)
-            n = sizes[c]
-            shift = np.repeat(starts[c] - (np.cumsum(n) - n), n)
-            out.append(flat[shift + np.arange(len(shift))])
-        return out
+        flat = np.frombuffer(b"".join(each), np.int32)
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(int(n.sum()))]
+        # a text's ids end where those of its last unit do
+        return np.split(ids, np.concatenate(([0], ends))[np.cumsum(n_units)[:-1]]) if texts else []
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters, control pieces nothing."""
@@ -349,7 +350,12 @@ def encode_documents(docs, model_file: str, id_col: str = "doc_id", text_col: st
 
 
 def decode_documents(encoded, model_file: str, id_col: str = "doc_id", ids_col: str = "ids"):
-    """One row per row of ``encoded``: id_col, text. Null ids give an empty text."""
+    """One row per row of ``encoded``: id_col, text.
+
+    Null and empty ids give an empty text; very long ones one long text. Repeated rows
+    each; an empty table gives no rows; other columns are ignored. Ids that the model does
+    not have end the query.
+    """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -260,6 +260,9 @@ def test_ids_are_the_library_s(spark):
     back = {r.doc_id: r.text for r in sentencepiece_np.decode_documents(enc, path).collect()}
     assert all(back[i] == sp.decode(sp.encode(t or "")) for i, t in docs)
     assert sentencepiece_np.encode_documents(empty_docs(spark), path).count() == 0
+    odd = spark.createDataFrame([(1, None, "?"), (1, None, "?"), (2, [], "?"), (None, [300], "?")], "doc_id long, ids array<int>, text string").withColumn("id", F.lit(0))
+    assert sorted((x.doc_id or 0, x.text == "") for x in sentencepiece_np.decode_documents(odd, path).collect()) == [(0, False), (1, True), (1, True), (2, True)]
+    assert sentencepiece_np.decode_documents(odd.limit(0), path).count() == 0
     assert sentencepiece_np.encode_documents(odd_docs(spark), path).count() == len(ODD) + 2
 
 
@@ -287,12 +290,26 @@ def test_viterbi():
     for text in texts:
         units = m.units(text)
         batched = m.encode_units(units)
-        for unit, ids in zip(units, batched, strict=True):
+        for unit, data in zip(units, batched, strict=True):
+            ids = np.frombuffer(data, np.int32).tolist()
             known = [i for i in ids if i >= 257]
             unknown = sum(c == "d" for c in unit) if "d" not in m.usable else 0
             assert math.isclose(sum(scores[i] for i in known) + unknown * m.unknown_score, best_sum(m, unit), abs_tol=1e-6)
             assert math.isclose(sum(scores[i] for i in m._one(unit) if i >= 257) + unknown * m.unknown_score, best_sum(m, unit), abs_tol=1e-6)
         assert m.decode(m.encode([text])[0]) == text
+    long = "ab" * 400  # longer than what bpe models batch
+    assert math.isclose(sum(scores[i] for i in np.frombuffer(m.encode_units([long])[0], np.int32)), best_sum(m, long), abs_tol=1e-6)
+    with pytest.raises(ValueError):
+        sentencepiece_np.Model("unigram", pieces, scores, [2] + [6] * 256 + [4] * (len(pieces) - 257))
+
+
+def test_merges_batched_and_single(spark):
+    """All units of up to the batched length, as a long one is encoded."""
+    m = sentencepiece_np.Model.from_file(tokenizer_path("piece_bpe_32k.model"))
+    r = random.Random(2)
+    units = sorted({u for x in table(spark, SF, "documents").collect() for u in m.units(x.text or "")})
+    units = r.sample(units, 3000) + ["".join(r.choice("aeéhnst▁日\U0001f600") for _ in range(r.randint(1, 128))) for _ in range(500)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in m.encode_units(units)] == [m._one(u) for u in units]
 
 
 def test_viterbi_over_bpe_scores_is_something_else():
