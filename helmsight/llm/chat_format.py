@@ -46,21 +46,25 @@ def fold(events: DataFrame) -> DataFrame:
     ``regenerate`` empties it for the deltas that follow (its own text comes first). A
     message stands where its first event stands and has that event's role.
 
+    A conversation's log is in one partition and is gone through by sequence: each event
+    of a message is in the round that the last reset before it began, and the last round
+    is what the message says. Events of different messages may be mixed.
+
     * null text: empty; null role: empty; null conv_id or message: a group of its own;
     * events with equal seq in a message: in the order of their texts; a reset among them
       holds back none of them; repeated rows count each;
     * no events: no rows; other columns are ignored.
     """
-    said = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))
-    groups = events.groupBy("conv_id", "message").agg(
-        F.min(F.struct("seq", F.coalesce("role", F.lit("")).alias("role"))).alias("first"),
-        F.max(F.when(F.col("kind").isin(*RESETS), F.col("seq"))).alias("reset"),
-        F.collect_list(said).alias("said"),  # one message, which ends up as one text anyway
-    )
-    counted = F.filter(F.array_sort("said"), lambda x: F.col("reset").isNull() | (x["seq"] >= F.col("reset")))
-    return groups.select(
-        "conv_id", F.struct("first.seq", "message").alias("position"), F.col("first.role").alias("role"), F.array_join(F.transform(counted, lambda x: x["text"]), "").alias("text")
+    log = events.select("conv_id", "seq", "message", F.col("kind").isin(*RESETS).alias("resets"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # one exchange, by conversation; the aggregation below takes over its partitioning
+    log = log.repartition("conv_id")
+    own = W.partitionBy("conv_id", "message")
+    log = log.withColumn("round", F.count(F.when(F.col("resets"), 1)).over(own.orderBy("seq")))
+    log = log.withColumns({"first": F.min(F.struct("seq", "role")).over(own), "last_round": F.max("round").over(own)})
+    last = log.filter(F.col("round") == F.col("last_round")).groupBy("conv_id", "message").agg(
+        F.first("first").alias("first"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("said")  # one message, which ends up as one text anyway
     )
+    return last.select("conv_id", F.struct("first.seq", "message").alias("position"), F.col("first.role").alias("role"), F.array_join(F.transform("said", lambda x: x["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -94,7 +98,12 @@ def render(messages: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> Da
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """chats: conv_id, formatted, loss_spans. Adds turns (role, text) and loss_text, both unescaped."""
+    """chats: conv_id, formatted, loss_spans. Adds turns (role, text) and loss_text, both unescaped.
+
+    Null or empty formatted: null or no turns; null spans: null loss_text; no spans: an
+    empty one. Very long chats are read whole, repeated ones each; an empty table gives no
+    rows; other columns stay as they are.
+    """
     pieces = F.split("formatted", r"</s>\n", -1)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
 

@@ -71,14 +71,30 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.join(originals, "key", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def logged(rows: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) as a log of streamed deltas, regenerations and edits, which folded gives the turns.
+
+    By turns: two deltas; a draft that is regenerated; a text that is edited after the next
+    message has begun.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    n = F.col("n")
+    half = F.floor(F.length("text") / 2).cast("int")
+    start, end = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    event = lambda step, kind, text: F.struct((n * 10 + step).alias("seq"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    streamed = F.array(event(0, "message", start), event(1, "delta", end))
+    drafted = F.array(event(0, "message", F.lit("")), event(1, "delta", F.concat(F.lit("draft "), start)), event(2, "regenerate", F.lit(None)), event(3, "delta", start), event(4, "delta", end))
+    edited = F.array(event(0, "message", F.concat(F.lit("first "), start)), event(1, "delta", F.lit(" and more")), event(15, "edit", F.col("text")))
+    told = rows.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("n"))
+    return told.select("conv_id", "role", n.alias("message"), F.inline(F.when(n % 3 == 1, streamed).when(n % 3 == 2, drafted).otherwise(edited)))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    events = rows.withColumn("seq", F.row_number().over(order)).select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("message"), "role", "text")
-    back = chat_format.read_back(chat_format.render(chat_format.fold(events)))
+    back = chat_format.read_back(chat_format.render(chat_format.fold(logged(rows))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -213,6 +213,25 @@ def test_fold(spark):
     assert chat_format.fold(events(spark, [])).count() == 0
 
 
+def test_fold_ties_and_repeats(spark):
+    rows = [
+        (1, 5, "delta", 1, "user", "b"), (1, 5, "edit", 1, "user", "a"), (1, 2, "delta", 1, "x", "gone"), (1, 6, "delta", 1, None, "c"), (1, 6, "delta", 1, None, "c"),  # equal seq: by text
+        (None, 1, "message", 7, "user", "no conversation"), (2, 1, "message", None, "user", "no number"), (2, 1, "delta", None, "assistant", "more"),
+    ]
+    got = sorted((r.conv_id or 0, r.role, r.text) for r in chat_format.fold(events(spark, rows)).collect())
+    assert got == [(0, "user", "no conversation"), (1, "x", "abcc"), (2, "assistant", "moreno number")]
+
+
+def test_logs_fold_to_their_turns(spark):
+    turns = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate([("user", "hällo you"), ("assistant", "a"), ("user", ""), ("assistant", None), ("user", "</s>"), ("assistant", "odd👍number")] * 3)]
+    log = queries.logged(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "regenerate", "edit"}
+    got = [(r.conv_id, r.role, r.text) for r in chat_format.fold(log.orderBy(F.rand(1))).orderBy("conv_id", "position").collect()]
+    assert got == [(c, r, x or "") for c, _, r, x in sorted(turns, key=lambda x: (x[0] or 0, x[1]))]
+    plan = chat_format.render(chat_format.fold(log))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # all by conversation
+
+
 AWKWARD = ["", "</s>", "<s>", "<\\s>", "<\\\\/s>\n", "[INST] a [/INST]", "[\\INST]", "\\", "a\nb", "</s>\n<s>user\nx", "é 👍", "x" * 100_000, " [/INST]", "<", "</s", "$1 \\1"]
 
 
