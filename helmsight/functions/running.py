@@ -71,3 +71,11 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     joined = out.join(carried, [out[c].eqNullSafe(carried[f"_k_{c}"]) for c in inside])
     merged = {n: F.col(n) + F.col(f"_c_{n}") if isinstance(k, Sum) else F.coalesce(F.col(n), F.col(f"_c_{n}")) for n, k in wanted.items()}
     return joined.select(*(F.col(c) for c in columns), *(c.alias(n) for n, c in merged.items()))
+
+
+def where_hot(df: DataFrame, keys: Sequence[str], chunk: Column, most: int = 5_000_000) -> Column | None:
+    """``chunk`` if a key has more than ``most`` rows in ``df``, else None: one window a key is then the cheaper way.
+
+    Counts the keys, which reads their columns only. Both ways give the same values.
+    """
+    return None if df.groupBy(*keys).count().filter(F.col("count") > most).isEmpty() else chunk

@@ -16,7 +16,7 @@ from ..functions.constants import LED_START
 from ..functions.running import Last, Sum, running
 from ..sources.topics import DEFAULTS
 from .commands import SLOTS, ticks
-from .params import accepted
+from .params import accepted_values
 
 KEYS, ORDER = ["robot_id"], ["ts", "event_id", "rank"]
 PARAMETERS = {"speed_limit_mode": "int", "hold": "boolean", "arm_robot": "boolean"}
@@ -32,11 +32,10 @@ def driver_log(tick_rows: DataFrame, writes: DataFrame, changes: DataFrame) -> D
     """One log of all that a driver takes in.
 
     At equal (ts, event_id) changes come first, then writes, then the tick. ``writes`` of
-    kind body have their timeout from the parameter, whatever their stop says.
+    kind body have their timeout from the parameter, whatever their stop says. ``changes``
+    may hold sets, which are accepted or rejected as a whole (see `params.sets`).
     """
-    said = changes.filter(accepted("driver") & F.col("name").isin(*TIMED)).select(
-        "robot_id", "event_id", "ts", F.lit(0).alias("rank"), *(F.when(F.col("name") == n, F.col("value")).try_cast(t).alias(n) for n, t in TIMED.items())
-    )
+    said = accepted_values(changes, TIMED).withColumn("rank", F.lit(0))
     wrote = writes.select("robot_id", "event_id", "ts", F.lit(1).alias("rank"), *SLOTS, "kind", "stop")
     came = tick_rows.select("robot_id", "event_id", "ts", F.lit(2).alias("rank"), F.lit(1).alias("tick"))
     return said.unionByName(wrote, allowMissingColumns=True).unionByName(came, allowMissingColumns=True)

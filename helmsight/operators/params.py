@@ -21,15 +21,14 @@ def rejection(node: Column, name: Column, value: Column, is_running: Column) ->
 
     A duration of NaN passes, as neither comparison with it holds. Camera sizes and
     rates are not checked against each other. A mode that is no integer is none of the
-    modes and is rejected as such; other values of the wrong type pass here, typed logs
-    do not have any.
+    modes, a duration that is no number is in no range, and both are rejected as such.
     """
     mode, seconds = value.try_cast("int"), value.try_cast("double")
     low, high = BODY_DURATION_RANGE
     driver = (
         F.when(name == "driver_uri", F.when(is_running, FROZEN))
         .when(name == "speed_limit_mode", F.when(mode.isNull() | ~mode.between(*SPEED_LIMIT_MODES), BAD_MODE))
-        .when(name == "body_speed_duration", F.when((seconds < low) | ((seconds > high) & ~F.isnan(seconds)), BAD_DURATION))
+        .when(name == "body_speed_duration", F.when(seconds.isNull() | (seconds < low) | ((seconds > high) & ~F.isnan(seconds)), BAD_DURATION))
         .when(name.isin("arm_robot", "hold"), None)
         .otherwise(UNKNOWN)
     )
@@ -47,20 +46,35 @@ def batch_results(checked: DataFrame) -> DataFrame:
     return checked.groupBy("batch").agg(F.bool_and("ok").alias("successful"), F.coalesce(F.max_by(F.when(~F.col("ok"), F.col("reason")), F.when(~F.col("ok"), F.col("pos"))), F.lit("")).alias("reason"))
 
 
-def accepted(node: str) -> Column:
-    """Whether a change (name, value) is one that a running node accepts."""
-    return rejection(F.lit(node), F.col("name"), F.col("value"), F.lit(True)).isNull()
+def sets(changes: DataFrame) -> DataFrame:
+    """Changes that were requested together: rows with an array ``changes`` of (name, value).
+
+    A table with a row for each change (name, value) has sets of one.
+    """
+    return changes if "changes" in changes.columns else changes.withColumn("changes", F.array(F.struct("name", "value")))
+
+
+def accepted_values(changes: DataFrame, types: dict[str, str], node: str = "driver") -> DataFrame:
+    """Rows (robot_id, event_id, ts, a column for each of ``types``) of the sets that a running node accepts.
+
+    A set is accepted as a whole: if one of its changes is rejected, none is applied. Of
+    several changes of one parameter in a set the last counts; null: it was not changed.
+    """
+    whole = sets(changes).filter(~F.exists("changes", lambda c: rejection(F.lit(node), c["name"], c["value"], F.lit(True)).isNotNull()))
+    value = lambda n: F.try_element_at(F.filter("changes", lambda c: c["name"] == n), F.lit(-1))["value"]
+    return whole.select("robot_id", "event_id", "ts", *(value(n).try_cast(t).alias(n) for n, t in types.items()))
 
 
 def as_of(rows: DataFrame, changes: DataFrame, types: dict[str, str], node: str = "driver", chunk: Column | None = None) -> DataFrame:
     """``rows`` with the value of each parameter in ``types`` as of the row: the last accepted change at or before it.
 
-    changes: robot_id, event_id, ts, name, value. One union and one window, no range join.
-    A change counts for the row with its own (ts, event_id). Extra columns of ``rows`` stay.
+    changes: robot_id, event_id, ts, and name, value or an array of them (see `sets`). One
+    union and one window, no range join. A change counts for the row with its own
+    (ts, event_id). Extra columns of ``rows`` stay.
     """
     keys = ["robot_id", "ts", "event_id"]
-    said = changes.filter(accepted(node) & F.col("name").isin(*types)).select(*keys, *(F.when(F.col("name") == n, F.col("value")).alias(f"_p_{n}") for n in types), F.lit(0).alias("_row"))
+    said = accepted_values(changes, types, node).select(*keys, *(F.col(n).alias(f"_p_{n}") for n in types), F.lit(0).alias("_row"))
     both = rows.withColumn("_row", F.lit(1)).unionByName(said, allowMissingColumns=True)
     out = running(both, ["robot_id"], ["ts", "event_id", "_row"], chunk, **{f"_v_{n}": Last(f"_p_{n}") for n in types})
     default = DEFAULTS[node]
-    return out.filter("_row = 1").select(*rows.columns, *(F.coalesce(f"_v_{n}", F.lit(default[n])).try_cast(t).alias(n) for n, t in types.items()))
+    return out.filter("_row = 1").select(*rows.columns, *(F.coalesce(f"_v_{n}", F.lit(default[n]).try_cast(t)).alias(n) for n, t in types.items()))

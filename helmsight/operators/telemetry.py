@@ -22,32 +22,61 @@ def forward_kinematics(right: Column, left: Column) -> tuple[Column, Column]:
     return (v_right + v_left) / F.lit(2.0), (v_right - v_left) / F.lit(WHEEL_BASE)
 
 
-def speed_feedback(frames: DataFrame) -> DataFrame:
+def _twist() -> list[Column]:
     x, z = forward_kinematics(F.col("tach0"), F.col("tach1"))
-    return received(frames).select(*_KEYS, header(), F.struct(F.struct(x.alias("x")).alias("linear"), F.struct(z.alias("z")).alias("angular")).alias("twist"))
+    return [F.struct(F.struct(x.alias("x")).alias("linear"), F.struct(z.alias("z")).alias("angular")).alias("twist")]
 
 
-def battery_state(frames: DataFrame) -> DataFrame:
+def _battery() -> list[Column]:
     """What is not measured is NaN, not null."""
     unknown = F.lit(float("nan"))
-    return received(frames).select(
-        *_KEYS, header(), F.col("battery_v").alias("voltage"),
-        *(unknown.alias(n) for n in ("temperature", "current", "charge", "capacity", "percentage")),
+    return [
+        F.col("battery_v").alias("voltage"), *(unknown.alias(n) for n in ("temperature", "current", "charge", "capacity", "percentage")),
         F.lit(DESIGN_CAPACITY).alias("design_capacity"),
         F.lit("DISCHARGING").alias("power_supply_status"), F.lit("GOOD").alias("power_supply_health"), F.lit("LIPO").alias("power_supply_technology"), F.lit(True).alias("present"),
-    )
+    ]
 
 
-def imu(frames: DataFrame) -> DataFrame:
+def _imu() -> list[Column]:
     axes = lambda p: F.struct(*(F.col(f"{p}_{a}").alias(a) for a in "xyz"))
-    return received(frames).select(*_KEYS, header(), axes("acc").alias("linear_acceleration"), axes("gyro").alias("angular_velocity"))
+    return [axes("acc").alias("linear_acceleration"), axes("gyro").alias("angular_velocity")]
 
 
-def joint_state(frames: DataFrame) -> DataFrame:
+def _joint() -> list[Column]:
     both = lambda p: F.array(f"{p}0", f"{p}1")
-    return received(frames).select(*_KEYS, header(), both("enc").alias("position"), both("tach").alias("velocity"), both("cur").alias("effort"))
+    return [both("enc").alias("position"), both("tach").alias("velocity"), both("cur").alias("effort")]
+
+
+#: topics of a frame and what their messages hold besides keys and header
+_PAYLOADS = {"speed_feedback": _twist, "battery": _battery, "imu": _imu, "joint": _joint}
+
+
+def message(frames: DataFrame, topic: str) -> DataFrame:
+    return received(frames).select(*_KEYS, header(), *_PAYLOADS[topic]())
+
+
+def speed_feedback(frames: DataFrame) -> DataFrame:
+    return message(frames, "speed_feedback")
+
+
+def battery_state(frames: DataFrame) -> DataFrame:
+    return message(frames, "battery")
+
+
+def imu(frames: DataFrame) -> DataFrame:
+    return message(frames, "imu")
+
+
+def joint_state(frames: DataFrame) -> DataFrame:
+    return message(frames, "joint")
 
 
 def fan_out(frames: DataFrame) -> dict[str, DataFrame]:
-    """The four topics of a frame. Cache `frames` (or use a foreachBatch sink) to scan it once for all."""
-    return {"speed_feedback": speed_feedback(frames), "battery": battery_state(frames), "imu": imu(frames), "joint": joint_state(frames)}
+    """The four topics of a frame, each with a scan of its own; `messages` has one for all."""
+    return {topic: message(frames, topic) for topic in _PAYLOADS}
+
+
+def messages(frames: DataFrame) -> DataFrame:
+    """The messages of all topics from one scan: robot_id, event_id, topic, header, and a struct for each topic, null but for the message's own."""
+    every = received(frames).select("*", F.explode(F.array(*(F.lit(t) for t in _PAYLOADS))).alias("topic"))
+    return every.select(*_KEYS, "topic", header(), *(F.when(F.col("topic") == t, F.struct(*columns())).alias(t) for t, columns in _PAYLOADS.items()))

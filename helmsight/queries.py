@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.constants import IMAGE_DEPTH, JOYSTICK_MS, STREAM_BUFFER, TICK_MS, TOPIC_DEPTH
+from .functions.running import where_hot
 from .operators import commands, driver, gamepad, imaging, params, routing, status, telemetry
 from .plans import flows
 from .schemas import TELEMETRY, TELEMETRY_SLOTS
@@ -130,8 +131,14 @@ def _telemetry(s: SparkSession, d: str) -> DataFrame:
     return ev.telemetry(ev.events(s, d))
 
 
+def _cut(rows: DataFrame):
+    """Logs are cut by day where a robot has too many rows for one task."""
+    return where_hot(rows, ev.KEYS, F.to_date("ts"))
+
+
 def _armed(s: SparkSession, d: str) -> DataFrame:
-    return gamepad.with_armed(gamepad.decoded(ev.gamepad(ev.events(s, d))))
+    e = ev.events(s, d)
+    return gamepad.with_armed(gamepad.decoded(ev.gamepad(e)), _cut(e))
 
 
 # ------------------------------------------------------------------------------ sources
@@ -198,23 +205,27 @@ def _(s, d):
 def _clock(e: DataFrame, period: int) -> DataFrame:
     from .functions.running import Sum, running
 
-    n = running(e.withColumn("_one", F.lit(1)), ev.KEYS, ev.ORDER, n=Sum("_one"))
+    n = running(e.withColumn("_one", F.lit(1)), ev.KEYS, ev.ORDER, _cut(e), n=Sum("_one"))
     return n.select("robot_id", "event_id", "n", ((F.col("n") - 1) * period).alias("nominal_ms"))
 
 
-@query("src9_tick_clock", sql(E, select=f"SELECT robot_id, event_id, row_number() OVER {W} AS n, (row_number() OVER {W} - 1) * {TICK_MS} AS nominal_ms FROM e"))
+@query("src9_tick_clock", sql(E, select=f"SELECT robot_id, event_id, row_number() OVER {W} AS n, (row_number() OVER {W} - 1) * 16 AS nominal_ms FROM e"))
 def _(s, d):
     return _clock(ev.events(s, d), TICK_MS)
 
 
-@query("src10_joystick_timer", sql(E, select=f"SELECT robot_id, event_id, row_number() OVER {W} AS n, (row_number() OVER {W} - 1) * {JOYSTICK_MS} AS nominal_ms FROM e"))
+@query("src10_joystick_timer", sql(E, select=f"SELECT robot_id, event_id, row_number() OVER {W} AS n, (row_number() OVER {W} - 1) * 100 AS nominal_ms FROM e"))
 def _(s, d):
     return _clock(ev.gamepad(ev.events(s, d)), JOYSTICK_MS)
 
 
 @query(
     "src11_parameters",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{node}', '{n}', '{v}')" for node, ps in topics.DEFAULTS.items() for n, v in ps.items()) + ") AS t(node, name, value)",
+    """SELECT * FROM (VALUES
+      ('driver', 'driver_uri', 'tcpip://localhost:18888'), ('driver', 'arm_robot', 'true'), ('driver', 'speed_limit_mode', '0'),
+      ('driver', 'body_speed_duration', '0.5'), ('driver', 'hold', 'false'),
+      ('camera', 'camera_num', '0'), ('camera', 'frame_width_rgb', '848'), ('camera', 'frame_height_rgb', '480'),
+      ('camera', 'frame_width_depth', '1280'), ('camera', 'frame_height_depth', '720'), ('camera', 'frame_rate', '30.0')) AS t(node, name, value)""",
 )
 def _(s, d):
     return topics.declared_parameters(s)
@@ -283,11 +294,7 @@ def _(s, d):
 
 @query("prj6_header", sql(E, TEL, select="SELECT event_id, topic, ts AS stamp, 'base_link' AS frame_id FROM tel, (VALUES ('speed_feedback'), ('battery'), ('imu'), ('joint')) t(topic) WHERE status = 'ok'"))
 def prj6(s: SparkSession, d: str) -> DataFrame:
-    out = None
-    for topic, m in telemetry.fan_out(_telemetry(s, d)).items():
-        rows = m.select("event_id", F.lit(topic).alias("topic"), F.col("header.stamp").alias("stamp"), F.col("header.frame_id").alias("frame_id"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return telemetry.messages(_telemetry(s, d)).select("event_id", "topic", F.col("header.stamp").alias("stamp"), F.col("header.frame_id").alias("frame_id"))
 
 
 @query("prj7_fan_out", sql(E, TEL, select="SELECT topic, count(*) AS n FROM tel, (VALUES ('speed_feedback'), ('battery'), ('imu'), ('joint')) t(topic) WHERE status = 'ok' GROUP BY topic"))
@@ -342,10 +349,9 @@ def _(s, d):
     return color.unionByName(routing.with_image(ev.depth_images(s, d), "pixels").select(F.lit("depth").alias("stream"), "image_id"))
 
 
-@query("flt6_armed_motion", sql(E, PAD, ARMED, MOTION, select="SELECT robot_id, event_id, throttle AS linear_x FROM motion WHERE NOT armed"))
+@query("flt6_armed_motion", sql(E, PAD, ARMED, MOTION, select="SELECT robot_id, event_id, armed, throttle AS linear_x FROM motion"))
 def _(s, d):
-    a = _armed(s, d)
-    return gamepad.motion(a.filter(~F.col("armed"))).select("robot_id", "event_id", "linear_x")
+    return gamepad.motion(_armed(s, d), also=(F.col("armed"),)).select("robot_id", "event_id", "armed", "linear_x")
 
 
 # ------------------------------------------------------------------------------ commands
@@ -359,11 +365,10 @@ def _(s, d):
 @query("cmd2_body_speed", sql(E, WRITES, select="SELECT robot_id, event_id, w7, w8, kind, stop FROM wr WHERE kind = 'body'"))
 def _(s, d):
     e = ev.events(s, d)
-    timed = params.as_of(ev.body_commands(e), ev.parameter_changes(e), {"body_speed_duration": "double"})
+    timed = params.as_of(ev.body_commands(e), ev.parameter_sets(e), {"body_speed_duration": "double"}, chunk=_cut(e))
     return commands.body_writes(timed).select("robot_id", "event_id", "w7", "w8", "kind", "stop")
 
 
-
 @query("cmd3_wheel_speed", sql(E, WRITES, select="SELECT wr.robot_id, event_id, w7, w8, stop FROM wr JOIN e USING (event_id) WHERE e.event_type = 'purchase' AND kind IS NOT NULL"))
 def _(s, d):
     return commands.joint_writes_by_wheel(ev.joint_commands(ev.events(s, d))).select("robot_id", "event_id", "w7", "w8", "stop")
@@ -422,8 +427,9 @@ def _(s, d):
 
 @query("joy10_emit", sql(E, PAD, ARMED, MOTION, select="SELECT event_id, throttle AS linear_x, steering AS angular_z, CASE WHEN armed THEN 1e0 ELSE 0e0 END AS led_g FROM motion"))
 def _(s, d):
-    twist, led = gamepad.manual_drive(ev.gamepad(ev.events(s, d)))
-    return twist.select("event_id", "linear_x", "angular_z").join(led.select("event_id", F.col("g").alias("led_g")), "event_id")
+    """Both messages of a sample come from one row."""
+    both = gamepad.motion(_armed(s, d), also=gamepad.led_columns(F.col("armed")))
+    return both.select("event_id", "linear_x", "angular_z", F.col("g").alias("led_g"))
 
 
 # ------------------------------------------------------------------- driver state machine
@@ -431,10 +437,10 @@ def _(s, d):
 
 def _form(s: SparkSession, d: str, between: bool, chunk=None) -> DataFrame:
     e = ev.events(s, d)
-    changes = ev.parameter_changes(e)
+    changes = ev.parameter_sets(e)
     writes = flows.writes(ev.body_commands(e), ev.led_commands(e), ev.joint_commands(e))
     ticks = e.filter("event_type in ('view', 'error', 'signup')") if between else e
-    return flows.drive(ticks.select("robot_id", "event_id", "ts"), writes, changes, chunk)
+    return flows.drive(ticks.select("robot_id", "event_id", "ts"), writes, changes, _cut(e) if chunk is None else chunk)
 
 
 @query("st1_mode", sql(E, WRITES, FORM_A, select="SELECT robot_id, n, event_id, mode FROM frames"))
@@ -455,13 +461,15 @@ def _edges(status_sql: str, error: str, fine: str) -> str:
 
 @query("st2_receive_edges", _edges("nullif(status, 'would_block')", "error receiving data", "data received"))
 def st2(s: SparkSession, d: str) -> DataFrame:
-    return status.status_edges(_telemetry(s, d), routing.counted_status(F.col("status")))
+    t = _telemetry(s, d)
+    return status.status_edges(t, routing.counted_status(F.col("status")), _cut(t))
 
 
 @query("st3_send_edges", _edges("CASE WHEN status = 'ok' THEN 'ok' ELSE 'fail' END", "error sending data", "data sent"))
 def st3(s: SparkSession, d: str) -> DataFrame:
     """Every failure counts, would-block too; the fixture's receive status stands in for the send status."""
-    return status.status_edges(_telemetry(s, d), F.when(F.col("status") == "ok", "ok").otherwise("fail"), say=status.SEND)
+    t = _telemetry(s, d)
+    return status.status_edges(t, F.when(F.col("status") == "ok", "ok").otherwise("fail"), _cut(t), say=status.SEND)
 
 
 @query("st4_timeout", sql(E, WRITES, FORM_A, select="SELECT robot_id, n, timed_out, s7, s8 FROM frames"))
@@ -490,7 +498,7 @@ def _(s, d):
 )
 def _(s, d):
     e = ev.events(s, d)
-    return params.as_of(e.select("robot_id", "event_id", "ts"), ev.parameter_changes(e), driver.PARAMETERS).drop("ts")
+    return params.as_of(e.select("robot_id", "event_id", "ts"), ev.parameter_sets(e), driver.PARAMETERS, chunk=_cut(e)).drop("ts")
 
 
 _FRAME = "SELECT robot_id, n, event_id, mode, user_led, r, g, b, enable, hold, s7, s8, ts, timed_out FROM frames"
@@ -530,12 +538,22 @@ _FILL = f"fill AS (SELECT *, last_value(CASE WHEN status = 'ok' THEN pixels END
     sql(COLOR, select="SELECT image_id, 'bgr8' AS encoding, image_id AS stamp, 'color_image' AS frame_id, upper[3 * 8 + 5 + 1] AS red_3_5 FROM color WHERE status = 'ok'"),
 )
 def _(s, d):
-    m = imaging.gap_filled(ev.color_images(s, d), "data", "color_image", "bgr8").filter(~F.col("is_filled"))
+    m = _color_messages(s, d).filter(~F.col("is_filled"))
     return m.select("image_id", "encoding", "stamp", "frame_id", imaging.channel(F.col("data"), F.col("width"), F.lit(3), F.lit(5), 2).alias("red_3_5"))
 
 
+def _images(images: DataFrame, payload: str, frame_id: str, encoding: str, chunk=None) -> DataFrame:
+    """Messages of a camera's stream, cut where a stream has too many images for one task."""
+    chunk = where_hot(images, ["robot_id"], F.floor(F.col("image_id") / 100_000)) if chunk is None else chunk
+    return imaging.gap_filled(images, payload, frame_id, encoding, chunk)
+
+
 def _depth_messages(s: SparkSession, d: str, chunk=None) -> DataFrame:
-    return imaging.gap_filled(ev.depth_images(s, d), "pixels", "depth_image", "mono16", chunk)
+    return _images(ev.depth_images(s, d), "pixels", "depth_image", "mono16", chunk)
+
+
+def _color_messages(s: SparkSession, d: str) -> DataFrame:
+    return _images(ev.color_images(s, d), "data", "color_image", "bgr8")
 
 
 @query("img3_gap_fill", sql(DEPTH, _FILL, select="SELECT robot_id, image_id, CAST(list_sum(shown) AS BIGINT) AS total, status = 'no_frame' AS is_filled FROM fill WHERE status <> 'data_error'"))
@@ -571,7 +589,7 @@ def _(s, d):
 def _(s, d):
     """No pairing: two streams, each with its own gaps."""
     n = lambda name, df: df.groupBy(F.lit(name).alias("stream")).agg(F.count(F.lit(1)).alias("n"))
-    return n("color", imaging.gap_filled(ev.color_images(s, d), "data", "color_image", "bgr8")).unionByName(n("depth", _depth_messages(s, d)))
+    return n("color", _color_messages(s, d)).unionByName(n("depth", _depth_messages(s, d)))
 
 
 @query("img8_rate_limit", sql(DEPTH, select="SELECT robot_id, CAST(floor(image_id / 30e0) AS BIGINT) AS bucket, max(image_id) AS image_id FROM depth GROUP BY ALL"))
@@ -601,14 +619,11 @@ val AS (
     WHEN node = 'camera' AND name IN ('camera_num', 'frame_rate') THEN CASE WHEN is_running THEN 'Cannot change this parameter while node is running.' END
     WHEN node = 'camera' THEN 'The parameter is invalid.'
     WHEN name = 'driver_uri' THEN CASE WHEN is_running THEN 'Cannot change this parameter while node is running.' END
-    WHEN name = 'speed_limit_mode' THEN CASE WHEN {mode} THEN 'speed_limit_mode must be between 0 and 1.' END
+    WHEN name = 'speed_limit_mode' THEN CASE WHEN v NOT BETWEEN 0 AND 1 OR pos = 1 THEN 'speed_limit_mode must be between 0 and 1.' END
     WHEN name = 'body_speed_duration' THEN CASE WHEN v < 0 OR (v > 600 AND NOT isnan(v)) THEN 'body_speed_duration must be between 0 and 600 sec.' END
     WHEN name IN ('arm_robot', 'hold') THEN NULL
     ELSE 'The parameter is invalid.' END AS reason FROM raw)"""
-#: second values come with decimals, so they are no integers and as modes are rejected
-_CHG_ALL = _CHG.format(mode="pos = 1 OR v NOT BETWEEN 0 AND 1")
-#: a value with decimals is no integer, so second values of the mode are none
-_CHG = _CHG.format(mode="pos = 0 AND v NOT BETWEEN 0 AND 1")
+#: second values come with decimals ("0.0"), so they are no integers and as modes are rejected
 
 
 def _checked(s: SparkSession, d: str) -> DataFrame:
@@ -617,7 +632,7 @@ def _checked(s: SparkSession, d: str) -> DataFrame:
 
 for _name, _cond in {
     "val1_driver_uri": "node = 'driver' AND name = 'driver_uri'",
-    "val2_speed_limit_mode": "node = 'driver' AND name = 'speed_limit_mode' AND pos = 0",
+    "val2_speed_limit_mode": "node = 'driver' AND name = 'speed_limit_mode'",
     "val3_body_speed_duration": "node = 'driver' AND name = 'body_speed_duration'",
     "val4_unconstrained": "node = 'driver' AND name IN ('arm_robot', 'hold')",
     "val5_unknown": "name = 'no_such'",
@@ -629,20 +644,8 @@ for _name, _cond in {
         return _checked(s, d).filter(cond).select("batch", "pos", "name", "reason", "ok")
 
 
-@query("val7_sets", sql(E, _CHG, select="SELECT batch, bool_and(reason IS NULL) AS successful, coalesce(arg_max(reason, pos) FILTER (reason IS NOT NULL), '') AS reason FROM val WHERE NOT (name = 'speed_limit_mode' AND pos = 1) GROUP BY batch"))
+@query("val7_sets", sql(E, _CHG, select="SELECT batch, bool_and(reason IS NULL) AS successful, coalesce(arg_max(reason, pos) FILTER (reason IS NOT NULL), '') AS reason FROM val GROUP BY batch"))
 def _(s, d):
-    return params.batch_results(_checked(s, d).filter("NOT (name = 'speed_limit_mode' AND pos = 1)"))
-
-
-@query("val2_every_speed_limit_mode", sql(E, _CHG_ALL, select="SELECT batch, pos, name, reason, reason IS NULL AS ok FROM val WHERE node = 'driver' AND name = 'speed_limit_mode'"))
-def _(s, d):
-    """val2 with the second values too, which val2_speed_limit_mode leaves out as its SQL does."""
-    return _checked(s, d).filter("node = 'driver' AND name = 'speed_limit_mode'").select("batch", "pos", "name", "reason", "ok")
-
-
-@query("val7_every_set", sql(E, _CHG_ALL, select="SELECT batch, bool_and(reason IS NULL) AS successful, coalesce(arg_max(reason, pos) FILTER (reason IS NOT NULL), '') AS reason FROM val GROUP BY batch"))
-def _(s, d):
-    """val7 over every change; val7_sets leaves out second values of the mode, as its SQL does."""
     return params.batch_results(_checked(s, d))
 
 
@@ -660,12 +663,10 @@ def _(s, d):
 )
 def _(s, d):
     """Messages on the eight publishers, by node."""
-    n = lambda kind, *dfs: [df.select(F.lit(kind).alias("kind")) for df in dfs]
-    every = [
-        *n("telemetry", *telemetry.fan_out(_telemetry(s, d)).values()),
-        *n("gamepad", *gamepad.manual_drive(ev.gamepad(ev.events(s, d)))),
-        *n("camera", imaging.gap_filled(ev.color_images(s, d), "data", "color_image", "bgr8"), _depth_messages(s, d)),
-    ]
+    e = ev.events(s, d)
+    of = lambda kind, df: df.select(F.lit(kind).alias("kind"))
+    pad = ev.gamepad(e).select(F.explode(F.array(F.lit("cmd_vel"), F.lit("led_strip"))).alias("topic"))  # a sample makes one of each
+    every = [of("telemetry", telemetry.messages(ev.telemetry(e))), of("gamepad", pad), of("camera", _color_messages(s, d)), of("camera", _depth_messages(s, d))]
     out = every[0]
     for df in every[1:]:
         out = out.unionByName(df)
@@ -678,7 +679,7 @@ def _(s, d):
     return f.groupBy("robot_id").agg(F.count(F.lit(1)).alias("n_sent"), F.sum("s7").alias("sum_s7"), F.count(F.when(F.col("enable") == 0, 1)).alias("n_disarmed"))
 
 
-@query("snk3_bounds", f"SELECT * FROM (VALUES ('topic', {TOPIC_DEPTH}), ('image', {IMAGE_DEPTH}), ('stream', {STREAM_BUFFER})) t(queue, depth)")
+@query("snk3_bounds", "SELECT * FROM (VALUES ('topic', 10), ('image', 1), ('stream', 1000)) t(queue, depth)")
 def _(s, d):
     """Depths are declared, not enforced on rows; streams bound a micro-batch by files (sources.topics)."""
     return s.createDataFrame([("topic", TOPIC_DEPTH), ("image", IMAGE_DEPTH), ("stream", STREAM_BUFFER)], "queue string, depth int")
@@ -719,4 +720,4 @@ def flow_manual_drive(s: SparkSession, d: str) -> DataFrame:
     """Every event row is a gamepad sample; rows that are no speed command are ticks."""
     e = ev.events(s, d)
     ticks = e.filter("event_type in ('view', 'error', 'signup')").select("robot_id", "event_id", "ts")
-    return flows.gamepad_to_frames(ev.gamepad(e), ticks, ev.parameter_changes(e))
+    return flows.gamepad_to_frames(ev.gamepad(e), ticks, ev.parameter_sets(e), _cut(e))

@@ -56,8 +56,11 @@ def led_commands(e: DataFrame) -> DataFrame:
     )
 
 
-def parameter_changes(e: DataFrame) -> DataFrame:
-    """arm_robot and hold come with signup rows, speed_limit_mode with view rows, body_speed_duration with click rows."""
+def parameter_sets(e: DataFrame) -> DataFrame:
+    """arm_robot and hold come with signup rows, speed_limit_mode with view rows, body_speed_duration with click rows.
+
+    What a row sets was requested together: an array ``changes`` of (name, value).
+    """
     k, bool_ = F.col("k"), lambda c: F.when(c, "true").otherwise("false")
     pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
     said = (
@@ -65,7 +68,12 @@ def parameter_changes(e: DataFrame) -> DataFrame:
         .when(F.col("event_type") == "view", F.array(pair("speed_limit_mode", k % 3 - (k > 80).cast("int"))))
         .when(F.col("event_type") == "click", F.array(pair("body_speed_duration", (k % 8) * 0.02)))
     )
-    return e.select("robot_id", "event_id", "ts", F.lit("driver").alias("node"), F.inline(said))
+    return e.select("robot_id", "event_id", "ts", F.lit("driver").alias("node"), said.alias("changes")).filter("changes is not null")
+
+
+def parameter_changes(e: DataFrame) -> DataFrame:
+    """The same, a row for each change."""
+    return parameter_sets(e).select("robot_id", "event_id", "ts", "node", F.inline("changes"))
 
 
 def gamepad(e: DataFrame) -> DataFrame:

@@ -92,11 +92,31 @@ def test_every_change_counts_in_its_set(spark):
 
     sf, q = f"{compare.DATA}/sf0.001", reference.queries()
     every = reference._checked(spark, sf)
-    modes = every.filter("node = 'driver' AND name = 'speed_limit_mode'")
-    assert q["val2_every_speed_limit_mode"](spark, sf).count() == modes.count() > q["val2_speed_limit_mode"](spark, sf).count()
+    assert q["val2_speed_limit_mode"](spark, sf).count() == every.filter("node = 'driver' AND name = 'speed_limit_mode'").count()
     rejected = {r.batch for r in every.filter("NOT ok").collect()}
-    assert {r.batch for r in q["val7_every_set"](spark, sf).filter("NOT successful").collect()} == rejected
-    assert rejected > {r.batch for r in q["val7_sets"](spark, sf).filter("NOT successful").collect()}
+    assert {r.batch for r in q["val7_sets"](spark, sf).filter("NOT successful").collect()} == rejected
+
+
+def test_wrong_typed_duration_is_rejected(spark):
+    values = ["x", "", None, "0.5", "NaN"]
+    df = spark.createDataFrame(list(enumerate(values)), "batch int, value string").selectExpr("batch", "0 AS pos", "'driver' AS node", "'body_speed_duration' AS name", "value")
+    assert {r.value: r.reason for r in params.validated(df, F.lit(False)).collect()} == {v: None if v in ("0.5", "NaN") else params.BAD_DURATION for v in values}
+
+
+def test_sets_reach_rows_as_a_whole(spark):
+    """A rejected change takes the others of its set with it."""
+    rows = [(1, 0, T0, [("hold", "true"), ("speed_limit_mode", "7")]), (1, 1, T0, [("hold", "true"), ("speed_limit_mode", "1"), ("speed_limit_mode", "0")]), (1, 2, T0, [("arm_robot", "false"), ("driver_uri", "x")])]
+    sets = spark.createDataFrame(rows, "robot_id long, event_id long, ts timestamp_ntz, changes array<struct<name: string, value: string>>")
+    at = spark.createDataFrame([(1, i, T0) for i in range(3)], "robot_id long, event_id long, ts timestamp_ntz")
+    got = [(r.hold, r.speed_limit_mode, r.arm_robot) for r in params.as_of(at, sets, {"hold": "boolean", "speed_limit_mode": "int", "arm_robot": "boolean"}).orderBy("event_id").collect()]
+    assert got == [(False, 0, True), (True, 0, True), (True, 0, True)]
+
+
+def test_hot_robots_are_cut(spark):
+    from helmsight.functions.running import where_hot
+
+    df = spark.createDataFrame([(1,)] * 5 + [(2,)], "robot_id long")
+    assert where_hot(df, ["robot_id"], F.lit(1), 5) is None and where_hot(df, ["robot_id"], F.lit(1), 4) is not None
 
 
 def test_sets_fail_together(spark):
