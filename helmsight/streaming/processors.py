@@ -2,13 +2,16 @@
 
 Spark allows only time windows on streams, so the running values of the batch operators
 become state that each robot's rows step through in log order. Rows of a micro-batch are
-sorted by (ts, event_id); a row that comes after later ones were processed is late and is
-dropped, as the state cannot go back. Logs that arrive in order give what batch gives,
-wherever they are cut into micro-batches. Use the RocksDB state store (`configure`).
+sorted by (ts, event_id) and rank; rows that are equal in these all count, as in batch. A row
+that comes after later ones were processed is late and is dropped, as the state cannot go
+back; every output row says in `late` how many of its robot's rows have been. Logs that
+arrive in order give what batch gives, wherever they are cut into micro-batches. Use the
+RocksDB state store (`configure`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.constants import LED_START
+from ..functions.constants import LED_START, TICK_MS
+from ..operators import params
+from ..operators.driver import TIMED
+from ..sources.topics import DEFAULTS
 
 
 def configure(spark: SparkSession) -> None:
@@ -36,7 +42,7 @@ class InOrder(StatefulProcessor):
     ORDER = ("ts", "event_id")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("state", f"at_ts timestamp_ntz, at_id bigint, at_rank int, {self.STATE}")
+        self.saved = handle.getValueState("state", f"at_ts timestamp_ntz, at_id bigint, at_rank int, late bigint, {self.STATE}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(rows), ignore_index=True)
@@ -44,18 +50,21 @@ class InOrder(StatefulProcessor):
             df["rank"] = 0
         df = df.sort_values(["ts", "event_id", "rank"], kind="stable")
         got = self.saved.get() if self.saved.exists() else None
-        at, state = (None, list(self.START)) if got is None else ((pd.Timestamp(got[0]), got[1], got[2]), list(got[3:]))
+        at, late, state = (None, 0, list(self.START)) if got is None else ((pd.Timestamp(got[0]), got[1], got[2]), got[3], list(got[4:]))
         out = []
         for row in df.to_dict("records"):
             now = (row["ts"], int(row["event_id"]), int(row["rank"]))
-            if at is not None and now <= at:
+            if at is not None and now < at:
+                late += 1
                 continue
             at = now
             if (made := self.step(state, row)) is not None:
-                out.append({"robot_id": int(key[0]), "event_id": now[1], **made})
-        if at is not None:
-            self.saved.update((at[0].to_pydatetime(), at[1], at[2], *state))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.OUTPUT.split(", ")])
+                out.append({"robot_id": int(key[0]), "event_id": now[1], "late": late, **made})
+        self.saved.update((at[0].to_pydatetime(), at[1], at[2], late, *state))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.output().split(", ")])
+
+    def output(self) -> str:
+        return f"robot_id bigint, event_id bigint, late bigint, {self.OUTPUT}"
 
     def step(self, state: list, row: dict) -> dict | None:
         """Change the state in place; the columns of an output row, if the input row makes one."""
@@ -69,7 +78,7 @@ class Toggle(InOrder):
     """armed: each rising edge of lb toggles it."""
 
     STATE, START = "pressed int, armed boolean", (0, False)
-    OUTPUT = "robot_id bigint, event_id bigint, armed boolean"
+    OUTPUT = "armed boolean"
 
     def step(self, state, row):
         lb = int(row["lb"])
@@ -79,11 +88,20 @@ class Toggle(InOrder):
         return {"armed": state[1]}
 
 
+class ManualDrive(Toggle):
+    """Toggle for samples that `gamepad.decoded` made, with what their messages are made of."""
+
+    OUTPUT = "ts timestamp_ntz, armed boolean, rt double, lt double, lla double"
+
+    def step(self, state, row):
+        return {"ts": row["ts"], **super().step(state, row), **{c: row[c] for c in ("rt", "lt", "lla")}}
+
+
 class StatusEdges(InOrder):
     """edge where `now` (null: nothing is said) differs from the last one; well at first."""
 
     STATE, START = "was string", ("ok",)
-    OUTPUT = "robot_id bigint, event_id bigint, edge string"
+    OUTPUT = "edge string"
 
     def step(self, state, row):
         now = row["now"]
@@ -97,7 +115,7 @@ class GapFill(InOrder):
     """The image that is shown: `pixels` where status is ok, the last one where no frame came, no row for data errors."""
 
     STATE, START = "shown array<int>", (None,)
-    OUTPUT = "robot_id bigint, event_id bigint, pixels array<int>, is_filled boolean"
+    OUTPUT = "pixels array<int>, is_filled boolean"
 
     def step(self, state, row):
         if row["status"] == "data_error":
@@ -107,17 +125,26 @@ class GapFill(InOrder):
         return {"pixels": state[0], "is_filled": row["status"] == "no_frame"}
 
 
+def ticks(seconds: float) -> int:
+    """A duration in ticks, halves away from zero; 0 (no timeout) where it fits no integer."""
+    n = seconds * 1000.0 / TICK_MS
+    return int(math.copysign(math.floor(abs(n) + 0.5), n)) if abs(n) < 2**31 - 1 else 0
+
+
 class Driver(InOrder):
-    """Command frames. Rows: rank 0 parameters (arm_robot, hold, speed_limit_mode), rank 1 writes, rank 2 ticks."""
+    """Command frames. Rows of `driver_rows`: rank 0 parameters, rank 1 writes, rank 2 ticks.
+
+    A body command has its timeout from the parameter as of the command, whatever its stop says.
+    """
 
     STATE = (
-        "arm boolean, hold boolean, lim int, kind string, counter int, stop int, w7 double, w8 double, "
+        "arm boolean, hold boolean, lim int, seconds double, kind string, counter int, stop int, w7 double, w8 double, "
         "user_led double, r double, g double, b double, n bigint"
     )
-    START = (True, False, 0, "wheel", 0, 0, 0.0, 0.0, *LED_START.values(), 0)
+    START = (True, False, 0, float(DEFAULTS["driver"]["body_speed_duration"]), "wheel", 0, 0, 0.0, 0.0, *LED_START.values(), 0)
     OUTPUT = (
-        "robot_id bigint, event_id bigint, n bigint, mode double, user_led double, r double, g double, b double, "
-        "enable double, hold double, s7 double, s8 double"
+        "n bigint, mode double, user_led double, r double, g double, b double, "
+        "enable double, hold double, s7 double, s8 double, ts double"
     )
     _AT = {name.split()[0]: i for i, name in enumerate(STATE.split(", "))}
 
@@ -127,13 +154,16 @@ class Driver(InOrder):
             for name, column in (("arm", "arm_robot"), ("hold", "hold"), ("lim", "speed_limit_mode")):
                 if not _null(row[column]):
                     state[at[name]] = int(row[column]) if name == "lim" else bool(row[column])
+            if row["seconds"] is not None:  # a string, as a NaN is a value here
+                state[at["seconds"]] = float(row["seconds"])
             return None
         if row["rank"] == 1:
             for slot in ("w7", "w8", "user_led", "r", "g", "b"):
                 if not _null(row[slot]):
                     state[at[slot]] = float(row[slot])
             if not _null(row["kind"]):
-                state[at["kind"]], state[at["counter"]], state[at["stop"]] = row["kind"], 0, 0 if _null(row["stop"]) else int(row["stop"])
+                stop = ticks(state[at["seconds"]]) if row["kind"] == "body" else 0 if _null(row["stop"]) else int(row["stop"])
+                state[at["kind"]], state[at["counter"]], state[at["stop"]] = row["kind"], 0, stop
             return None
         state[at["n"]] += 1
         if state[at["stop"]] > 0:
@@ -147,26 +177,23 @@ class Driver(InOrder):
         return {
             "n": get("n"), "mode": (1.0 if get("kind") == "body" else 0.0) + (0.0 if get("lim") == 0 else 2.0),
             **{c: get(c) for c in ("user_led", "r", "g", "b")},
-            "enable": float(get("arm")), "hold": float(get("hold")), "s7": get("w7"), "s8": get("w8"),
+            "enable": float(get("arm")), "hold": float(get("hold")), "s7": get("w7"), "s8": get("w8"), "ts": row["ts"].value // 1000 / 1e6,
         }
 
 
 def live(rows: DataFrame, processor: InOrder) -> DataFrame:
     """Rows with robot_id, ts and event_id, run through a processor; append mode."""
     return rows.groupBy("robot_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=processor.output(), outputMode="Append", timeMode="None"
     )
 
 
-def driver_rows(changes: DataFrame, writes: DataFrame, ticks: DataFrame) -> DataFrame:
-    """One stream of what a driver takes in.
-
-    changes: robot_id, event_id, ts, arm_robot, hold, speed_limit_mode (null: not changed), accepted
-    ones only and one row per event, so that the order by (ts, event_id, rank) is total.
-    """
-    said = changes.select("robot_id", "event_id", "ts", F.lit(0).alias("rank"), F.col("arm_robot").cast("boolean"), F.col("hold").cast("boolean"), F.col("speed_limit_mode").cast("int"))
-    return said.unionByName(writes.withColumn("rank", F.lit(1)), allowMissingColumns=True).unionByName(
-        ticks.select("robot_id", "event_id", "ts", F.lit(2).alias("rank")), allowMissingColumns=True
+def driver_rows(changes: DataFrame, writes: DataFrame, tick_rows: DataFrame) -> DataFrame:
+    """One stream of what a driver takes in: parameter changes as they are requested (alone or in
+    sets, see `params.sets`), of which whole sets are validated here, write rows, and ticks."""
+    said = params.accepted_values(changes, TIMED).withColumn("seconds", F.col("body_speed_duration").cast("string")).drop("body_speed_duration")
+    return said.withColumn("rank", F.lit(0)).unionByName(writes.withColumn("rank", F.lit(1)), allowMissingColumns=True).unionByName(
+        tick_rows.select("robot_id", "event_id", "ts", F.lit(2).alias("rank")), allowMissingColumns=True
     )
 
 

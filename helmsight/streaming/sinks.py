@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions.constants import TICK_MS
+from ..functions.constants import COLOR_FRAME, DEPTH_FRAME, TICK_MS
+from ..operators import gamepad
+from ..schemas import COMMAND
 
 
 def publish(rows: DataFrame, topics: Callable[[DataFrame], dict[str, DataFrame]], path: str, checkpoint: str) -> DataStreamWriter:
@@ -31,3 +34,25 @@ def publish(rows: DataFrame, topics: Callable[[DataFrame], dict[str, DataFrame]]
 def paced(writer: DataStreamWriter, period_ms: int = TICK_MS) -> DataStreamWriter:
     """At most one micro-batch per period, as timers pace nodes."""
     return writer.trigger(processingTime=f"{period_ms} milliseconds")
+
+
+def command_topic(frames: DataFrame) -> dict[str, DataFrame]:
+    """What is sent to the device: the frames of `processors.Driver` in the order of their slots."""
+    return {"command": frames.select(*COMMAND.fieldNames())}
+
+
+def gamepad_topics(samples: DataFrame) -> dict[str, DataFrame]:
+    """Speed and LED commands from the rows of `processors.ManualDrive`, one of each a sample."""
+    return {"cmd_vel": gamepad.motion(samples), "led_strip": gamepad.leds(samples)}
+
+
+def camera_topic(stream: str) -> Callable[[DataFrame], dict[str, DataFrame]]:
+    """Images of a camera's stream, "color" or "depth", from the rows of `processors.GapFill`; filled ones have no header."""
+    frame = {"color": COLOR_FRAME, "depth": DEPTH_FRAME}[stream]
+
+    def topics(images: DataFrame) -> dict[str, DataFrame]:
+        filled = F.col("is_filled")
+        header = [F.when(~filled, F.col("event_id")).alias("stamp"), F.when(filled, F.lit("")).otherwise(F.lit(frame)).alias("frame_id")]
+        return {f"{stream}_image": images.select("robot_id", "event_id", *header, "pixels")}
+
+    return topics

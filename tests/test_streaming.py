@@ -1,11 +1,17 @@
 """Streaming forms give what batch gives, over several micro-batches."""
 
+import datetime as dt
+import time
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from compare import DATA
 from helmsight import queries as q
-from helmsight.operators import commands, gamepad, params, routing, telemetry
+from helmsight.operators import gamepad, routing, telemetry
+from helmsight.plans import flows
+from helmsight.schemas import COMMAND
 from helmsight.sources import events as ev
 from helmsight.sources.topics import stream_topic
 from helmsight.streaming import processors, sinks
@@ -56,18 +62,50 @@ def test_status_edges(configured, tmp_path):
     equal(got, q.queries()["st2_receive_edges"](configured, SF), ["robot_id", "event_id", "edge"])
 
 
+FRAME = ["robot_id", "event_id", "n", "mode", "user_led", "r", "g", "b", "enable", "hold", "s7", "s8", "ts"]
+
+
+def driver_stream(spark, tmp_path):
+    """What a driver takes in, as three streams: requested sets, commands, ticks. Nothing is worked out in batch before."""
+    e = streamed(spark, ev.events(spark, SF), tmp_path)
+    writes = flows.writes(ev.body_commands(e), ev.led_commands(e), ev.joint_commands(e))
+    return processors.driver_rows(ev.parameter_sets(e), writes, e)
+
+
 def test_driver(configured, tmp_path):
-    e = ev.events(configured, SF)
-    raw = ev.parameter_changes(e)
-    good = raw.filter(params.rejection(F.lit("driver"), F.col("name"), F.col("value"), F.lit(True)).isNull())
-    # what one event sets is one row
-    one = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
-    per_event = good.groupBy("robot_id", "event_id", "ts").agg(one("arm_robot").alias("arm_robot"), one("hold").alias("hold"), one("speed_limit_mode").alias("speed_limit_mode"))
-    timed = params.as_of(ev.body_commands(e), raw, {"body_speed_duration": "double"})
-    writes = commands.body_writes(timed).unionByName(commands.joint_writes(ev.joint_commands(e))).unionByName(commands.led_writes(ev.led_commands(e)))
-    rows = processors.driver_rows(per_event, writes, e)
-    got = finish(processors.live(streamed(configured, rows, tmp_path), processors.Driver()), "driver", tmp_path)
-    equal(got, q.queries()["st8_command_frames"](configured, SF), ["robot_id", "event_id", "n", "mode", "user_led", "r", "g", "b", "enable", "hold", "s7", "s8"])
+    got = finish(processors.live(driver_stream(configured, tmp_path), processors.Driver()), "driver", tmp_path)
+    equal(got, q.queries()["st8_command_frames"](configured, SF), FRAME)
+    assert got.agg(F.max("late")).first()[0] == 0
+
+
+def steps(spark, entries):
+    """A robot's entries through the processor's steps, without a stream."""
+    d, state, out = processors.Driver(), list(processors.Driver.START), []
+    empty = {"arm_robot": None, "hold": None, "speed_limit_mode": None, "seconds": None, "kind": None, "stop": None, **dict.fromkeys(("w7", "w8", "user_led", "r", "g", "b"))}
+    for i, entry in enumerate(entries):
+        made = d.step(state, {**empty, "ts": pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), **entry})
+        if made:
+            out.append(made)
+    return out
+
+
+@pytest.mark.parametrize("seconds, held", [("0.5", 31), ("0.0", 40), ("NaN", 40), ("0.04", 3), ("1e12", 40)])
+def test_live_timeout_follows_the_parameter(configured, seconds, held):
+    got = steps(configured, [{"rank": 0, "seconds": seconds}, {"rank": 1, "kind": "body", "w7": 1.0, "w8": 2.0}] + [{"rank": 2}] * 40)
+    assert sum(g["s7"] != 0 for g in got) == held
+
+
+def test_ties_count_and_late_rows_are_counted(configured, tmp_path):
+    """Rows that are equal in order all count, in one micro-batch or over two; late ones are dropped and counted."""
+    t = [dt.datetime(2024, 1, 1, h) for h in range(4)]
+    batches = [[(1, 5, t[1], 1), (1, 5, t[1], 0), (1, 5, t[1], 1), (2, 1, t[1], 1)], [(1, 5, t[1], 0), (1, 4, t[0], 1), (1, 6, t[2], 1)], [(1, 7, t[3], 1), (2, 2, t[2], 1)]]
+    for i, rows in enumerate(batches):
+        configured.createDataFrame(rows, "robot_id long, event_id long, ts timestamp_ntz, lb int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.01)
+    s = stream_topic(configured, str(tmp_path / "in"), configured.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
+    got = finish(processors.live(s, processors.Toggle()), "ties", tmp_path)
+    assert got.filter("robot_id = 1").count() == 6 and got.filter("robot_id = 2").count() == 2
+    assert {(r.event_id, r.late) for r in got.collect() if r.robot_id == 1} == {(5, 0), (5, 1), (6, 1), (7, 1)}
 
 
 def test_gap_fill(configured, tmp_path):
@@ -94,3 +132,49 @@ def test_publish(configured, tmp_path):
     for topic, want in telemetry.fan_out(frames).items():
         got = configured.read.parquet(str(tmp_path / "out" / topic))
         assert got.count() == want.count()
+
+
+def published(stream, topics, tmp_path):
+    run = sinks.publish(stream, topics, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert run.exception() is None
+    return lambda topic: stream.sparkSession.read.parquet(str(tmp_path / "out" / topic))
+
+
+def test_command_frames_are_sent(configured, tmp_path):
+    read = published(processors.live(driver_stream(configured, tmp_path), processors.Driver()), sinks.command_topic, tmp_path)
+    assert read("command").drop("batch").columns == COMMAND.fieldNames()
+    equal(read("command"), q.queries()["st8_command_frames"](configured, SF), COMMAND.fieldNames())
+
+
+def test_gamepad_topics_are_published(configured, tmp_path):
+    pads = gamepad.decoded(ev.gamepad(streamed(configured, ev.events(configured, SF), tmp_path)))
+    read = published(processors.live(pads, processors.ManualDrive()), sinks.gamepad_topics, tmp_path)
+    twist, led = gamepad.manual_drive(ev.gamepad(ev.events(configured, SF)))
+    equal(read("cmd_vel"), twist, ["robot_id", "event_id", "ts", "linear_x", "angular_z"])
+    equal(read("led_strip"), led, ["robot_id", "event_id", "ts", "r", "g", "b", "a"])
+
+
+def test_camera_topic_is_published(configured, tmp_path):
+    d = ev.depth_images(configured, SF).withColumnRenamed("image_id", "event_id").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    stream = streamed(configured, d.select("robot_id", "event_id", "ts", "status", "pixels"), tmp_path)
+    read = published(processors.live(stream, processors.GapFill()), sinks.camera_topic("depth"), tmp_path)
+    want = q._depth_messages(configured, SF).withColumnRenamed("image_id", "event_id")
+    text = lambda df: df.withColumn("pixels", F.col("pixels").cast("string"))
+    cells = lambda df: {tuple(r) for r in text(df).select("robot_id", "event_id", "stamp", "frame_id", "pixels").collect()}
+    assert cells(read("depth_image")) == cells(want)
+
+
+def test_paced_batches_keep_their_distance(configured, tmp_path):
+    """At most one micro-batch a period."""
+    rows = ev.events(configured, SF).select("robot_id", "event_id", "ts")
+    at = []
+    writer = streamed(configured, rows, tmp_path).writeStream.foreachBatch(lambda batch, n: at.append(time.monotonic())).option("checkpointLocation", str(tmp_path / "ck"))
+    run = sinks.paced(writer, 700).start()
+    try:
+        deadline = time.monotonic() + 60
+        while len(at) < 3 and time.monotonic() < deadline:
+            time.sleep(0.05)
+    finally:
+        run.stop()
+    assert len(at) == 3 and all(b - a > 0.3 for a, b in zip(at[1:], at[2:]))
