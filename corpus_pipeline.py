@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helmsight.llm.common import written
+from helmsight.llm.common import discard, written
 from helmsight.llm.decontaminate import contamination
 from helmsight.llm.exact_dedup import exact_dedup, normalised
 from helmsight.llm.near_dedup import near_duplicates
@@ -89,7 +89,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage kept is deleted once the next one has written what it keeps."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
