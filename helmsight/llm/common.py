@@ -56,8 +56,13 @@ def as_written(df: DataFrame, table: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that `written` made, once all that was made from them is written too."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._helmsight_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df._helmsight_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def coded(words: list[str]) -> tuple[np.ndarray, list[str]]:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import chat_format, warc
-from .common import work_path, written
+from .common import delete, discard, work_path, written
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .lm_score import lm_scores
@@ -68,7 +68,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     originals = captures.filter("record_type = 'response'").select(F.col("capture_id").alias("key"), F.col("page_id").alias("refers_to"))
     # responses refer to nothing; a key of their own keeps them from meeting as nulls in one task
     captures = captures.withColumn("key", F.coalesce("refers", F.concat(F.lit("none "), "capture_id")))
-    return captures.join(originals, "key", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = written(captures.join(originals, "key", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "captures")
+    discard(records)
+    delete(spark, path)
+    return out
 
 
 def logged(rows: DataFrame) -> DataFrame:

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, discard, written
 
 _END_OF_HOST = re.compile(r"[/?#]")
 _END_OF_PATH = re.compile(r"[?#]")
@@ -35,7 +36,7 @@ class _PathNode:
 
     def __init__(self):
         self.next: dict[str, _PathNode] = {}  # by whole segment
-        self.ends: dict[str, tuple[str, str]] = {}  # rules whose last segment is such a start of the url's
+        self.ends: dict[str, tuple[str, str, tuple[int, int]]] = {}  # rules whose last segment is such a start of the url's
         self.longest = 0
 
 
@@ -62,11 +63,11 @@ class UrlTrie:
             *whole, last = path.split("/")
             for segment in whole:
                 at = at.next.setdefault(segment, _PathNode())
-            at.ends[last] = (host + path, verdict)
+            at.ends[last] = (host + path, verdict, (host.count(".") + 1, len(path)))
             at.longest = max(at.longest, len(last))
 
     @staticmethod
-    def _in_path(at: _PathNode | None, segments: list[str]) -> tuple[str, str] | None:
+    def _in_path(at: _PathNode | None, segments: list[str]) -> tuple[str, str, tuple[int, int]] | None:
         best = None
         for segment in segments:
             if at is None:
@@ -78,8 +79,8 @@ class UrlTrie:
             at = at.next.get(segment)
         return best
 
-    def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) of the longest rule that fits, or None."""
+    def match(self, host: str, path: str) -> tuple[str, str, tuple[int, int]] | None:
+        """(rule, verdict, (its host labels, its path's length)) of the longest rule that fits, or None."""
         node, best, segments = self.root, None, path.split("/")
         for label in reversed(host.split(".")):
             node = node.next.get(label)
@@ -90,6 +91,19 @@ class UrlTrie:
         return best
 
 
+def rule_blocks(rules: Iterable[tuple[str, str, str]], most: int) -> Iterator[list[tuple[str, str, str]]]:
+    """Rules in their order, in blocks of at most so many bytes of Python strings, or of one rule."""
+    block, size = [], 0
+    for rule in rules:
+        own = sum(sys.getsizeof(x) for x in rule)
+        if block and size + own > most:
+            yield block
+            block, size = [], 0
+        block.append(rule)
+        size += own
+    yield block
+
+
 def url_filter(
     pages: DataFrame,
     rules: list[tuple[str, str, str]],
@@ -100,32 +114,46 @@ def url_filter(
 ) -> DataFrame:
     """One row per row of ``pages``: id_col, host, path, rule (null where none fits), verdict.
 
-    The rules' size is checked before they are broadcast: above ``max_rule_bytes``
-    of text the call is refused, and the caller splits the rules by top-level label.
-    Null and malformed urls have an empty host and path and so the default verdict.
-    Empty tables give no rows; other columns are ignored; repeated rows are judged each.
+    Rules are broadcast in blocks of at most ``max_rule_bytes``. One block is one pass over the urls;
+    with more, each pass keeps the longest rule so far, and its result is written, so that a task
+    holds one block's trie at a time. Of a host and path given twice the last verdict counts.
+
+    Null and malformed urls have an empty host and path and so the default verdict; very long
+    ones are judged whole. Without rules the default decides. Empty tables give no rows; other
+    columns are ignored, whatever their names; repeated rows are judged each.
     """
-    size = sum(sys.getsizeof(x) for rule in rules for x in rule)
-    if size > max_rule_bytes:
-        raise ValueError(f"{size} bytes of rules; at most {max_rule_bytes} are broadcast")
     spark = pages.sparkSession
-    sent = spark.sparkContext.broadcast(list(rules))
     kind = pages.schema[id_col].dataType.simpleString()
-
-    def judge(batches):
-        trie = UrlTrie(sent.value)
+    best = "rule string, verdict string, labels int, length int"
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in best.split(", ")))
+
+    def keep_longest(sent):
+        def run(batches):
+            trie = UrlTrie(sent.value)
+            for batch in batches:
+                out = []
+                for url, *so_far in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                    hit = trie.match(*split_url(url))
+                    # of equal rules, the later one
+                    longer = hit is not None and (so_far[0] is None or hit[2] >= tuple(so_far[2:]))
+                    out.append((*hit[:2], *hit[2]) if longer else so_far)
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))], ["id", "url", "rule", "verdict", "labels", "length"])
+
+        return run
+
+    def finish(batches):
         for batch in batches:
-            hosts, paths, names, verdicts = [], [], [], []
-            for url in batch.column(1).to_pylist():
-                host, path = split_url(url)
-                name, verdict = trie.match(host, path) or (None, default)
-                hosts.append(host)
-                paths.append(path)
-                names.append(name)
-                verdicts.append(verdict)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, names, verdicts))],
-                [id_col, "host", "path", "rule", "verdict"],
-            )
-
-    return pages.select(id_col, url_col).mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+            parts = [split_url(u) for u in batch.column(1).to_pylist()]
+            verdicts = batch.column(3).fill_null(default)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[k] for p in parts], pa.string()) for k in (0, 1)), batch.column(2), verdicts], [id_col, "host", "path", "rule", "verdict"])
+
+    blocks = rule_blocks(rules, max_rule_bytes)
+    block, before = next(blocks), None
+    while (following := next(blocks, None)) is not None:
+        rows = written(rows.mapInArrow(keep_longest(spark.sparkContext.broadcast(block)), f"id {kind}, url string, {best}"), "urls")
+        if before is not None:
+            discard(before)
+        block, before = following, rows
+    last = keep_longest(spark.sparkContext.broadcast(block))
+    return rows.mapInArrow(lambda batches: finish(last(batches)), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")

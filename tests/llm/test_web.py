@@ -176,7 +176,7 @@ paths = st.lists(st.sampled_from(["", "x", "xy", "1"]), max_size=4).map("/".join
 @given(st.lists(st.tuples(st.sampled_from(["allow", "block"]), hosts, paths), max_size=8, unique_by=lambda r: r[1:]), hosts, st.one_of(paths, st.just("")))
 def test_trie(rules, host, path):
     _, _, rule, verdict = brute.url(rules, f"http://{host}{path}?q")
-    assert (UrlTrie(rules).match(host, path) or (None, "allow")) == (rule, verdict)
+    assert (UrlTrie(rules).match(host, path) or (None, "allow"))[:2] == (rule, verdict)
 
 
 def test_urls(spark):
@@ -186,12 +186,28 @@ def test_urls(spark):
     assert got == [brute.url(queries.URL_RULES, u) for u in urls]
     assert url_filter(df.limit(0), queries.URL_RULES).count() == 0
     assert split_url("http://A.b/c?d") == ("a.b", "/c")
-    with pytest.raises(ValueError):
-        url_filter(df, queries.URL_RULES, max_rule_bytes=10)
+    assert {r.verdict for r in url_filter(df, []).collect()} == {"allow"}
+    assert {r.verdict for r in url_filter(df, [], default="block").collect()} == {"block"}
     with pytest.raises(ValueError):
         UrlTrie([("deny", "a", "/")])
 
 
+def test_rules_in_blocks(spark):
+    """More rules than are broadcast at once give the same; of a rule given twice the last verdict counts; long urls are whole."""
+    r = random.Random(4)
+    host = lambda: ".".join(r.choice(["a", "b", "org", "com"]) for _ in range(r.randint(1, 4)))
+    path = lambda: "/" + "/".join(r.choice(["", "x", "xy", "1"]) for _ in range(r.randint(0, 4)))
+    rules = list({(h, p): (r.choice(["allow", "block"]), h, p) for h, p in ((host(), path()) for _ in range(60))}.values())
+    urls = [f"http://{host()}{path()}?{i}" for i in range(300)] + ["http://a.org/x" + "/long" * 200_000, "http://" + "a." * 100_000 + "org/x", None, "http://a.org/x"] * 2
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("labels", F.lit(1)).withColumn("length", F.lit("?"))
+    want = [brute.url(rules, u) for u in urls]
+    for most in (10**9, 400, 1):
+        assert [(x.host, x.path, x.rule, x.verdict) for x in url_filter(df, rules, max_rule_bytes=most).orderBy("page_id").collect()] == want
+    twice = [("allow", "org", "/"), ("block", "org", "/")]
+    for most in (10**9, 1):
+        assert {x.verdict for x in url_filter(df.filter("page_id = 300"), twice, max_rule_bytes=most).collect()} == {"block"}
+
+
 # ---------------------------------------------------------------------------------- chat
 
 EVENTS = "conv_id long, seq long, kind string, message long, role string, text string, position int, formatted string"
