@@ -18,6 +18,7 @@ say where a document offends.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -47,21 +48,24 @@ class Model:
     hazard: dict[str, float]
     leak: float
 
+    def __post_init__(self):
+        self.telling = frozenset(self.hazard)
+
+    def sentence_hazard(self, words: list[str]) -> float:
+        """Sum over the distinct words, whatever their order."""
+        return math.fsum(map(self.hazard.__getitem__, self.telling.intersection(words)))
+
     def sentence(self, words: list[str]) -> float:
-        get = self.hazard.get
-        return -float(np.expm1(-sum(get(w, 0.0) for w in set(words))))
+        return -math.expm1(-self.sentence_hazard(words))
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score and (start, end, score) of each sentence that is not quite clean."""
-        get, total, found = self.hazard.get, 0.0, []
+        total, found = 0.0, []
         for m in SENTENCE.finditer(text):
-            h = 0.0
-            for w in set(WORD.findall(m.group().lower())):
-                h += get(w, 0.0)
-            if h:
+            if h := self.sentence_hazard(WORD.findall(m.group().lower())):
                 total += h
-                found.append((m.start(), m.end(), -float(np.expm1(-h))))
-        return 1.0 - (1.0 - self.leak) * float(np.exp(-total)), found
+                found.append((m.start(), m.end(), -math.expm1(-h)))
+        return 1.0 - (1.0 - self.leak) * math.exp(-total), found
 
 
 def bag(text: str) -> Counter:
