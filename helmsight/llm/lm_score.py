@@ -5,7 +5,10 @@
 The weights depend on the bucket of the context's frequency, floor(log2(1 + c(v))), and
 are learned by expectation-maximisation: a fifth of the training documents is held out
 of the counts, and the weights maximise the likelihood of its counts under the
-estimates of the rest. Scores then use the counts of all training documents.
+estimates of the rest. Scores then use the counts of all training documents. A document
+that was learned from finds its own n-grams among these, which makes it look likely
+whatever it says; its score by the others' counts alone is given too, which can be
+compared with that of a document that was not learned from.
 
 How the counts get to the documents: documents are packed into blocks of a bounded
 number of characters. A block sends each of its distinct n-grams once, as sorted 64-bit
@@ -113,6 +116,26 @@ class Block:
         """Of each token the counts of its pair, its context and itself, from the counts of the keys."""
         return counts[self.pair_at], counts[self.word_at[self.before]], counts[self.word_at[self.codes]]
 
+    def own(self, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token, how often its document was counted for its pair, its context and itself. pair, word: the corpus' counts of these."""
+        learned = self.token_use != SCORED
+        doc = np.repeat(np.arange(len(self.lengths), dtype=np.int64), self.lengths)
+
+        def within(at: np.ndarray, total: np.ndarray) -> np.ndarray:
+            out = learned.astype(np.int64)
+            several = np.flatnonzero(learned & (total > 1))  # what was counted once was counted here
+            if len(several):
+                _, place, n = np.unique(doc[several] * len(self.keys) + at[several], return_inverse=True, return_counts=True)
+                out[several] = n[place]
+            return out
+
+        own_pair, own_word = within(self.pair_at, pair), within(self.word_at[self.codes], word)
+        own_context = np.empty_like(own_word)
+        own_context[1:] = own_word[:-1]
+        starts = np.cumsum(self.lengths) - self.lengths
+        own_context[starts] = learned[starts]  # the begin, once a document
+        return own_pair, own_context, own_word
+
 
 class Counts(Codec):
     """Sorted 64-bit keys with occurrences in counted and in held-out documents; answers are those of the corpus."""
@@ -204,16 +227,19 @@ BLOCK = T.StructType(
 
 
 def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 5_000_000, parts: int = PARTS, fan_in: int = FAN_IN) -> DataFrame:
-    """One row per row of ``docs``: id_col, held_out (not learned from), n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``docs``: id_col, held_out (not learned from), n_tokens, n_known, train_tokens, base_score, score, others_score.
 
     Tokens are the words, A-Z lower-cased, and one end. base_score is the add-half
-    unigram log10 probability, score that of the model above. ``learn`` says which rows
-    are learned from; null counts as no.
+    unigram log10 probability, score that of the model above. others_score is that of the
+    same model (its weights and V) with the document's own counts taken away, which is
+    score where the document was not learned from. ``learn`` says which rows are learned
+    from; null counts as no.
 
     * null, empty and blank texts have the end as their one token;
-    * null ids and repeated rows are scored (and learned from) as they come;
+    * null ids and repeated rows are scored (and learned from) as they come; a repeated row is one of the others;
     * very long texts are a block of their own;
-    * nothing to learn from: N and V are 0, base_score and score are that of a uniform guess;
+    * nothing to learn from: N and V are 0, all scores are that of a uniform guess;
+    * one document to learn from: by the others' counts, of which there are none, only the uniform part is left of it;
     * an empty table gives no rows; other columns are ignored, whatever their names.
 
     The result is a written table; the work tables are deleted.
@@ -297,18 +323,24 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     weights = learn_weights(cells, vocabulary)
     n_train = n_counted + n_held
 
+    def estimate(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n) -> np.ndarray:
+        """Probabilities of tokens from the counts of their pairs, contexts and words among n tokens."""
+        if not n_train:
+            return np.full(len(pair), 1.0)
+        w = weights[bucket(context)]
+        p2 = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
+        return w[:, 0] * p2 + w[:, 1] * (word / np.maximum(n, 1)) + w[:, 2] / (vocabulary + 1)
+
     def score(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 b = opened(batch, i)
                 totals = unpacked(batch.column(batch.schema.get_field_index("totals"))[i].as_py(), np.uint64)
                 pair, context, word = (x.astype(float) for x in b.read(totals))
-                w = weights[bucket(context)]
-                p2 = np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
-                if n_train:
-                    p = w[:, 0] * p2 + w[:, 1] * (word / n_train) + w[:, 2] / (vocabulary + 1)
-                else:
-                    p = np.full(len(pair), 1.0)
+                p = estimate(pair, context, word, n_train)
+                mine = b.own(pair, word)
+                others = n_train - np.repeat(np.where(b.use == SCORED, 0, b.lengths), b.lengths)
+                p_others = estimate(pair - mine[0], context - mine[1], word - mine[2], others)
                 base = (word + 0.5) / (n_train + 0.5 * (vocabulary + 1))
                 starts = np.cumsum(b.lengths) - b.lengths
                 total = lambda x, starts=starts: np.add.reduceat(x, starts)
@@ -321,12 +353,13 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
                         pa.array([n_train] * len(b.lengths), pa.int64()),
                         pa.array(total(np.log10(base))),
                         pa.array(total(np.log10(p))),
+                        pa.array(total(np.log10(p_others))),
                     ],
-                    ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "others_score"],
                 )
 
     out = counted.select("ids", *of_block, "totals").mapInArrow(
-        score, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        score, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, others_score double"
     )
     out = written(out.withColumnRenamed("id", id_col), "scores")
     discard(counted)

@@ -171,6 +171,28 @@ def lm_scores(docs, learn, deleted):
     return out
 
 
+def lm_scores_by_others(docs, learn, deleted):
+    """{id: score} under the same weights, each text by the counts of the other texts that are learned from."""
+    rows = [(i, t) for i, t in docs if learn(i)]
+    weights = interpolation_weights([t for i, t in rows if not deleted(i)], [t for i, t in rows if deleted(i)])
+    c, out = NgramCounts([t for _, t in rows]), {}
+    v = len(c.word)
+    for i, t in docs:
+        ws, own, score = _tokens(t), NgramCounts([t] if learn(i) else []), 0.0
+        n = c.total - own.total
+        for a, b in zip(["<"] + ws[:-1], ws):
+            k = c.context(a) - own.context(a)
+            w = weights[_bucket(k)]
+            p = w[2] / (v + 1)
+            if n:
+                p += w[1] * (c.word[b] - own.word[b]) / n
+            if k:
+                p += w[0] * (c.pair[a, b] - own.pair[a, b]) / k
+            score += math.log10(p)
+        out[i] = score
+    return out
+
+
 def _sentence_words(text):
     return [set(re.findall(r"[^\W\d_]+", s.lower())) for s in re.findall(r"[^.!?\n]+", text or "")]
 

@@ -187,6 +187,9 @@ def test_language_model(spark, parts, fan_in, chars):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    others = brute.lm_scores_by_others(docs, learn, deleted)
+    assert all(math.isclose(r.others_score, others[r.doc_id], rel_tol=1e-9) for r in got)
+    assert all(r.others_score == r.score for r in held)
 
 
 def test_em_finds_the_weights():
@@ -211,6 +214,20 @@ def test_language_model_edges(spark):
     assert lm_score.lm_scores(empty_docs(spark), learn=F.lit(True)).count() == 0
 
 
+def test_language_model_by_others(spark):
+    """A text that is learned from twice stands out, one that is learned from once does not; alone, nothing is left of it."""
+    docs = [(1, "zig zag zug"), (2, "zig zag zug"), (3, "mip map mop")] + [(10 + i, f"w{i} x{i % 7} y{i % 5}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.lm_scores(df, learn=F.lit(True)).collect()}
+    want = brute.lm_scores_by_others(docs, lambda i: True, deleted)
+    assert all(math.isclose(got[i].others_score, want[i], rel_tol=1e-9) for i in got)
+    assert got[1].others_score - got[3].others_score > got[1].score - got[3].score > 0
+    one = lm_score.lm_scores(df.filter("doc_id = 3"), learn=F.lit(True)).first()
+    assert math.isfinite(one.others_score) and one.others_score < one.score and one.train_tokens == 4
+    never = lm_score.lm_scores(df, learn=F.lit(False)).collect()
+    assert all(r.others_score == r.score for r in never)
+
+
 # ------------------------------------------------------------------------------- tokens
 
 
