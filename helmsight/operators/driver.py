@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import LED_START
-from ..functions.running import Last, Sum, running
+from ..functions.running import Last, Sum, running, sliced
 from ..sources.topics import DEFAULTS
 from .commands import SLOTS, ticks
 from .params import accepted_values
@@ -41,21 +41,24 @@ def driver_log(tick_rows: DataFrame, writes: DataFrame, changes: DataFrame) -> D
     return said.unionByName(wrote, allowMissingColumns=True).unionByName(came, allowMissingColumns=True)
 
 
-def command_frames(log: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """One frame per tick of a `driver_log`, whatever was received. Adds n, the tick's number from 1, and timed_out."""
-    d = running(log, KEYS, ORDER, chunk, _n=Sum("tick"), **{f"_{n}": Last(n) for n in TIMED})
+def command_frames(log: DataFrame, slices: int | None = None) -> DataFrame:
+    """One frame per tick of a `driver_log`, whatever was received. Adds n, the tick's number from 1, and timed_out.
+
+    ``slices``: see `running.sliced`; the three rounds are over the same slices.
+    """
+    d = running(sliced(log, KEYS, ORDER, slices), KEYS, ORDER, _n=Sum("tick"), **{f"_{n}": Last(n) for n in TIMED})
     now = {n: F.coalesce(f"_{n}", F.lit(DEFAULTS["driver"][n]).try_cast(t)) for n, t in TIMED.items()}
     is_tick = F.col("tick").isNotNull()
     # a command counts from the first tick after it
     d = d.withColumns({**now, "n": F.col("_n") + F.when(is_tick, 0).otherwise(1)})
     stop = F.when(F.col("kind") == "body", ticks(F.col("body_speed_duration"))).otherwise(F.col("stop"))
     d = d.withColumn("_cmd", F.when(F.col("kind").isNotNull(), F.struct("n", "kind", stop.alias("stop"))))
-    d = running(d, KEYS, ORDER, chunk, _last=Last("_cmd"), **{f"_{c}": Last(c) for c in LED_START})
+    d = running(d, KEYS, ORDER, _last=Last("_cmd"), **{f"_{c}": Last(c) for c in LED_START})
     over = F.coalesce((F.col("_last.stop") > 0) & (F.col("n") - F.col("_last.n") + 1 > F.col("_last.stop")), F.lit(False))
     d = d.withColumn("timed_out", over)
     zero = is_tick & (F.col("timed_out") | ~F.col("arm_robot"))
     d = d.withColumns({f"_x{s}": F.when(zero, F.lit(0.0)).otherwise(F.col(f"w{s}")) for s in "78"})
-    d = running(d, KEYS, ORDER, chunk, _s7=Last("_x7"), _s8=Last("_x8"))
+    d = running(d, KEYS, ORDER, _s7=Last("_x7"), _s8=Last("_x8"))
     flag = lambda c: F.when(F.col(c), 1.0).otherwise(0.0)
     return d.filter(is_tick).select(
         "robot_id", "n", "event_id", mode(F.col("_last.kind"), F.col("speed_limit_mode")).alias("mode"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BIT_A, BIT_LB, STEERING_GAIN, THROTTLE_GAIN
-from ..functions.running import Last, Sum, running
+from ..functions.running import Last, Sum, running, sliced, whole
 from .routing import when_armed
 
 KEYS, ORDER = ["robot_id"], ["ts", "event_id"]
@@ -22,11 +22,11 @@ def decoded(samples: DataFrame) -> DataFrame:
     return samples.withColumns({"lla": F.lit(-1.0) * F.col("x") + 0.0, "rt": F.col("rz"), "lt": F.col("z"), "a": bit(b, BIT_A), "lb": bit(b, BIT_LB)})
 
 
-def with_armed(samples: DataFrame, chunk: Column | None = None) -> DataFrame:
+def with_armed(samples: DataFrame, slices: int | None = None) -> DataFrame:
     """Adds armed: each press of LB toggles it, holding does not; off at first."""
-    d = running(samples, KEYS, ORDER, chunk, _before=Last("lb", before=True))
+    d = running(sliced(samples, KEYS, ORDER, slices), KEYS, ORDER, _before=Last("lb", before=True))
     d = d.withColumn("_edge", ((F.col("lb") == 1) & (F.coalesce("_before", F.lit(0)) == 0)).cast("int"))
-    return running(d, KEYS, ORDER, chunk, _edges=Sum("_edge")).withColumn("armed", F.col("_edges") % 2 == 1).drop("_before", "_edge", "_edges")
+    return whole(running(d, KEYS, ORDER, _edges=Sum("_edge"))).withColumn("armed", F.col("_edges") % 2 == 1).drop("_before", "_edge", "_edges")
 
 
 def speeds(rt: Column, lt: Column, lla: Column) -> tuple[Column, Column]:
@@ -54,6 +54,6 @@ def leds(armed_samples: DataFrame) -> DataFrame:
     return armed_samples.select("robot_id", "event_id", "ts", *led_columns(F.col("armed")))
 
 
-def manual_drive(samples: DataFrame, chunk: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    armed = with_armed(decoded(samples), chunk)
+def manual_drive(samples: DataFrame, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
+    armed = with_armed(decoded(samples), slices)
     return motion(armed), leds(armed)

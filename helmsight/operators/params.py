@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BODY_DURATION_RANGE, SPEED_LIMIT_MODES
-from ..functions.running import Last, running
+from ..functions.running import Last, running, sliced
 from ..sources.topics import DEFAULTS
 
 #: Reasons for a rejection; fixed values.
@@ -65,16 +65,17 @@ def accepted_values(changes: DataFrame, types: dict[str, str], node: str = "driv
     return whole.select("robot_id", "event_id", "ts", *(value(n).try_cast(t).alias(n) for n, t in types.items()))
 
 
-def as_of(rows: DataFrame, changes: DataFrame, types: dict[str, str], node: str = "driver", chunk: Column | None = None) -> DataFrame:
+def as_of(rows: DataFrame, changes: DataFrame, types: dict[str, str], node: str = "driver", slices: int | None = None) -> DataFrame:
     """``rows`` with the value of each parameter in ``types`` as of the row: the last accepted change at or before it.
 
     changes: robot_id, event_id, ts, and name, value or an array of them (see `sets`). One
     union and one window, no range join. A change counts for the row with its own
-    (ts, event_id). Extra columns of ``rows`` stay.
+    (ts, event_id). Extra columns of ``rows`` stay. ``slices``: see `running.sliced`.
     """
     keys = ["robot_id", "ts", "event_id"]
     said = accepted_values(changes, types, node).select(*keys, *(F.col(n).alias(f"_p_{n}") for n in types), F.lit(0).alias("_row"))
     both = rows.withColumn("_row", F.lit(1)).unionByName(said, allowMissingColumns=True)
-    out = running(both, ["robot_id"], ["ts", "event_id", "_row"], chunk, **{f"_v_{n}": Last(f"_p_{n}") for n in types})
+    order = ["ts", "event_id", "_row"]
+    out = running(sliced(both, ["robot_id"], order, slices), ["robot_id"], order, **{f"_v_{n}": Last(f"_p_{n}") for n in types})
     default = DEFAULTS[node]
     return out.filter("_row = 1").select(*rows.columns, *(F.coalesce(f"_v_{n}", F.lit(default[n]).try_cast(t)).alias(n) for n, t in types.items()))

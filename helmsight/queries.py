@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.constants import IMAGE_DEPTH, JOYSTICK_MS, STREAM_BUFFER, TICK_MS, TOPIC_DEPTH
-from .functions.running import where_hot
+from .functions.running import Sum, running, sliced
 from .operators import commands, driver, gamepad, imaging, params, routing, status, telemetry
 from .plans import flows
 from .schemas import TELEMETRY, TELEMETRY_SLOTS
@@ -131,14 +131,9 @@ def _telemetry(s: SparkSession, d: str) -> DataFrame:
     return ev.telemetry(ev.events(s, d))
 
 
-def _cut(rows: DataFrame):
-    """Logs are cut by day where a robot has too many rows for one task."""
-    return where_hot(rows, ev.KEYS, F.to_date("ts"))
-
-
 def _armed(s: SparkSession, d: str) -> DataFrame:
     e = ev.events(s, d)
-    return gamepad.with_armed(gamepad.decoded(ev.gamepad(e)), _cut(e))
+    return gamepad.with_armed(gamepad.decoded(ev.gamepad(e)))
 
 
 # ------------------------------------------------------------------------------ sources
@@ -203,9 +198,7 @@ def _(s, d):
 
 
 def _clock(e: DataFrame, period: int) -> DataFrame:
-    from .functions.running import Sum, running
-
-    n = running(e.withColumn("_one", F.lit(1)), ev.KEYS, ev.ORDER, _cut(e), n=Sum("_one"))
+    n = running(sliced(e.withColumn("_one", F.lit(1)), ev.KEYS, ev.ORDER), ev.KEYS, ev.ORDER, n=Sum("_one"))
     return n.select("robot_id", "event_id", "n", ((F.col("n") - 1) * period).alias("nominal_ms"))
 
 
@@ -365,7 +358,7 @@ def _(s, d):
 @query("cmd2_body_speed", sql(E, WRITES, select="SELECT robot_id, event_id, w7, w8, kind, stop FROM wr WHERE kind = 'body'"))
 def _(s, d):
     e = ev.events(s, d)
-    timed = params.as_of(ev.body_commands(e), ev.parameter_sets(e), {"body_speed_duration": "double"}, chunk=_cut(e))
+    timed = params.as_of(ev.body_commands(e), ev.parameter_sets(e), {"body_speed_duration": "double"})
     return commands.body_writes(timed).select("robot_id", "event_id", "w7", "w8", "kind", "stop")
 
 
@@ -435,12 +428,12 @@ def _(s, d):
 # ------------------------------------------------------------------- driver state machine
 
 
-def _form(s: SparkSession, d: str, between: bool, chunk=None) -> DataFrame:
+def _form(s: SparkSession, d: str, between: bool, slices: int | None = None) -> DataFrame:
     e = ev.events(s, d)
     changes = ev.parameter_sets(e)
     writes = flows.writes(ev.body_commands(e), ev.led_commands(e), ev.joint_commands(e))
     ticks = e.filter("event_type in ('view', 'error', 'signup')") if between else e
-    return flows.drive(ticks.select("robot_id", "event_id", "ts"), writes, changes, _cut(e) if chunk is None else chunk)
+    return flows.drive(ticks.select("robot_id", "event_id", "ts"), writes, changes, slices)
 
 
 @query("st1_mode", sql(E, WRITES, FORM_A, select="SELECT robot_id, n, event_id, mode FROM frames"))
@@ -462,14 +455,14 @@ def _edges(status_sql: str, error: str, fine: str) -> str:
 @query("st2_receive_edges", _edges("nullif(status, 'would_block')", "error receiving data", "data received"))
 def st2(s: SparkSession, d: str) -> DataFrame:
     t = _telemetry(s, d)
-    return status.status_edges(t, routing.counted_status(F.col("status")), _cut(t))
+    return status.status_edges(t, routing.counted_status(F.col("status")))
 
 
 @query("st3_send_edges", _edges("CASE WHEN status = 'ok' THEN 'ok' ELSE 'fail' END", "error sending data", "data sent"))
 def st3(s: SparkSession, d: str) -> DataFrame:
     """Every failure counts, would-block too; the fixture's receive status stands in for the send status."""
     t = _telemetry(s, d)
-    return status.status_edges(t, F.when(F.col("status") == "ok", "ok").otherwise("fail"), _cut(t), say=status.SEND)
+    return status.status_edges(t, F.when(F.col("status") == "ok", "ok").otherwise("fail"), say=status.SEND)
 
 
 @query("st4_timeout", sql(E, WRITES, FORM_A, select="SELECT robot_id, n, timed_out, s7, s8 FROM frames"))
@@ -498,7 +491,7 @@ def _(s, d):
 )
 def _(s, d):
     e = ev.events(s, d)
-    return params.as_of(e.select("robot_id", "event_id", "ts"), ev.parameter_sets(e), driver.PARAMETERS, chunk=_cut(e)).drop("ts")
+    return params.as_of(e.select("robot_id", "event_id", "ts"), ev.parameter_sets(e), driver.PARAMETERS).drop("ts")
 
 
 _FRAME = "SELECT robot_id, n, event_id, mode, user_led, r, g, b, enable, hold, s7, s8, ts, timed_out FROM frames"
@@ -516,8 +509,8 @@ def _(s, d):
 
 @query("st8_chunked_log", sql(E, WRITES, FORM_B, select=_FRAME))
 def _(s, d):
-    """The same with each robot's log cut by day, for robots with too many rows for one task."""
-    return _form(s, d, True, F.to_date("ts"))
+    """The same by a prefix scan over 64 even slices of the whole log, as for robots with too many rows for one task."""
+    return _form(s, d, True, 64)
 
 
 # -------------------------------------------------------------------------------- images
@@ -542,18 +535,20 @@ def _(s, d):
     return m.select("image_id", "encoding", "stamp", "frame_id", imaging.channel(F.col("data"), F.col("width"), F.lit(3), F.lit(5), 2).alias("red_3_5"))
 
 
-def _images(images: DataFrame, payload: str, frame_id: str, encoding: str, chunk=None) -> DataFrame:
-    """Messages of a camera's stream, cut where a stream has too many images for one task."""
-    chunk = where_hot(images, ["robot_id"], F.floor(F.col("image_id") / 100_000)) if chunk is None else chunk
-    return imaging.gap_filled(images, payload, frame_id, encoding, chunk)
+def _depth_messages(s: SparkSession, d: str, slices: int | None = None) -> DataFrame:
+    return imaging.gap_filled(ev.depth_images(s, d), "pixels", "depth_image", "mono16", slices)
 
 
-def _depth_messages(s: SparkSession, d: str, chunk=None) -> DataFrame:
-    return _images(ev.depth_images(s, d), "pixels", "depth_image", "mono16", chunk)
+def _color_messages(s: SparkSession, d: str) -> DataFrame:
+    return imaging.gap_filled(ev.color_images(s, d), "data", "color_image", "bgr8")
 
 
-def _color_messages(s: SparkSession, d: str) -> DataFrame:
-    return _images(ev.color_images(s, d), "data", "color_image", "bgr8")
+def _depth_references(s: SparkSession, d: str) -> DataFrame:
+    return imaging.references(ev.depth_images(s, d), "depth_image", "mono16")
+
+
+def _color_references(s: SparkSession, d: str) -> DataFrame:
+    return imaging.references(ev.color_images(s, d), "color_image", "bgr8")
 
 
 @query("img3_gap_fill", sql(DEPTH, _FILL, select="SELECT robot_id, image_id, CAST(list_sum(shown) AS BIGINT) AS total, status = 'no_frame' AS is_filled FROM fill WHERE status <> 'data_error'"))
@@ -565,31 +560,31 @@ def _(s, d):
 @query("img3_gap_fill_chunked", sql(DEPTH, _FILL, select="SELECT robot_id, image_id, CAST(list_sum(shown) AS BIGINT) AS total FROM fill WHERE status <> 'data_error'"))
 def _(s, d):
     total = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, p: a + p)
-    return _depth_messages(s, d, F.floor(F.col("image_id") / 50)).select("robot_id", "image_id", total.alias("total"))
+    return _depth_messages(s, d, 8).select("robot_id", "image_id", total.alias("total"))
 
 
 @query("img4_unset_header", sql(DEPTH, select="SELECT image_id, CASE WHEN status = 'ok' THEN image_id END AS stamp, CASE WHEN status = 'ok' THEN 'depth_image' ELSE '' END AS frame_id FROM depth WHERE status <> 'data_error'"))
 def _(s, d):
-    return _depth_messages(s, d).select("image_id", "stamp", "frame_id")
+    return _depth_references(s, d).select("image_id", "stamp", "frame_id")
 
 
 @query("img5_data_errors", sql(DEPTH, select="SELECT robot_id, count(*) FILTER (status <> 'data_error') AS n_sent, count(*) FILTER (status = 'data_error') AS n_dropped FROM depth GROUP BY robot_id"))
 def _(s, d):
     every = ev.depth_images(s, d).groupBy("robot_id").agg(F.count(F.lit(1)).alias("n"))
-    sent = _depth_messages(s, d).groupBy("robot_id").agg(F.count(F.lit(1)).alias("n_sent"))
+    sent = _depth_references(s, d).groupBy("robot_id").agg(F.count(F.lit(1)).alias("n_sent"))
     return every.join(sent, "robot_id").select("robot_id", "n_sent", (F.col("n") - F.col("n_sent")).alias("n_dropped"))
 
 
 @query("img6_leading_empty", sql(DEPTH, _FILL, select="SELECT robot_id, image_id FROM fill WHERE status <> 'data_error' AND shown IS NULL"))
 def _(s, d):
-    return _depth_messages(s, d).filter("pixels is null").select("robot_id", "image_id")
+    return _depth_references(s, d).filter("shown is null").select("robot_id", "image_id")
 
 
 @query("img7_independent_streams", sql(COLOR, select="SELECT 'color' AS stream, count(*) AS n FROM color WHERE status <> 'data_error' UNION ALL SELECT 'depth', count(*) FROM depth WHERE status <> 'data_error'"))
 def _(s, d):
     """No pairing: two streams, each with its own gaps."""
     n = lambda name, df: df.groupBy(F.lit(name).alias("stream")).agg(F.count(F.lit(1)).alias("n"))
-    return n("color", _color_messages(s, d)).unionByName(n("depth", _depth_messages(s, d)))
+    return n("color", _color_references(s, d)).unionByName(n("depth", _depth_references(s, d)))
 
 
 @query("img8_rate_limit", sql(DEPTH, select="SELECT robot_id, CAST(floor(image_id / 30e0) AS BIGINT) AS bucket, max(image_id) AS image_id FROM depth GROUP BY ALL"))
@@ -666,7 +661,7 @@ def _(s, d):
     e = ev.events(s, d)
     of = lambda kind, df: df.select(F.lit(kind).alias("kind"))
     pad = ev.gamepad(e).select(F.explode(F.array(F.lit("cmd_vel"), F.lit("led_strip"))).alias("topic"))  # a sample makes one of each
-    every = [of("telemetry", telemetry.messages(ev.telemetry(e))), of("gamepad", pad), of("camera", _color_messages(s, d)), of("camera", _depth_messages(s, d))]
+    every = [of("telemetry", telemetry.messages(ev.telemetry(e))), of("gamepad", pad), of("camera", _color_references(s, d)), of("camera", _depth_references(s, d))]
     out = every[0]
     for df in every[1:]:
         out = out.unionByName(df)
@@ -720,4 +715,4 @@ def flow_manual_drive(s: SparkSession, d: str) -> DataFrame:
     """Every event row is a gamepad sample; rows that are no speed command are ticks."""
     e = ev.events(s, d)
     ticks = e.filter("event_type in ('view', 'error', 'signup')").select("robot_id", "event_id", "ts")
-    return flows.gamepad_to_frames(ev.gamepad(e), ticks, ev.parameter_sets(e), _cut(e))
+    return flows.gamepad_to_frames(ev.gamepad(e), ticks, ev.parameter_sets(e))

@@ -14,7 +14,7 @@ from simulator import DriverModel
 T0 = dt.datetime(2024, 1, 1)
 
 
-def run(spark, log, chunk=None):
+def run(spark, log, slices=None):
     """log: entries in order, ('tick',), ('body', x, z), ('jog', names, velocities, duration), ('led', r, g, b, a), ('set', name, value)."""
     at = [(1, i, T0 + dt.timedelta(hours=i)) for i in range(len(log))]
     pick = lambda kind: [(*a, *x[1:]) for a, x in zip(at, log, strict=True) if x[0] == kind]
@@ -23,7 +23,7 @@ def run(spark, log, chunk=None):
     led = spark.createDataFrame(pick("led"), LED_COMMAND)
     changes = spark.createDataFrame([(*a, "driver", x[1], str(x[2]).lower()) for a, x in zip(at, log, strict=True) if x[0] == "set"], PARAMETER)
     ticks = spark.createDataFrame([(*a,) for a, x in zip(at, log, strict=True) if x[0] == "tick"], "robot_id long, event_id long, ts timestamp_ntz")
-    frames = flows.drive(ticks, flows.writes(body, led, joint), changes, chunk)
+    frames = flows.drive(ticks, flows.writes(body, led, joint), changes, slices)
     return [r.asDict() for r in frames.orderBy("n").collect()]
 
 
@@ -39,8 +39,8 @@ def model(log):
     return out
 
 
-def agree(spark, log, chunk=None):
-    got, want = run(spark, log, chunk), model(log)
+def agree(spark, log, slices=None):
+    got, want = run(spark, log, slices), model(log)
     assert [g["n"] for g in got] == list(range(1, len(want) + 1))
     for g, w in zip(got, want, strict=True):
         assert {k: g[k] for k in w} == w
@@ -102,5 +102,5 @@ def test_random_logs(spark, log):
 def test_cut_log(spark):
     """However a log is cut, the result is that of the whole."""
     log = ([("body", 1.0, 2.0)] + [TICK] * 9 + [("set", "arm_robot", False), TICK, ("set", "arm_robot", True), ("jog", ["left_wheel"], [3.0], 0.2)] + [TICK] * 30) * 2
-    for chunk in (F.to_date("ts"), F.date_trunc("hour", "ts")):
-        agree(spark, log, chunk)
+    for slices in (2, 7, 40):
+        agree(spark, log, slices)

@@ -45,8 +45,8 @@ def test_empty_tables(spark):
 def test_toggle_and_branches(spark):
     presses = [0, 1, 1, 0, 1, 0, 1, 1]
     samples = spark.createDataFrame([(1, i, T0 + dt.timedelta(seconds=i), 0.0, 0.0, 0.0, 16 * p + 1) for i, p in enumerate(presses)], GAMEPAD)
-    for chunk in (None, F.floor(F.col("event_id") / 3)):
-        got = [r.armed for r in gamepad.with_armed(gamepad.decoded(samples), chunk).orderBy("event_id").collect()]
+    for slices in (1, 2, 5):
+        got = [r.armed for r in gamepad.with_armed(gamepad.decoded(samples), slices).orderBy("event_id").collect()]
         assert got == toggles(presses)
     cases = [(0.5, 0.5, 0.6, -2.5 * 0.5), (0.0, 0.5, -0.6, 2.5 * 0.5), (0.0, 0.0, 0.0, -1.25), (-1.0, -1.0, 0.0, -1.25)]
     for rt, lt, throttle, steering in cases:
@@ -59,8 +59,8 @@ def test_toggle_and_branches(spark):
 
 def test_status_edges(spark):
     said = ["fail", "would_block", "fail", "ok", "ok", "would_block", "fail"]
-    for chunk in (None, F.floor(F.col("event_id") / 2)):
-        got = status.status_edges(log(spark, said, "status string"), routing.counted_status(F.col("status")), chunk).orderBy("event_id").collect()
+    for slices in (1, 3):
+        got = status.status_edges(log(spark, said, "status string"), routing.counted_status(F.col("status")), slices).orderBy("event_id").collect()
         assert [(r.event_id, r.edge) for r in got] == edges([None if s == "would_block" else s for s in said]) == [(0, "error"), (3, "recovered"), (6, "error")]
     assert status.status_edges(log(spark, ["ok", "ok"], "status string"), F.col("status")).count() == 0
 
@@ -112,11 +112,36 @@ def test_sets_reach_rows_as_a_whole(spark):
     assert got == [(False, 0, True), (True, 0, True), (True, 0, True)]
 
 
-def test_hot_robots_are_cut(spark):
-    from helmsight.functions.running import where_hot
+def test_slices_are_even_whatever_a_robot_holds(spark):
+    """A robot with almost all rows, bursts at one time, a null robot and null orders: even slices, values of one window."""
+    from helmsight.functions.running import Last, Sum, running, sliced, whole
 
-    df = spark.createDataFrame([(1,)] * 5 + [(2,)], "robot_id long")
-    assert where_hot(df, ["robot_id"], F.lit(1), 5) is None and where_hot(df, ["robot_id"], F.lit(1), 4) is not None
+    n = F.col("id")
+    df = spark.range(20_000, numPartitions=8).select(
+        F.when(n % 50 == 0, n % 7).when(n % 1999 == 0, None).otherwise(100).alias("robot_id"),
+        F.when(n % 500 == 3, None).otherwise((n * 7919) % 300).alias("ts"), n.alias("event_id"),
+        F.when(n % 37 == 0, n).alias("said"), (n % 3).alias("step"),
+    )
+    keys, order = ["robot_id"], ["ts", "event_id"]
+    wanted = {"last": Last("said"), "was": Last("said", before=True), "total": Sum("step")}
+    cut = sliced(df, keys, order, 16)
+    sizes = [r["count"] for r in cut.filter("robot_id = 100").groupBy("_slice").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 2.5 * 20_000 / 16
+    got, want = whole(running(cut, keys, order, **wanted)), running(df, keys, order, **wanted)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = running(cut, keys, order, **wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # rows move once
+    small = sliced(df, keys, order)
+    assert small.columns == df.columns  # a task can take the whole: one window, and no job to find out
+
+
+def test_empty_and_uncut_logs_have_no_slices(spark):
+    from helmsight.functions.running import Last, running, sliced, whole
+
+    for rows in ([], [(1, 1, 5)]):
+        df = spark.createDataFrame(rows, "robot_id long, event_id long, said long")
+        got = whole(running(sliced(df, ["robot_id"], ["event_id"], 8), ["robot_id"], ["event_id"], last=Last("said")))
+        assert [r.last for r in got.collect()] == [r[2] for r in rows]
 
 
 def test_sets_fail_together(spark):
@@ -136,13 +161,32 @@ def test_duplicate_and_missing_velocities(spark):
 def test_gap_fill(spark):
     rows = [(1, 0, "no_frame", None), (1, 1, "ok", [65535, 1]), (1, 2, "data_error", None), (1, 3, "no_frame", None), (1, 4, "ok", [2, 2])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "robot_id long, image_id long, status string, pixels array<int>, height int, width int")
-    for chunk in (None, F.floor(F.col("image_id") / 2)):
-        got = imaging.gap_filled(df, "pixels", "depth_image", "mono16", chunk).orderBy("image_id").collect()
+    for slices in (1, 3):
+        got = imaging.gap_filled(df, "pixels", "depth_image", "mono16", slices).orderBy("image_id").collect()
         assert [(r.image_id, r.pixels, r.stamp, r.frame_id, r.is_filled) for r in got] == [
             (0, None, None, "", True), (1, [65535, 1], 1, "depth_image", False), (3, [65535, 1], None, "", True), (4, [2, 2], 4, "depth_image", False),
         ]
 
 
+def test_gaps_are_filled_by_reference(spark):
+    """No payload goes through the window's exchange, and none is read where references are enough."""
+    df = spark.createDataFrame([(1, 0, "ok", b"x", 1, 2)], "robot_id long, image_id long, status string, data binary, height int, width int")
+    for slices in (1, 4):
+        plan = imaging.gap_filled(df, "data", "color_image", "bgr8", slices)._jdf.queryExecution().optimizedPlan()
+        found = plan.toString().splitlines()
+        at = next(i for i, line in enumerate(found) if "Window [" in line)
+        depth = found[at].index("Window")
+        below = [line for line in found[at:] if line.startswith(found[at][: depth - 3].replace("+", " ").replace(":", " "))]
+        assert not any("data#" in line for line in below if "LogicalRDD" not in line)
+    thin = imaging.references(df, "color_image", "bgr8")._jdf.queryExecution().optimizedPlan().toString()
+    assert "data#" not in thin.split("LogicalRDD")[0]
+    # robots without an id have streams of their own; one image shown over and over
+    rows = [(None, 0, "ok", b"n", 1, 1), (None, 1, "no_frame", None, 1, 1), (2, 0, "no_frame", None, 1, 1), (2, 1, "ok", b"y", 1, 1), *((2, i, "no_frame", None, 1, 1) for i in range(2, 9))]
+    got = imaging.gap_filled(spark.createDataFrame(rows, df.schema), "data", "color_image", "bgr8", 3).collect()
+    shown = {(r.robot_id, r.image_id): r.data and bytes(r.data) for r in got}
+    assert len(got) == len(rows) and shown[None, 1] == b"n" and shown[2, 0] is None and all(shown[2, i] == b"y" for i in range(1, 9))
+
+
 def test_latest_both_ways(spark):
     df = log(spark, [1.0, 2.0, 3.0, 4.0], "value double")
     day = F.floor(F.col("event_id") / 3)
