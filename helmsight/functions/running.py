@@ -4,10 +4,11 @@
 one window: one exchange and one sort for all columns. `sliced` prepares a table of which
 one key may hold a large part: a bounded sample of the keys and orders gives cuts that
 divide all rows evenly, wherever they fall, so only keys with many rows are cut. Windows
-then go over (key, slice), what a slice hands on is combined on the map side into one row,
-and what came before a slice is added to its rows by a broadcast join with one row for
-each cut. Both ways give the same values; nothing is written, and rows move once for any
-number of rounds over the same slices.
+then go over (key, slice). What a slice hands on is combined on the map side into one row,
+of which there are as many as cuts: they come to the driver, so that a round which builds on
+another one reads its values and not its plan, and are joined by broadcast. Both ways give
+the same values; nothing is written, and rows move once for any number of rounds over the
+same slices.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ _ROW_BYTES = 100
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """What the optimizer expects df to take. Runs no job, but for tables made of RDDs, of which nothing is known."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """What df takes by the sizes of the tables that it is made of. Runs no job, but for tables made of RDDs, of which nothing is known."""
+    size = int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     return size if size < 1 << 60 else df.count() * _ROW_BYTES
 
 
@@ -117,7 +118,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], **wanted:
     earlier = W.partitionBy(*keys).orderBy(_SLICE).rowsBetween(start, -1)
     before = lambda name, kind: F.sum(f"_{name}").over(earlier) if isinstance(kind, Sum) else F.last(f"_{name}", ignorenulls=True).over(earlier)
     carried = ends.select(*(F.col(c).alias(f"_of_{c}") for c in inside), *(before(name, kind).alias(f"_before_{name}") for name, kind in wanted.items()))
-    carried = F.broadcast(carried.filter(f"_of_{_SLICE} > 0"))  # a row for each cut at most
+    found = carried.filter(f"_of_{_SLICE} > 0").collect()  # a row for each cut at most
+    carried = F.broadcast(df.sparkSession.createDataFrame(found, carried.schema).coalesce(1))
     joined = out.join(carried, [out[c].eqNullSafe(carried[f"_of_{c}"]) for c in inside], "left")
     merged = {
         name: F.col(name) + F.coalesce(f"_before_{name}", F.lit(0)) if isinstance(kind, Sum) else F.coalesce(name, f"_before_{name}")
