@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import as_written, discard, written
 
 
-def _flattened(parent: DataFrame) -> DataFrame:
-    """parent: written (node, root) trees, root < node, which are discarded. The same with all nodes on their tree's root; a written table."""
+def flattened(parent: DataFrame) -> DataFrame:
+    """parent: written (node, root) trees, which are discarded. The same with all nodes on their tree's root, which has no row; a written table."""
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
         jumped = parent.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = both.groupBy("a").agg(F.min("b").alias("root")).filter("root < a").select(F.col("a").alias("node"), "root")
-        tree = _flattened(written(hooked, "trees"))
+        tree = flattened(written(hooked, "trees"))
         if roots is None:
             roots = tree  # not discarded until it is superseded
         else:

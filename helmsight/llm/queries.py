@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from . import chat_format, warc
 from .common import delete, discard, work_path, written
 from .decontaminate import contamination
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .lm_score import lm_scores
 from .near_dedup import near_duplicates
+from .prefix_trie import numbered, prefix_trie
 from .sentencepiece_np import encode_documents
+from .spelling import contract_noise, spelling_variants, word_counts
 from .token_count import token_counts
 from .toxicity import toxicity, train
 from .url_filter import url_filter
@@ -145,6 +148,35 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations) of the contract's trie: each conversation begins with the first h turns of the one
+    whose id is the multiple of 5 below, and goes on with its own from the next. h is at most 8."""
+    own = written(numbered(conversations), "turns")
+    first = own.filter("conv % 5 = 0 AND n <= 8").groupBy(F.col("conv").alias("base"))
+    first = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "turn_hash", "bytes"))), lambda t: F.struct(t["turn_hash"], t["bytes"])).alias("first"))
+    h = (_remainder("conv", 9)).cast("int").alias("h")
+    convs = own.groupBy("conv").agg(F.count(F.lit(1)).alias("n_own")).select("conv", "n_own", h, (F.col("conv") - F.col("conv") % 5).alias("base"))
+    heads = convs.join(first, "base", "left").select("conv", "n_own", "h", F.coalesce(F.slice("first", 1, F.greatest("h", F.lit(1))), F.array()).alias("first"))
+    heads = heads.withColumn("first", F.when(F.col("h") == 0, F.slice("first", 1, 0)).otherwise(F.col("first")))
+    heads = written(heads.withColumn("k", F.size("first").cast("long")), "heads")
+    begun = heads.select("conv", F.posexplode("first").alias("i", "t")).select("conv", (F.col("i") + 1).cast("long").alias("n"), "t.turn_hash", "t.bytes")
+    gone_on = own.join(heads.select("conv", "h", "k"), "conv").filter("n > h").select("conv", (F.col("n") - F.col("h") + F.col("k")).alias("n"), "turn_hash", "bytes")
+    length = F.col("k") + F.greatest(F.col("n_own") - F.col("h"), F.lit(0).cast("long"))
+    return begun.unionByName(gone_on), heads.select("conv", length.alias("length"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), noise=contract_noise()))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP3_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -245,6 +277,72 @@ SELECT doc_id, n.n AS n_shingles, component_id, doc_id = component_id AS kept FR
 """
 
 
+#: CRC-32 of a text's UTF-8 bytes: each byte, then eight shifts
+CRC_SQL = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(0, CAST(octet_length(encode({x})) AS BIGINT)),
+    lambda i: list_concat([CAST(('0x' || substr(hex(encode({x})), CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)], list_transform(range(0, 8), lambda j: CAST(-1 AS BIGINT)))))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END)"""
+
+
+def crc_sql(x: str) -> str:
+    return f"xor({CRC_SQL.format(x=x)}, CAST(4294967295 AS BIGINT))"
+
+
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '')), md5(coalesce(text, ''))) AS n,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS t, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(t ORDER BY n) AS t, list(size ORDER BY n) AS s FROM t GROUP BY c),
+h AS (SELECT *, {crc_sql("CAST(c AS VARCHAR)")} % 9 AS h FROM o),
+r AS (
+  SELECT h.c, list_concat(coalesce(b.t, [])[1:h], h.t[h + 1:]) AS t, list_concat(coalesce(b.s, [])[1:h], h.s[h + 1:]) AS s
+  FROM h LEFT JOIN o b ON b.c = h.c - h.c % 5),
+m AS (SELECT c, d, t[1:d] AS p, CASE WHEN d > 0 THEN t[1:d - 1] END AS up, coalesce(s[d], 0) AS size, d = len(t) AS ends FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM r)),
+n AS (
+  SELECT p, d, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends FROM m GROUP BY p, d),
+k AS (SELECT up AS p, count(*) AS kids FROM n WHERE d > 0 GROUP BY up),
+v AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (p)),
+below AS (SELECT p[1:e] AS p, sum(CAST(kids = 0 AS BIGINT)) AS leaves, sum((n - 1) * size) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM v) GROUP BY 1)
+SELECT v.c AS conv_id, v.d AS depth, a.c AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN below USING (p) LEFT JOIN n a ON a.p = v.up AND v.d > 0
+"""
+
+OP12_SQL = rf"""
+WITH r AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+  GROUP BY ALL),
+h AS (SELECT *, {crc_sql("CAST(doc_id AS VARCHAR) || ':' || run")} AS h FROM r),
+w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(k) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(0, length(word))) AS i FROM w)),
+p AS (
+  SELECT DISTINCT a.word AS a, b.word AS b, a.n AS n, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, a.n, b.n FROM w a JOIN cut b ON a.word = b.rest
+  UNION SELECT b.word, a.word, b.n, a.n FROM w a JOIN cut b ON a.word = b.rest),
+f AS (
+  SELECT a AS word, count(*) AS n_near, CASE WHEN max(m) >= 5 * any_value(n) THEN arg_min(b, (-m, b)) END AS form, CASE WHEN max(m) >= 5 * any_value(n) THEN max(m) END AS form_n
+  FROM p GROUP BY a),
+up AS (
+  WITH RECURSIVE g(word, top) AS (SELECT word, word FROM w UNION SELECT g.word, f.form FROM g JOIN f ON f.word = g.top AND f.form IS NOT NULL)
+  SELECT g.word, g.top AS root FROM g LEFT JOIN f ON f.word = g.top WHERE f.form IS NULL)
+SELECT w.word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM w LEFT JOIN f USING (word) JOIN up USING (word)
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x)
+SELECT vec_id, (SELECT count(*) FROM l WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -257,6 +355,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_lm_score": op9_lm_score,
         "op10_token_count": op10_token_count,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_spelling": op12_spelling,
+        "op13_embedding_dedup": op13_embedding_dedup,
     }
 
 
@@ -268,4 +369,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": OP5_SQL,
         "op6_chat_format": OP6_SQL,
         "op8_near_dedup": OP8_SQL,
+        "op11_prefix_trie": OP11_SQL,
+        "op12_spelling": OP12_SQL,
+        "op13_embedding_dedup": OP13_SQL,
     }
