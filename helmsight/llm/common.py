@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.shared import shared_dir
@@ -91,6 +92,23 @@ def unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def runs_of(batches: Iterable[pa.RecordBatch], by: str, most: int) -> Iterator[pa.Table]:
+    """Rows sorted by a column, in tables of about so many rows that never cut a run of equal ones."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        if rest.num_rows >= most:
+            column = rest.column(by)
+            changes = np.flatnonzero(pc.not_equal(column.slice(1), column.slice(0, rest.num_rows - 1)).to_numpy())
+            if len(changes):
+                cut = int(changes[-1]) + 1
+                yield rest.slice(0, cut)
+                rest = rest.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def blocks(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
     """Cut Arrow batches of (id, text) into runs of rows of about so many characters.
 

@@ -16,9 +16,12 @@
 5. Large buckets (by rows or by shingles) whose members stay apart, such as pages of one
    template, are not compared all with all. Two sets at the threshold have one of their
    rarest shingles in common: of n shingles, the rarest n - ceil(similarity * n) + 1. So
-   their members meet by each of these, which is exact and leaves out what a template has
-   in all its pages. Where many members share even a rarest shingle, they are compared by
-   sketch in pairs of blocks.
+   their members meet by each of these, which is exact. What two sets can share from the
+   first of these on is bounded by how many shingles each has left in that order, so a
+   shingle's rank tells which members can reach the threshold with any other one there:
+   pages that begin with their own shingles and end with those of a template cannot, however
+   many they are, and go no further. This takes a sort of the ranks, not pairs of members.
+   Those that are left are compared in pairs of blocks by the same bound and by sketch.
 
 With 40 bands of 5 rows a pair at 0.8 is in no common bucket with probability 1.3e-7.
 The sketch lets through what lies within 5.5 standard deviations of the threshold.
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, blocks, coded, discard, word_hashes, written
+from .common import ascii_lower, blocks, coded, discard, runs_of, word_hashes, written
 from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -169,6 +172,27 @@ def _wide(group: pa.Table, name: str, kind: type, width: int) -> np.ndarray:
     return group.column(name).combine_chunks().flatten().to_numpy().view(kind).reshape(-1, width)
 
 
+def may_reach(batches: Iterator[pa.RecordBatch], per_mille: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (key, n, nth), distinct, those that may reach the threshold with a row of their key, themselves included.
+
+    nth is the rank of the shingle ``key`` in a set of n. Two sets of which it is the first shingle in common share at most
+    the smaller of both n - nth + 1 shingles, and need per_mille / (10,000 + per_mille) of both sizes. So the other set must be
+    small enough for this one's rest, and of sets that small the one with the most to spare decides.
+    """
+    for t in runs_of(batches, "key", most):
+        key, n, nth = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "nth"))
+        group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        starts = np.searchsorted(group, group)
+        rest = (n - nth + 1) * (10_000 + per_mille)
+        spare = rest - per_mille * n
+        low, width = spare.min(), spare.max() - spare.min() + 1
+        best = np.maximum.accumulate(spare - low + group * width)  # begins anew with each key
+        top = np.clip(rest // per_mille - n, 0, n.max())
+        at = np.searchsorted(group * (n.max() + 1) + n, group * (n.max() + 1) + top, side="right") - 1
+        ok = (at >= starts) & (best[np.maximum(at, 0)] - group * width + low >= per_mille * n)
+        yield from t.filter(pa.array(ok)).to_batches()
+
+
 def close_pairs(group: pa.Table, far: int, per_mille: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row numbers (i, several j > i) of different roots whose sketches and sizes allow the threshold."""
     n = group.num_rows
@@ -176,12 +200,15 @@ def close_pairs(group: pa.Table, far: int, per_mille: int) -> Iterator[tuple[int
     own = group.column("own").to_numpy()
     split = group.column("first")[0].as_py() != group.column("second")[0].as_py()
     sketch, size = _wide(group, "sketch", np.uint64, SKETCH_BITS // 64), group.column("n").to_numpy().astype(np.int64)
+    left = size - group.column("nth").to_numpy() + 1 if "nth" in group.column_names else None
     for i in range(n - 1):
         rest = slice(i + 1, n)
         ok = root[rest] != root[i]
         if split:
             ok &= own[rest] != own[i]
         ok &= np.minimum(size[rest], size[i]) * 10_000 >= np.maximum(size[rest], size[i]) * per_mille
+        if left is not None:  # the bound of `may_reach`
+            ok &= np.minimum(left[rest], left[i]) * (10_000 + per_mille) >= (size[rest] + size[i]) * per_mille
         js = np.flatnonzero(ok) + i + 1
         if len(js):
             js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1) <= far]
@@ -349,20 +376,31 @@ def near_duplicates(
     grouped = open_rows.filter("NOT large").join(known, "id").withColumns(whole).select("key", "first", "second", "own", "band", "id", "root", "n", "sketch", "keys", "small")
     crossing = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(cross, f"a {id_sql}, b {id_sql}")
 
-    # large buckets: members meet by their rarest shingles
-    apart = open_rows.filter("large").select("id", "root", "n").distinct()
-    tokens = full_sets.select("id", "set").join(apart, "id").select("id", "root", "n", F.explode("set").alias("key"))
-    ranked = with_group(tokens, tokens.groupBy("key").agg(F.count(F.lit(1)).alias("held")))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("held", "key"))
-    needed = F.col("n") - F.ceil(F.col("n") * per_mille / F.lit(10_000)) + 1
-    rare = ranked.withColumn("nth", nth).filter((F.col("nth") <= needed) & (F.col("held") > 1)).select("key", "id", "root", "n")
-    met = rare.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 < r1")
-    met = with_group(rare, met.select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")))
-    met = met.join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "root", "n", "sketch")
-    met = met.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(cross_by_sketch, f"a {id_sql}, b {id_sql}")
-    more = confirmed(crossing if open_rows.filter("large").isEmpty() else crossing.union(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    def met_by_rarest() -> DataFrame:
+        """Pairs (a, b) of members of large buckets, which meet by their rarest shingles. A row a shingle is written once."""
+        apart = open_rows.filter("large").select("id", "root", "n").distinct()
+        tokens = full_sets.select("id", "set").join(apart, "id").select("id", "root", "n", F.explode("set").alias("key"))
+        ranked = with_group(tokens, tokens.groupBy("key").agg(F.count(F.lit(1)).alias("held")))
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("held", "key"))
+        needed = F.col("n") - F.ceil(F.col("n") * per_mille / F.lit(10_000)) + 1
+        rare = ranked.withColumn("nth", nth).filter((F.col("nth") <= needed) & (F.col("held") > 1)).select("key", "id", "root", "n", "nth")
+        rare = written(rare, "rare")
+        ranks = rare.select("key", "n", "nth").distinct().repartition("key").sortWithinPartitions("key", "n")
+        able = ranks.mapInArrow(lambda batches: may_reach(batches, per_mille), "key long, n long, nth int")
+        able = able.select(F.col("key").alias("_k"), F.col("n").alias("_n"), F.col("nth").alias("_nth"))
+        some = rare.join(able, (F.col("key") == F.col("_k")) & (F.col("n") == F.col("_n")) & (F.col("nth") == F.col("_nth")), "left_semi")
+        met = some.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 < r1")
+        met = with_group(some, met.select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")))
+        met = met.join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "root", "n", "nth", "sketch")
+        met = met.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second").mapInArrow(cross_by_sketch, f"a {id_sql}, b {id_sql}")
+        met = written(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "met")
+        discard(rare)
+        return met
+
+    rarest = None if open_rows.filter("large").isEmpty() else met_by_rarest()
+    more = confirmed(crossing if rarest is None else crossing.union(rarest))
     # an id that comes with several sets ties them together
     marks = feats.filter("mark is not null and id is not null").select("id", "mark")
     by_mark = classes.select("mark", F.col("id").alias("class"))
@@ -378,5 +416,5 @@ def near_duplicates(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )
     out = written(found, "near")
-    discard(feats, classes, shared, full_sets, first_roots, open_rows, own, roots)
+    discard(feats, classes, shared, full_sets, first_roots, open_rows, own, roots, *([] if rarest is None else [rarest]))
     return out

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.running import Sum, running, sliced, whole
-from .common import as_written, discard, written
+from .common import as_written, discard, runs_of, written
 from .components import flattened
 
 #: rows below a node above which it is heavy; nodes that a task lays out together; ids in one piece
@@ -128,26 +128,9 @@ def members(turns: DataFrame, conversations: DataFrame, slices: int | None = Non
     return d.select("conv", "n", _name(n, s1, s2).alias("key"), parent.alias("parent"), "bytes", (F.col("length") - n).alias("below"), (F.col("length") == n).alias("ends"))
 
 
-def _in_runs(batches: Iterator[pa.RecordBatch], by: str, most: int) -> Iterator[pa.Table]:
-    """Rows sorted by a column, in tables of about so many rows that never cut a run of equal ones."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        if rest.num_rows >= most:
-            column = rest.column(by)
-            changes = np.flatnonzero(pa.compute.not_equal(column.slice(1), column.slice(0, rest.num_rows - 1)).to_numpy())
-            if len(changes):
-                cut = int(changes[-1]) + 1
-                yield rest.slice(0, cut)
-                rest = rest.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rolls up shards: of each node its children, the leaves of its subtree and what the subtree saves."""
-    for t in _in_runs(batches, "shard", BLOCK_NODES):
+    for t in runs_of(batches, "shard", BLOCK_NODES):
         column = lambda name: t.column(name).to_numpy()
         n, ends, size = column("n_convs"), column("n_ends"), column("bytes")
         trie = Louds(column("depth"), column("key"), column("parent"))

@@ -81,12 +81,26 @@ def test_near(spark, seed, n, rows, shingles, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-def test_template_family(spark, monkeypatch):
-    """Pages of one template stay apart; those few that are at the threshold are found in the large bucket."""
+def test_ranks_that_may_reach():
+    """The bound by ranks against all pairs of rows of a key: no row that fits with another one is lost, the others go."""
+    r = random.Random(3)
+    rows = sorted({(r.randrange(6), n := r.randrange(1, 40), r.randrange(1, n + 1)) for _ in range(400)})
+    for per_mille in (8000, 5000):
+        fits = lambda a, b: (10_000 + per_mille) * min(a[1] - a[2] + 1, b[1] - b[2] + 1) >= per_mille * (a[1] + b[1])
+        want = {a for a in rows if any(a[0] == b[0] and fits(a, b) for b in rows)}
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["key", "n", "nth"])
+        for most in (1, 50, 10_000):
+            got = [tuple(x.values()) for b in near_dedup.may_reach(iter([batch.slice(0, 90), batch.slice(90)]), per_mille, most) for x in b.to_pylist()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("template, own", [(75, 25), (81, 19), (84, 16), (88, 12), (85, 20)])
+def test_template_family(spark, monkeypatch, template, own):
+    """Pages of one template stay apart, at similarities from 0.60 to 0.79; those few that are at the threshold are found in the large bucket."""
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 64)
     r = random.Random(7)
-    core = [f"core{i}" for i in range(75)]
-    docs = [(i, " ".join(core + [f"own{i}x{j}" for j in range(25)])) for i in range(600)]
+    core = [f"core{i}" for i in range(template)]
+    docs = [(i, " ".join(core + [f"own{i}x{j}" for j in range(own + i % 2 if template == 85 else own)])) for i in range(600)]
     for i in range(600, 620):
         near = docs[r.randrange(600)][1].split()
         docs.append((i, " ".join(near[:-3] + [f"other{i}x{j}" for j in range(3)])))
