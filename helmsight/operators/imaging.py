@@ -34,11 +34,17 @@ def _header(frame_id: str, encoding: str, filled: Column) -> list[Column]:
     ]
 
 
+def depth_bytes(pixels: Column) -> Column:
+    """16-bit pixels as bytes, the lower one first, as messages hold them."""
+    digits = F.transform(pixels, lambda p: F.lpad(F.hex(F.shiftleft(p.bitwiseAND(255), 8).bitwiseOR(F.shiftright(p, 8))), 4, "0"))
+    return F.unhex(F.array_join(digits, ""))
+
+
 def references(images: DataFrame, frame_id: str, encoding: str, slices: int | None = None) -> DataFrame:
     """images: robot_id, image_id (in order, one row each), status, height, width. One row per message, with the id of the image that it shows.
 
     * ok: the image itself, with frame id and a header;
-    * no_frame: the last image again, its header unset; null (an empty image) before there was any;
+    * no_frame, stream_error: the last image again, its header unset; null (an empty image) before there was any;
     * data_error: nothing is sent, and the last image stays what it was.
 
     ``slices``: see `running.sliced`. No payload is read.
@@ -46,7 +52,7 @@ def references(images: DataFrame, frame_id: str, encoding: str, slices: int | No
     thin = images.select("robot_id", "image_id", "status", "height", "width")
     came = thin.withColumn("_came", F.when(F.col("status") == "ok", F.col("image_id")))
     d = whole(running(sliced(came, _STREAM, _IN_ORDER, slices), _STREAM, _IN_ORDER, shown=Last("_came")))
-    filled = F.col("status") == "no_frame"
+    filled = F.col("status").isin("no_frame", "stream_error")
     return d.filter(F.col("status") != "data_error").select(
         "robot_id", "image_id", "height", "width", *_header(frame_id, encoding, filled), "shown", filled.alias("is_filled")
     )

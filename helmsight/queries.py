@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.constants import IMAGE_DEPTH, JOYSTICK_MS, STREAM_BUFFER, TICK_MS, TOPIC_DEPTH
 from .functions.running import Sum, running, sliced
-from .operators import commands, driver, gamepad, imaging, params, routing, status, telemetry
+from .operators import commands, driver, gamepad, imaging, logs, params, routing, status, telemetry
 from .plans import flows
 from .schemas import TELEMETRY, TELEMETRY_SLOTS
 from .sources import events as ev
@@ -465,6 +465,34 @@ def st3(s: SparkSession, d: str) -> DataFrame:
     return status.status_edges(t, F.when(F.col("status") == "ok", "ok").otherwise("fail"), say=status.SEND)
 
 
+RESULTS = """res AS (
+  SELECT robot_id, event_id, ts, CASE event_type WHEN 'error' THEN -1 - k % 7 WHEN 'view' THEN -34 ELSE 0 END AS received,
+         CASE WHEN k % 20 = 13 THEN -34 WHEN k % 10 = 3 THEN -1 - k % 4 ELSE 0 END AS sent FROM e)"""
+
+
+def _link_sql(result: str, silent: str, doing: str, done: str) -> str:
+    return f"""SELECT robot_id, 'driver' AS node, event_id AS at, 'INFO' AS severity, code,
+      CASE WHEN ok THEN '{done} driver model.' ELSE 'Error (' || code || ') {doing} driver model. Make sure the driver model is running.' END AS message
+    FROM (SELECT *, last_value(ok IGNORE NULLS) OVER {BEFORE} AS was FROM (SELECT *, CAST({result} AS INT) AS code, CASE WHEN NOT ({silent}) THEN {result} >= 0 END AS ok FROM res))
+    WHERE ok IS NOT NULL AND ok <> coalesce(was, true)"""
+
+
+_RECEIVE_LOG = _link_sql("received", "received = -34", "receiving data from", "Data received from")
+_SEND_LOG = _link_sql("sent", "false", "sending data to", "Data sent to")
+
+
+@query("st3_send_outcomes", sql(E, RESULTS, select=_SEND_LOG))
+def _(s, d):
+    """Edges of the results of sends, with their codes; one that would have blocked is an error here."""
+    return logs.send_log(ev.link_results(ev.events(s, d)), F.col("sent"))
+
+
+@query("flt2_results", sql(E, RESULTS, select=_RECEIVE_LOG))
+def _(s, d):
+    """Edges of the results of reads, with their codes; those that would have blocked say nothing."""
+    return logs.receive_log(ev.link_results(ev.events(s, d)), F.col("received"))
+
+
 @query("st4_timeout", sql(E, WRITES, FORM_A, select="SELECT robot_id, n, timed_out, s7, s8 FROM frames"))
 def _(s, d):
     return _form(s, d, False).select("robot_id", "n", "timed_out", "s7", "s8")
@@ -695,6 +723,46 @@ def _(s, d):
     return st2(s, d).unionByName(st3(s, d)).groupBy("message").agg(F.count(F.lit(1)).alias("n"))
 
 
+CAMERA_RESULTS = """cam AS (
+  SELECT 'rgb' AS stream, robot_id, image_id, status AS raw FROM color UNION ALL SELECT 'depth', robot_id, image_id, status FROM depth),
+got AS (
+  SELECT *, CASE WHEN raw = 'no_frame' AND image_id % 3 = 0 THEN 'stream_error' ELSE raw END AS status,
+         CAST(CASE WHEN raw = 'no_frame' AND image_id % 3 = 0 THEN -2 - image_id % 4 WHEN raw = 'no_frame' THEN -34 WHEN raw = 'ok' THEN 0 ELSE -1 - image_id % 5 END AS INT) AS code FROM cam)"""
+#: words for some of the fixture's codes
+_WORDS = {-1: "out of memory", -2: "not connected"}
+
+
+@query(
+    "snk5_log_relation",
+    sql(E, RESULTS, COLOR, CAMERA_RESULTS, f"rl AS ({_RECEIVE_LOG})", f"sl AS ({_SEND_LOG})",
+        select="""SELECT * FROM rl UNION ALL SELECT * FROM sl UNION ALL
+    SELECT robot_id, 'camera', image_id, 'ERROR', code, CASE status WHEN 'data_error' THEN 'Error getting data from ' || stream || ' frame: ' ELSE 'Error getting frame from ' || stream || ' stream: ' END
+      || code || ' -> ' || CASE code WHEN -1 THEN 'out of memory' WHEN -2 THEN 'not connected' ELSE 'unspecified error' END
+    FROM got WHERE status IN ('data_error', 'stream_error')"""),
+)
+def _(s, d):
+    """What the driver and the camera log: edges of both directions of the link, and each camera error."""
+    results, text = ev.link_results(ev.events(s, d)), logs.in_words(_WORDS)
+    link = [logs.receive_log(results, F.col("received")), logs.send_log(results, F.col("sent"))]
+    cameras = {"rgb": ev.color_images(s, d), "depth": ev.depth_images(s, d)}
+    return logs.log(*link, *(logs.camera_log(ev.camera_results(images), stream, F.col("code"), text) for stream, images in cameras.items()))
+
+
+@query(
+    "img3_stream_errors",
+    sql(COLOR, CAMERA_RESULTS, select="""SELECT stream, robot_id, image_id, last_value(CASE WHEN status = 'ok' THEN image_id END IGNORE NULLS) OVER (
+      PARTITION BY stream, robot_id ORDER BY image_id ROWS UNBOUNDED PRECEDING) AS shown FROM got QUALIFY status = 'stream_error'"""),
+)
+def _(s, d):
+    """Frames that an error kept back are filled as those that would have blocked are."""
+    def shown(images, stream):
+        rows = ev.camera_results(images)
+        bad = rows.filter("status = 'stream_error'").select("robot_id", "image_id")
+        return imaging.references(rows, stream, "").join(bad, ["robot_id", "image_id"], "left_semi").select(F.lit(stream).alias("stream"), "robot_id", "image_id", "shown")
+
+    return shown(ev.color_images(s, d), "rgb").unionByName(shown(ev.depth_images(s, d), "depth"))
+
+
 @query(
     "flow_manual_drive",
     sql(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.logs import WOULD_BLOCK
+
 ORDER = ["ts", "event_id"]
 KEYS = ["robot_id"]
 
@@ -30,6 +32,26 @@ def telemetry(e: DataFrame) -> DataFrame:
     return e.select("robot_id", "event_id", "ts", status.alias("status"), *(c.alias(n) for n, c in slots.items()))
 
 
+def link_results(e: DataFrame) -> DataFrame:
+    """Rows (robot_id, event_id, ts, received, sent): results of a tick's read and send, negative ones errors.
+
+    Errors are read with error rows and reads would have blocked with view rows, as in `telemetry`; of
+    sends every tenth k fails, and every twentieth would have blocked.
+    """
+    k = F.col("k")
+    received = F.when(F.col("event_type") == "error", -1 - k % 7).when(F.col("event_type") == "view", WOULD_BLOCK).otherwise(0)
+    sent = F.when(k % 20 == 13, WOULD_BLOCK).when(k % 10 == 3, -1 - k % 4).otherwise(0)
+    return e.select("robot_id", "event_id", "ts", received.cast("int").alias("received"), sent.cast("int").alias("sent"))
+
+
+def camera_results(images: DataFrame) -> DataFrame:
+    """images with ``code``: of the frames that did not come, those with an id that 3 divides are stream errors."""
+    status = F.when((F.col("status") == "no_frame") & (F.col("image_id") % 3 == 0), "stream_error").otherwise(F.col("status"))
+    code = F.when(F.col("status") == "no_frame", WOULD_BLOCK).when(F.col("status") == "ok", 0).otherwise(-1 - F.col("image_id") % 5)
+    images = images.withColumn("status", status)
+    return images.withColumn("code", F.when(F.col("status") == "stream_error", -2 - F.col("image_id") % 4).otherwise(code).cast("int"))
+
+
 def body_commands(e: DataFrame) -> DataFrame:
     return e.filter("event_type = 'click'").select("robot_id", "event_id", "ts", F.col("value").alias("linear_x"), (F.col("value") / 10.0).alias("angular_z"))
 

@@ -125,6 +125,57 @@ class GapFill(InOrder):
         return {"pixels": state[0], "is_filled": row["status"] == "no_frame"}
 
 
+class Camera(StatefulProcessor):
+    """The messages of a camera's streams, color and depth alike: a map state holds, for each stream, the image that it shows.
+
+    Rows: robot_id, event_id (an image's place in its stream), stream, status, data (bytes of any pixel
+    format). As in `imaging.gap_filled`: an ok image is shown; no_frame and stream_error show the last one
+    again; data_error sends nothing. Rows of a stream that come after later ones are late and are counted.
+    A micro-batch's images of one robot are held at once, so bound the files of a trigger.
+    """
+
+    OUTPUT = "robot_id bigint, event_id bigint, late bigint, stream string, shown bigint, data binary, is_filled boolean"
+    _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.saved = handle.getMapState("streams", "stream string", "at bigint, late bigint, shown bigint, data binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batches = list(rows)
+        order = sorted((stream, int(at), i, j) for i, b in enumerate(batches) for j, (stream, at) in enumerate(zip(b["stream"], b["event_id"], strict=True)))
+        out, held, name = [], None, None
+        for stream, at, i, j in order:
+            if stream != name:
+                if held is not None:
+                    self.saved.updateValue((name,), tuple(held))
+                name = stream
+                held = list(self.saved.getValue((stream,))) if self.saved.containsKey((stream,)) else [None, 0, None, None]
+            if held[0] is not None and at < held[0]:
+                held[1] += 1
+                continue
+            held[0] = at
+            status = batches[i]["status"].iat[j]
+            if status == "ok":
+                held[2], held[3] = at, bytes(batches[i]["data"].iat[j])
+            if status != "data_error":
+                out.append((int(key[0]), at, held[1], stream, held[2], held[3], status != "ok"))
+            if len(out) == 64:
+                yield self._frame(out)
+                out = []
+        if held is not None:
+            self.saved.updateValue((name,), tuple(held))
+        yield self._frame(out)
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self._COLUMNS).astype({"shown": "Int64"})
+
+    def output(self) -> str:
+        return self.OUTPUT
+
+    def close(self) -> None:
+        pass
+
+
 def ticks(seconds: float) -> int:
     """A duration in ticks, halves away from zero; 0 (no timeout) where it fits no integer."""
     n = seconds * 1000.0 / TICK_MS
@@ -181,7 +232,7 @@ class Driver(InOrder):
         }
 
 
-def live(rows: DataFrame, processor: InOrder) -> DataFrame:
+def live(rows: DataFrame, processor: InOrder | Camera) -> DataFrame:
     """Rows with robot_id, ts and event_id, run through a processor; append mode."""
     return rows.groupBy("robot_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.output(), outputMode="Append", timeMode="None"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from compare import DATA
 from helmsight import queries as q
-from helmsight.operators import gamepad, routing, telemetry
+from helmsight.operators import gamepad, imaging, logs, routing, telemetry
 from helmsight.plans import flows
 from helmsight.schemas import COMMAND
 from helmsight.sources import events as ev
@@ -178,3 +178,71 @@ def test_paced_batches_keep_their_distance(configured, tmp_path):
     finally:
         run.stop()
     assert len(at) == 3 and all(b - a > 0.3 for a, b in zip(at[1:], at[2:]))
+
+
+def camera_rows(spark):
+    """Both streams of the fixture's cameras, as bytes."""
+    color = ev.camera_results(ev.color_images(spark, SF)).select("robot_id", F.col("image_id").alias("event_id"), F.lit("color").alias("stream"), "status", "data", "height", "width")
+    depth = ev.camera_results(ev.depth_images(spark, SF)).select("robot_id", F.col("image_id").alias("event_id"), F.lit("depth").alias("stream"), "status", imaging.depth_bytes(F.col("pixels")).alias("data"), "height", "width")
+    return color.unionByName(depth)
+
+
+def test_both_image_topics_are_published_from_one_processor(configured, tmp_path):
+    rows = camera_rows(configured)
+    assert {r.status for r in rows.select("status").distinct().collect()} == {"ok", "no_frame", "stream_error", "data_error"}
+    stream = streamed(configured, rows, tmp_path, batches=4)
+    read = published(processors.live(stream, processors.Camera()), sinks.camera_topics, tmp_path)
+    for name, frame, encoding in (("color", "color_image", "bgr8"), ("depth", "depth_image", "mono16")):
+        one = rows.filter(F.col("stream") == name).withColumnRenamed("event_id", "image_id")
+        want = imaging.gap_filled(one, "data", frame, encoding).withColumnRenamed("image_id", "event_id")
+        text = lambda df: df.withColumn("data", F.hex("data"))
+        cells = lambda df: {tuple(r) for r in text(df).select("robot_id", "event_id", "stamp", "frame_id", "encoding", "data").collect()}
+        got = read(frame)
+        assert got.count() == want.count() and cells(got) == cells(want)
+
+
+def test_depth_bytes(configured):
+    df = configured.createDataFrame([([0, 1, 255, 256, 65535],), ([],), (None,)], "pixels array<int>")
+    got = [r[0] and bytes(r[0]) for r in df.select(imaging.depth_bytes(F.col("pixels"))).collect()]
+    assert got == [b"\x00\x00\x01\x00\xff\x00\x00\x01\xff\xff", bytearray(), None]
+
+
+def test_send_outcomes_make_edges_and_survive_a_restart(configured, tmp_path):
+    """A device that fails for some ticks: each frame tried once, one error and one recovery a robot, also when the stream is run anew."""
+    tried = tmp_path / "tried"
+    tried.mkdir()
+
+    def device():
+        def to(frame):
+            name = tried / f"{frame['robot_id']}-{frame['n']}"
+            assert not name.exists()
+            name.touch()
+            return -7 if 3 <= frame["n"] <= 5 else 0
+
+        return to
+
+    frames = q.queries()["st8_command_frames"](configured, SF).withColumn("timed_out", F.lit(0))
+    stream = streamed(configured, frames, tmp_path, batches=3, by="n")
+
+    def run():
+        w = sinks.send(stream, device, str(tmp_path / "ledger"), str(tmp_path / "ck")).trigger(availableNow=True).start()
+        w.awaitTermination()
+        assert w.exception() is None
+
+    run()
+    ledger = configured.read.parquet(str(tmp_path / "ledger"))
+    assert ledger.count() == frames.count() == len(list(tried.iterdir()))
+    # the last micro-batch was sent and its ledger written, but the stream did not get to note it
+    commits = sorted((tmp_path / "ck" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    commits[-1].with_name(f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    run()
+    assert configured.read.parquet(str(tmp_path / "ledger")).count() == frames.count()
+    log = logs.send_log(configured.read.parquet(str(tmp_path / "ledger")), F.col("result"))
+    got = sorted((r.robot_id, r.code, r.message) for r in log.collect())
+    long = {r.robot_id: r["max(n)"] for r in frames.groupBy("robot_id").agg(F.max("n")).collect()}
+    want = [(i, -7, "Error (-7) sending data to driver model. Make sure the driver model is running.") for i, n in long.items() if n >= 3]
+    assert got == sorted(want + [(i, 0, "Data sent to driver model.") for i, n in long.items() if n >= 6])
+    live = configured.readStream.schema(ledger.schema).parquet(str(tmp_path / "ledger")).withColumn("now", F.when(F.col("result") < 0, "fail").otherwise("ok"))
+    edges = finish(processors.live(live.select("robot_id", "event_id", "ts", "now"), processors.StatusEdges()), "send_edges", tmp_path / "edges")
+    assert edges.filter("edge = 'error'").count() == len(want)
