@@ -35,8 +35,9 @@ def _role_out(role: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    role = F.replace(F.replace(F.replace(role, F.lit("\\\\"), F.lit("\x00\\")), F.lit("\\n"), F.lit("\n")), F.lit("\x00\n"), F.lit("\\n"))
-    return unescaped(F.replace(role, F.lit("\x00\\"), F.lit("\\")))
+    # between doubled backslashes, taken from the left, a single one stands for a line end
+    between = F.transform(F.split(role, r"\\\\", -1), lambda part: F.replace(part, F.lit("\\n"), F.lit("\n")))
+    return unescaped(F.array_join(between, "\\"))
 
 
 def fold(events: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,17 +146,48 @@ class Segment:
         return ends[self.document(ends) == self.document(first)]
 
 
-def _chunks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple]]:
-    """The query set in blocks of a bounded number of bytes, partition by partition."""
-    chunk, size = [], 0
-    for row in benchmark.select(id_col, text_col).toLocalIterator():
-        own = len((row[1] or "").encode("utf-8", "surrogatepass"))
-        if chunk and size + own > most:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append((row[0], row[1]))
+def phrase_blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """Rows (block, bytes, items), a written table: the items (id as a string, text) of each partition cut into blocks of at most so many bytes, or of one larger item.
+
+    Cut where they lie: the driver sees no item.
+    """
+
+    def cut(batches):
+        part, n = TaskContext.get().partitionId() << 32, 0
+        names, texts, size = [], [], 0
+
+        def block():
+            entries = pa.array([[{"name": a, "text": b} for a, b in zip(names, texts, strict=True)]], pa.list_(pa.struct([("name", pa.string()), ("text", pa.string())])))
+            return pa.RecordBatch.from_arrays([pa.array([part + n]), pa.array([size], pa.int64()), entries], ["block", "bytes", "items"])
+
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                own = len(text.encode("utf-8", "surrogatepass"))
+                if names and size + own > most:
+                    yield block()
+                    names, texts, size, n = [], [], 0, n + 1
+                names.append("null" if key is None else str(key))
+                texts.append(text)
+                size += own
+        if names:
+            yield block()
+
+    return written(items.select(id_col, text_col).mapInArrow(cut, "block long, bytes long, items array<struct<name: string, text: string>>"), "phrases")
+
+
+def _chunks(phrases: DataFrame, most: int) -> Iterator[list[tuple]]:
+    """The items of neighbouring blocks of together at most so many bytes (or one larger block), one lot at a time."""
+    lots, size = [[]], 0
+    for block, own in sorted((r.block, r.bytes) for r in phrases.select("block", "bytes").collect()):  # two numbers a block
+        if lots[-1] and size + own > most:
+            lots.append([])
+            size = 0
+        lots[-1].append(block)
         size += own
-    yield chunk
+    for lot in lots:
+        rows = phrases.filter(F.col("block").isin(lot)).select("items").collect() if lot else []
+        yield [(x.name, x.text) for r in rows for x in r["items"]]
 
 
 def search(index: DataFrame, chunk: list[tuple], window: int = 10) -> DataFrame:
@@ -214,7 +246,17 @@ def search(index: DataFrame, chunk: list[tuple], window: int = 10) -> DataFrame:
                     ["segment", "ordinal", "hits", "items"],
                 )
 
-    return index.mapInArrow(run, "segment string, ordinal int, hits array<int>, items array<string>")
+    out = index.mapInArrow(run, "segment string, ordinal int, hits array<int>, items array<string>")
+    out._helmsight_sent = sent
+    return out
+
+
+def _found(index: DataFrame, chunk: list[tuple], window: int) -> DataFrame:
+    """`search`, written; what was sent to the tasks is given up."""
+    hits = search(index, chunk, window)
+    out = written(hits, "hits")
+    hits._helmsight_sent.destroy()
+    return out
 
 
 def documents_of(index: DataFrame, id_type: T.DataType) -> DataFrame:
@@ -280,8 +322,10 @@ def contamination(
     """One row per row of ``docs``: id_col, n_words, hits, items.
 
     Benchmarks of any size are taken in blocks of ``chunk_bytes``, each broadcast and
-    searched against the whole index; blocks only add hits, so their union is exact. A
-    block costs the driver some 20 times its bytes for a moment, and a task 10 times.
+    searched against the whole index; blocks only add hits, so their union is exact. Blocks
+    are cut in the tasks that read the benchmark, however its partitions are; the driver
+    takes one at a time, which costs it some 20 times its bytes for a moment, and a task 10
+    times. An item larger than a block is one by itself.
 
     * null and empty texts have no words, no hits and no items; null and empty items match nothing;
     * items that repeat a text all count, items that repeat an id count once, items without an id are named "null";
@@ -293,7 +337,8 @@ def contamination(
     """
     kind = docs.schema[id_col].dataType
     index = build_index(docs, id_col, text_col)
-    parts = [written(search(index, chunk, window), "hits") for chunk in _chunks(benchmark, item_col, item_text_col, chunk_bytes)]
+    phrases = phrase_blocks(benchmark, item_col, item_text_col, chunk_bytes)
+    parts = [_found(index, chunk, window) for chunk in _chunks(phrases, chunk_bytes)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -302,5 +347,5 @@ def contamination(
     out = documents_of(index, kind).join(found, ["segment", "ordinal"], "left")
     none = lambda c, of: F.coalesce(c, F.array().cast(f"array<{of}>")).alias(c)
     out = written(out.select(F.col("doc").alias(id_col), "n_words", none("hits", "int"), none("items", "string")), "contamination")
-    discard(index, *parts)
+    discard(index, phrases, *parts)
     return out

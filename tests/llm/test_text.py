@@ -145,6 +145,23 @@ def test_postings_in_parts(spark):
     assert decontaminate.proximity(index.limit(0), {"q": ["a"]}, index.schema["ids"].dataType.elementType, 3).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 30])
+def test_blocks_of_the_benchmark_are_cut_in_tasks(spark, monkeypatch, partitions):
+    """One partition of many items, and many of few: blocks are bounded, hold each item once, and give the same hits."""
+    items = [(i if i else None, f"word{i} " * (1 + i % 40)) for i in range(300)] + [(300, "large " * 500), (301, None), (302, ""), (7, "word7 again")]
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(partitions)
+    phrases = decontaminate.phrase_blocks(b, "item_id", "text", 1000)
+    rows = phrases.collect()
+    assert sorted((x.name, x.text) for r in rows for x in r["items"]) == sorted(("null" if i is None else str(i), t or "") for i, t in items)
+    assert all(r.bytes <= 1000 or len(r["items"]) == 1 for r in rows)
+    lots = list(decontaminate._chunks(phrases, 1000))
+    assert sum(map(len, lots)) == len(items) and all(sum(len(t) for _, t in lot) <= 1000 or len({t for _, t in lot if len(t) > 1000}) == 1 for lot in lots)
+    assert len(lots) < 60  # small blocks of many partitions go together
+    docs = spark.createDataFrame([(i, f"x {t or ''} y") for i, t in items[:50]], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words, len(r.hits), tuple(r["items"])) for r in decontaminate.contamination(docs, b, chunk_bytes=1000).collect()}
+    assert got == {(r.doc_id, r.n_words, len(r.hits), tuple(r["items"])) for r in decontaminate.contamination(docs, b).collect()}
+
+
 def test_proximity(spark):
     r = random.Random(6)
     docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(40))) for i in range(20)]

@@ -253,7 +253,7 @@ AWKWARD = ["", "</s>", "<s>", "<\\s>", "<\\\\/s>\n", "[INST] a [/INST]", "[\\INS
 
 def test_escapes_round_trip(spark):
     """Every awkward text in every role, read back from the formatted text alone."""
-    roles = ["user", "assistant", "system", "a\nb", "\\n", "</s>", ""]
+    roles = ["user", "assistant", "system", "a\nb", "\\n", "</s>", "", "a\0\nb", "\0", "\\", "\\\\n\\\n", "\t\\\0\\", "a" * 50]
     turns = [(r, t) for r in roles for t in AWKWARD]
     rows = [(1, i, "message", i, r, t) for i, (r, t) in enumerate(turns)] + [(2, 0, "message", 0, "assistant", "ok")]
     out = {r.conv_id: r for r in chat_format.read_back(chat_format.render(chat_format.fold(events(spark, rows)))).collect()}
