@@ -11,7 +11,7 @@ Without an id, null texts and empty ones are groups of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helmsight.llm.common import discard, written
@@ -58,9 +58,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = groups.filter("NOT _kept OR _n > 1").withColumnsRenamed({"doc_id": "_id", "_sha": "_of"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of"))
     repeated = rows.join(groups.filter("_kept"), same, "left_semi")
-    order = Window.partitionBy("_sha", F.col("doc_id").isNull() & F.col("text").isNull()).orderBy(*(F.col(c) for c in docs.columns))
-    one = repeated.withColumn("_row", F.row_number().over(order)).filter("_row = 1")
-    return rows.join(groups, same, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    none = (F.col("doc_id").isNull() & F.col("text").isNull()).alias("_none")
+    one = repeated.groupBy("_sha", none).agg(F.min(F.struct(*docs.columns)).alias("_row"))  # combined where the copies lie
+    return rows.join(groups, same, "left_anti").select(docs.columns).unionByName(one.select("_row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
