@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.constants import IMAGE_DEPTH, JOYSTICK_MS, STREAM_BUFFER, TICK_MS, TOPIC_DEPTH
 from .functions.running import Sum, running, sliced
-from .operators import commands, driver, gamepad, imaging, logs, params, routing, status, telemetry
+from .operators import commands, driver, gamepad, imaging, lifecycle, logs, params, routing, status, telemetry
 from .plans import flows
 from .schemas import TELEMETRY, TELEMETRY_SLOTS
 from .sources import events as ev
@@ -679,6 +679,45 @@ def _(s, d):
     return rates.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ok"), 1)).alias("n_ok"))
 
 
+_LIFE = f"""life AS (
+  SELECT *, CASE WHEN event_type = 'signup' THEN k % 4 <> 0 WHEN event_type = 'purchase' AND k % 5 = 0 THEN false END AS turned FROM e),
+on_off AS (SELECT *, coalesce(last_value(turned IGNORE NULLS) OVER {UP}, false) AS is_running FROM life)"""
+_REPLIES = """asked AS (
+  SELECT *, CASE WHEN k % 5 = 0 THEN 'camera' ELSE 'driver' END AS node, ['driver_uri', 'speed_limit_mode', 'hold', 'no_such', 'camera_num'] AS names FROM on_off),
+each AS (
+  SELECT *, 0 AS pos, names[k % 5 + 1] AS name, k % 2 AS v FROM asked UNION ALL SELECT *, 1, names[(k + event_id) % 5 + 1], k % 4 FROM asked),
+judged AS (
+  SELECT *, CASE
+    WHEN node = 'camera' AND name = 'camera_num' OR node = 'driver' AND name = 'driver_uri' THEN CASE WHEN is_running THEN 'Cannot change this parameter while node is running.' END
+    WHEN node = 'driver' AND name = 'speed_limit_mode' THEN CASE WHEN v > 1 THEN 'speed_limit_mode must be between 0 and 1.' END
+    WHEN node = 'driver' AND name = 'hold' THEN NULL
+    ELSE 'The parameter is invalid.' END AS reason FROM each)"""
+
+
+@query(
+    "val7_replies",
+    sql(E, _LIFE, _REPLIES, select="""SELECT robot_id, event_id, any_value(is_running) AS is_running, bool_and(reason IS NULL) AS successful,
+      coalesce(arg_max(reason, pos) FILTER (reason IS NOT NULL), '') AS reason FROM judged GROUP BY robot_id, event_id"""),
+)
+def _(s, d):
+    """Replies to requests, by whether the node runs as of each."""
+    e = ev.events(s, d)
+    return lifecycle.replies(ev.requests(e), ev.lifecycle(e))
+
+
+@query("src1_gated_source", sql(E, TEL, _LIFE, select="SELECT tel.* FROM tel JOIN on_off USING (event_id) WHERE is_running"))
+def _(s, d):
+    """What a node takes in between a start that succeeds and a stop or a failed start."""
+    e = ev.events(s, d)
+    return lifecycle.gated(ev.telemetry(e), ev.lifecycle(e))
+
+
+@query("src1_connect_log", sql(E, select="SELECT robot_id, 'driver' AS node, event_id AS at, 'INFO' AS severity, CAST(-1 - k % 3 AS INT) AS code, 'Error connecting stream: ' || (-1 - k % 3) AS message FROM e WHERE event_type = 'signup' AND k % 4 = 0"))
+def _(s, d):
+    starts = ev.lifecycle(ev.events(s, d)).filter("kind = 'start'")
+    return logs.connect_log(starts, F.col("result"))
+
+
 @query(
     "snk1_publish",
     sql(E, TEL, PAD, COLOR, select="SELECT 'telemetry' AS kind, 4 * count(*) FILTER (status = 'ok') AS n FROM tel UNION ALL SELECT 'gamepad', 2 * count(*) FROM pad "

@@ -44,6 +44,23 @@ def link_results(e: DataFrame) -> DataFrame:
     return e.select("robot_id", "event_id", "ts", received.cast("int").alias("received"), sent.cast("int").alias("sent"))
 
 
+def lifecycle(e: DataFrame) -> DataFrame:
+    """Starts come with signup rows and fail where 4 divides k, stops with purchase rows whose k 5 divides."""
+    k = F.col("k")
+    kind = F.when(F.col("event_type") == "signup", "start").when((F.col("event_type") == "purchase") & (k % 5 == 0), "stop")
+    result = F.when((F.col("event_type") == "signup") & (k % 4 == 0), -1 - k % 3).when(F.col("event_type") == "signup", 0)
+    return e.select("robot_id", "ts", "event_id", kind.alias("kind"), result.cast("int").alias("result")).filter("kind is not null")
+
+
+def requests(e: DataFrame) -> DataFrame:
+    """Sets of two changes, to the camera where 5 divides k, else to the driver."""
+    k = F.col("k")
+    names = F.array(*(F.lit(n) for n in ("driver_uri", "speed_limit_mode", "hold", "no_such", "camera_num")))
+    one = lambda at, value: F.struct(F.get(names, at).alias("name"), value.cast("string").alias("value"))
+    changes = F.array(one(k % 5, k % 2), one((k + F.col("event_id").cast("int")) % 5, k % 4))
+    return e.select("robot_id", "ts", "event_id", F.when(k % 5 == 0, "camera").otherwise("driver").alias("node"), changes.alias("changes"))
+
+
 def camera_results(images: DataFrame) -> DataFrame:
     """images with ``code``: of the frames that did not come, those with an id that 3 divides are stream errors."""
     status = F.when((F.col("status") == "no_frame") & (F.col("image_id") % 3 == 0), "stream_error").otherwise(F.col("status"))

@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.constants import LED_START, TICK_MS
-from ..operators import params
+from ..operators import lifecycle, params
 from ..operators.driver import TIMED
 from ..sources.topics import DEFAULTS
 
@@ -176,6 +177,137 @@ class Camera(StatefulProcessor):
         pass
 
 
+class Replies(InOrder):
+    """Replies to requests by whether the node runs. Rows of `request_rows`: rank 0 lifecycle, rank 1 requests."""
+
+    STATE, START = "running boolean", (False,)
+    OUTPUT = "is_running boolean, successful boolean, reason string"
+
+    def step(self, state, row):
+        if row["rank"] == 0:
+            state[0] = bool(row["on"])
+            return None
+        reason = row["if_running"] if state[0] else row["if_stopped"]
+        return {"is_running": state[0], "successful": reason == "", "reason": reason}
+
+
+def _plain(x):
+    """A pandas cell as what a state takes; NaN counts as null."""
+    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        return None
+    return x.to_pydatetime() if isinstance(x, pd.Timestamp) else x.item() if hasattr(x, "item") and not hasattr(x, "__len__") else x
+
+
+class Reorder(StatefulProcessor):
+    """Hands on each robot's rows in order: a row waits until one has come that is ``bound_ms`` later.
+
+    So rows that come at most that much after later ones are put in their place. A row that comes after
+    a later one was handed on is late: it is handed on at once with is_late, and n_late counts the robot's.
+    Rows that wait are handed on too when a robot has been silent for ``idle_ms`` of processing time.
+    """
+
+    def __init__(self, schema: T.StructType, bound_ms: int, idle_ms: int | None = None):
+        self.schema, self.bound, self.idle = schema, pd.Timedelta(milliseconds=bound_ms), idle_ms
+        self.columns = schema.fieldNames()
+
+    def output(self) -> T.StructType:
+        return T.StructType([*self.schema.fields, T.StructField("is_late", T.BooleanType()), T.StructField("n_late", T.LongType())])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.saved = handle.getValueState("position", "at_ts timestamp_ntz, at_id bigint, newest timestamp_ntz, n_late bigint")
+
+    def _rows(self, rows: list[tuple], late: bool, n: int) -> pd.DataFrame:
+        return pd.DataFrame([(*r, late, n) for r in rows], columns=[*self.columns, "is_late", "n_late"])
+
+    def _release(self, until, at, rows, newest, n_late):
+        place = lambda r: (pd.Timestamp(r[self.columns.index("ts")]), r[self.columns.index("event_id")])
+        rows = sorted(rows, key=place)
+        cut = sum(place(r)[0] <= until for r in rows)
+        if cut:
+            at = place(rows[cut - 1])
+        if rows[cut:]:
+            self.waiting.put(rows[cut:])
+        else:
+            self.waiting.clear()
+        self.saved.update((at[0].to_pydatetime() if at else None, at[1] if at else None, newest.to_pydatetime(), n_late))
+        return self._rows(rows[:cut], False, n_late)
+
+    def _state(self):
+        if not self.saved.exists():
+            return None, None, 0
+        ts, key, newest, n = self.saved.get()
+        return (pd.Timestamp(ts), key) if ts is not None else None, pd.Timestamp(newest), n
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, newest, n_late = self._state()
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        late = []
+        for batch in rows:
+            for row in batch[self.columns].itertuples(index=False, name=None):
+                row = tuple(map(_plain, row))
+                ts = pd.Timestamp(row[self.columns.index("ts")])
+                if at is not None and (ts, row[self.columns.index("event_id")]) < at:
+                    late.append(row)
+                else:
+                    waiting.append(row)
+                newest = ts if newest is None else max(newest, ts)
+        n_late += len(late)
+        if late:
+            yield self._rows(late, True, n_late)
+        yield self._release(newest - self.bound, at, [tuple(r) for r in waiting], newest, n_late)
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, newest, n_late = self._state()
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        yield self._release(pd.Timestamp.max, at, rows, newest, n_late)
+
+    def close(self) -> None:
+        pass
+
+
+class MostRecent(StatefulProcessor):
+    """Of each robot's rows of a trigger the newest, if it is newer than what was handed on, and how many rows it passed over since.
+
+    State: one position a robot, which is forgotten after ``ttl_ms`` without rows.
+    """
+
+    def __init__(self, schema: T.StructType, ttl_ms: int):
+        self.schema, self.ttl = schema, ttl_ms
+
+    def output(self) -> T.StructType:
+        return T.StructType([*self.schema.fields, T.StructField("passed_over", T.LongType())])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.saved = handle.getValueState("newest", "at_ts timestamp_ntz, at_id bigint, passed bigint", ttlDurationMs=self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, passed = None, 0
+        if self.saved.exists():
+            ts, event, passed = self.saved.get()
+            at = (pd.Timestamp(ts), event)
+        before, best, seen = at, None, 0
+        for batch in rows:
+            seen += len(batch)
+            last = batch.sort_values(["ts", "event_id"], kind="stable").tail(1)
+            place = (pd.Timestamp(last["ts"].iat[0]), int(last["event_id"].iat[0]))
+            if at is None or place > at:
+                at, best = place, last
+        if best is None or at == before:
+            self.saved.update((at[0].to_pydatetime(), at[1], passed + seen))
+            return
+        self.saved.update((at[0].to_pydatetime(), at[1], 0))
+        yield best[self.schema.fieldNames()].assign(passed_over=passed + seen - 1)
+
+    def close(self) -> None:
+        pass
+
+
 def ticks(seconds: float) -> int:
     """A duration in ticks, halves away from zero; 0 (no timeout) where it fits no integer."""
     n = seconds * 1000.0 / TICK_MS
@@ -239,6 +371,27 @@ def live(rows: DataFrame, processor: InOrder | Camera) -> DataFrame:
     )
 
 
+def reordered(rows: DataFrame, bound_ms: int, idle_ms: int | None = None) -> DataFrame:
+    """Rows with robot_id, ts and event_id, put in order; see `Reorder`. `sinks.ordered_topics` parts them."""
+    p = Reorder(rows.schema, bound_ms, idle_ms)
+    return rows.groupBy("robot_id").transformWithStateInPandas(statefulProcessor=p, outputStructType=p.output(), outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
+
+
+def most_recent(rows: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+    """The newest row of each robot at each trigger; see `MostRecent`. Update mode."""
+    p = MostRecent(rows.schema, ttl_ms)
+    return rows.groupBy("robot_id").transformWithStateInPandas(statefulProcessor=p, outputStructType=p.output(), outputMode="Update", timeMode="ProcessingTime")
+
+
+def request_rows(requests: DataFrame, lifecycle_rows: DataFrame) -> DataFrame:
+    """One stream for `Replies`: lifecycle rows, and requests with what the reply is either way."""
+    on = lifecycle.started(F.col("kind"), F.col("result"))
+    states = lifecycle_rows.select("robot_id", "ts", "event_id", F.lit(0).alias("rank"), on.alias("on"))
+    why = lambda running: lifecycle.reason(F.col("node"), F.col("changes"), F.lit(running))
+    asked = params.sets(requests).select("robot_id", "ts", "event_id", F.lit(1).alias("rank"), why(True).alias("if_running"), why(False).alias("if_stopped"))
+    return states.unionByName(asked, allowMissingColumns=True)
+
+
 def driver_rows(changes: DataFrame, writes: DataFrame, tick_rows: DataFrame) -> DataFrame:
     """One stream of what a driver takes in: parameter changes as they are requested (alone or in
     sets, see `params.sets`), of which whole sets are validated here, write rows, and ticks."""

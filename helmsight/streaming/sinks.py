@@ -79,6 +79,11 @@ def gamepad_topics(samples: DataFrame) -> dict[str, DataFrame]:
     return {"cmd_vel": gamepad.motion(samples), "led_strip": gamepad.leds(samples)}
 
 
+def ordered_topics(rows: DataFrame) -> dict[str, DataFrame]:
+    """Rows of `processors.reordered` that came in time, and beside them those that were late, with their count."""
+    return {"ordered": rows.filter("NOT is_late").drop("is_late", "n_late"), "late": rows.filter("is_late").drop("is_late")}
+
+
 def camera_topics(images: DataFrame) -> dict[str, DataFrame]:
     """Both image topics from the rows of `processors.Camera`; filled messages have no header."""
     filled = F.col("is_filled")

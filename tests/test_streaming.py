@@ -246,3 +246,59 @@ def test_send_outcomes_make_edges_and_survive_a_restart(configured, tmp_path):
     live = configured.readStream.schema(ledger.schema).parquet(str(tmp_path / "ledger")).withColumn("now", F.when(F.col("result") < 0, "fail").otherwise("ok"))
     edges = finish(processors.live(live.select("robot_id", "event_id", "ts", "now"), processors.StatusEdges()), "send_edges", tmp_path / "edges")
     assert edges.filter("edge = 'error'").count() == len(want)
+
+
+def test_replies_follow_the_lifecycle(configured, tmp_path):
+    e = streamed(configured, ev.events(configured, SF), tmp_path)
+    got = finish(processors.live(processors.request_rows(ev.requests(e), ev.lifecycle(e)), processors.Replies()), "replies", tmp_path)
+    want = q.queries()["val7_replies"](configured, SF)
+    assert want.filter("is_running").count() and want.filter("NOT is_running AND successful").count()
+    equal(got, want, ["robot_id", "event_id", "is_running", "successful", "reason"])
+
+
+def test_shuffled_arrival_within_the_bound_gives_what_batch_gives(configured, tmp_path):
+    """Rows come up to two days late: put in order they toggle as in batch. Later ones go to the side, counted."""
+    pads = gamepad.decoded(ev.gamepad(ev.events(configured, SF))).select("robot_id", "event_id", "ts", "lb")
+    end = pads.select("robot_id").distinct().select("robot_id", F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("lb"))
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86_400))
+    rows = pads.unionByName(end).withColumn("arrival", F.when(F.col("event_id") < 0, F.lit(1e18)).otherwise(arrival))
+    stream = streamed(configured, rows, tmp_path, batches=6, by="arrival").drop("arrival")
+    read = published(processors.reordered(stream, 2 * 86_400_000), sinks.ordered_topics, tmp_path)
+    assert read("late").count() == 0 and read("ordered").count() == pads.count()  # the last row of each robot still waits
+    ordered = streamed(configured, read("ordered"), tmp_path / "again", batches=4, by="batch").drop("batch")
+    got = finish(processors.live(ordered, processors.Toggle()), "reordered", tmp_path / "again")
+    assert got.agg(F.max("late")).first()[0] == 0
+    equal(got, q.queries()["joy3_toggle"](configured, SF), ["robot_id", "event_id", "armed"])
+
+
+def in_batches(spark, batches, schema, tmp_path):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.01)
+    return stream_topic(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
+
+
+def test_rows_beyond_the_bound_go_to_the_side(configured, tmp_path):
+    t = [dt.datetime(2024, 1, 1, 0, 0, s) for s in range(20)]
+    batches = [[(1, 1, t[1], None), (1, 5, t[5], 2.0)], [(1, 3, t[3], 1.0), (1, 9, t[9], 1.0), (2, 1, t[0], 1.0)], [(1, 2, t[2], 1.0), (1, 12, t[12], 1.0)]]
+    stream = in_batches(configured, batches, "robot_id long, event_id long, ts timestamp_ntz, value double", tmp_path)
+    read = published(processors.reordered(stream, 3000), sinks.ordered_topics, tmp_path)
+    got = [(r.batch, r.event_id, r.value) for r in read("ordered").orderBy("batch", "ts").collect()]
+    assert got == [(0, 1, None), (1, 3, 1.0), (1, 5, 2.0), (2, 9, 1.0)]  # 12 and the other robot's row still wait
+    assert [(r.event_id, r.n_late) for r in read("late").collect()] == [(2, 1)]
+
+
+def test_most_recent_at_each_trigger(configured, tmp_path):
+    t = [dt.datetime(2024, 1, 1, h) for h in range(9)]
+    batches = [[(1, 1, t[1]), (1, 3, t[3]), (1, 2, t[2]), (2, 1, t[1])], [(1, 2, t[2]), (1, 3, t[3])], [(1, 4, t[4]), (2, 2, t[1])]]
+    stream = processors.most_recent(in_batches(configured, batches, "robot_id long, event_id long, ts timestamp_ntz", tmp_path))
+    seen = []
+    run = stream.writeStream.foreachBatch(lambda b, n: seen.append(sorted((r.robot_id, r.event_id, r.passed_over) for r in b.collect()))).outputMode("update")
+    run = run.option("checkpointLocation", str(tmp_path / "ck")).start()  # states that expire keep a stream from ending by itself
+    try:
+        deadline = time.monotonic() + 90
+        while sum(map(bool, seen)) < 2 and run.isActive and time.monotonic() < deadline:
+            time.sleep(0.1)
+    finally:
+        run.stop()
+    assert [x for x in seen if x] == [[(1, 3, 2), (2, 1, 0)], [(1, 4, 2), (2, 2, 0)]]
