@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,26 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 #: Spark's switch for deleting a query's exchanges from the executors' disks as soon as the query has run
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SWITCHING = threading.Lock()
+
+
+@contextmanager
+def _cleaning_up(spark: SparkSession):
+    """The switch is on from the first of the session's writes that overlap to the last one, and then as it was."""
+    with _SWITCHING:
+        count, before = getattr(spark, "_helmsight_writes", (0, None))
+        if not count:
+            before = spark.conf.get(_CLEAN_UP, None)
+            spark.conf.set(_CLEAN_UP, "true")
+        spark._helmsight_writes = count + 1, before
+    try:
+        yield
+    finally:
+        with _SWITCHING:
+            count, before = spark._helmsight_writes
+            spark._helmsight_writes = count - 1, before
+            if count == 1:
+                spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,12 +59,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The exchanges that made the table are not needed again and are deleted."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
+    with _cleaning_up(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._helmsight_path = path
     return out

@@ -352,9 +352,9 @@ def encode_documents(docs, model_file: str, id_col: str = "doc_id", text_col: st
 def decode_documents(encoded, model_file: str, id_col: str = "doc_id", ids_col: str = "ids"):
     """One row per row of ``encoded``: id_col, text.
 
-    Null and empty ids give an empty text; very long ones one long text. Repeated rows
-    each; an empty table gives no rows; other columns are ignored. Ids that the model does
-    not have end the query.
+    Null and empty lists give an empty text, nulls inside a list are skipped; very long
+    ones one long text. Repeated rows each; an empty table gives no rows; other columns are
+    ignored. Ids that the model does not have, negative ones too, end the query.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -364,10 +364,15 @@ def decode_documents(encoded, model_file: str, id_col: str = "doc_id", ids_col:
     m = Model.from_file(model_file)
     sent = encoded.sparkSession.sparkContext.broadcast((m.kind, m.pieces, m.scores, m.types, m.dummy_prefix, m.byte_fallback))
 
+    def known(ids, n):
+        if len(ids) and not 0 <= ids.min() <= ids.max() < n:
+            raise ValueError(f"ids from {ids.min()} to {ids.max()} of a model with {n} pieces")
+        return ids
+
     def run(batches):
         model = Model(*sent.value)
         for batch in batches:
-            texts = [model.decode(np.array(i or [], np.int64)) for i in batch.column(1).to_pylist()]
+            texts = [model.decode(known(np.array([x for x in i or [] if x is not None], np.int64), len(model.pieces))) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow_id), pa.array(texts, pa.string())], ["id", "text"])
 
     return encoded.select(id_col, ids_col).mapInArrow(run, f"id {kind.simpleString()}, text string").withColumnRenamed("id", id_col)

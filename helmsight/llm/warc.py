@@ -96,15 +96,16 @@ def write_archives(
         d = rows.join(named.drop("id"), capture).withColumn("n", F.lit(1))
     else:
         named = written(named, "captures")
-        few, many = named.filter(F.col("copies") <= EQUAL_ROWS), named.filter(F.col("copies") > EQUAL_ROWS)
-        d = rows.join(few.drop("id"), capture).withColumn("n", F.row_number().over(Window.partitionBy(*capture).orderBy("hex")))
-        if not many.isEmpty():
-            # of very many equal rows one is taken, and made again in runs
-            one = rows.select(*capture, "html").join(many, capture).dropDuplicates(capture)
-            runs = one.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / EQUAL_ROWS)))).repartition(*capture, "run")
+        if named.filter(F.col("copies") > EQUAL_ROWS).isEmpty():
+            d = rows.join(named.drop("id"), capture).withColumn("n", F.row_number().over(Window.partitionBy(*capture).orderBy("hex")))
+        else:
+            # of equal rows one is taken where they lie, before anything moves, and made again, very many of them in runs
+            one = rows.groupBy(*capture).agg(F.first("html").alias("html")).join(named, capture)
+            few, many = one.filter(F.col("copies") <= EQUAL_ROWS), one.filter(F.col("copies") > EQUAL_ROWS)
+            few = few.withColumn("run", F.lit(0).cast("long"))
+            many = many.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / EQUAL_ROWS)))).repartition(*capture, "run")
             start = F.col("run") * EQUAL_ROWS + 1
-            again = runs.withColumn("n", F.explode(F.sequence(start, F.least(start + EQUAL_ROWS - 1, F.col("copies")))))
-            d = d.select(*capture, "id", "html", "first", "n").unionByName(again.select(*capture, "id", "html", "first", "n"))
+            d = few.unionByName(many).withColumn("n", F.explode(F.sequence(start, F.least(start + EQUAL_ROWS - 1, F.col("copies")))))
     d = d.withColumn("revisit", (F.col("size") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first.id")))
     own = (F.col("key"), F.col("hex"), F.col("n").cast("string"), F.col("url"))
     ids = {k: _uuid(F.lit(k), *own) for k in ("response", "request", "metadata")}
@@ -202,7 +203,8 @@ def parse(data: bytes | Iterator[bytes]):
     """(offset, headers, block) of each record; names in lower case, repeated ones in a list.
 
     Takes bytes or pieces of them and holds one record and one piece at a time. Raises on
-    a record that is cut short: an archive is never taken for complete when it is not.
+    a record that is cut short, or that does not state its length in one number: an archive
+    is never taken for complete when it is not.
     """
     pieces = iter([data]) if isinstance(data, bytes) else data
     held, at, base = bytearray(), 0, 0  # held[at] is byte base + at of the archive
@@ -232,7 +234,10 @@ def parse(data: bytes | Iterator[bytes]):
         headers: dict[str, list[str]] = {}
         for m in _HEADER.finditer(bytes(held[held.index(b"\n", at) + 1 : end + 2])):
             headers.setdefault(m[1].decode("utf-8").lower(), []).append(m[2].decode("utf-8", "replace").strip())
-        length, head = int(headers["content-length"][0]), end + 4 - at
+        stated = set(headers.get("content-length", []))
+        if len(stated) != 1 or not re.fullmatch("[0-9]+", said := stated.pop()):
+            raise ValueError(f"the record at byte {base + at} has no Content-Length")
+        length, head = int(said), end + 4 - at
         while len(held) < at + head + length:
             if not more():
                 raise ValueError(f"the record at byte {base + at} is cut short")
@@ -296,15 +301,19 @@ def assemble(records: DataFrame) -> DataFrame:
     A capture is a response or revisit record. Its request and metadata are the records
     that name it in WARC-Concurrent-To, or that it names. Of several of a kind the one with
     the smallest id counts; a record that came twice counts once; a record that belongs to
-    no capture gives no row. Responses that share an id are one capture.
+    no capture gives no row. Responses that share an id are one capture. Records without an
+    id are told apart by their places: such a response is a capture with a null capture_id,
+    and such a request or metadata record belongs to the capture that it names.
     """
     own = F.col("type").isin("response", "revisit")
     every = F.struct(*(F.col(c) for c in records.columns))
-    named = records.select("record_id", "type", F.explode("concurrent_to").alias("other"))
-    links = named.select(F.when(own, F.col("record_id")).otherwise(F.col("other")).alias("capture_id"), F.when(own, F.col("other")).otherwise(F.col("record_id")).alias("record_id"))
-    kinds = records.filter(F.col("type").isin("request", "metadata")).select("record_id", "type", every.alias("record"))
-    parts = links.distinct().join(kinds, "record_id").groupBy("capture_id").agg(
-        *(F.min_by(F.when(F.col("type") == k, F.col("record")), F.when(F.col("type") == k, F.col("record_id"))).alias(k) for k in ("request", "metadata"))
+    # ids are URIs, which have no spaces
+    name = F.coalesce("record_id", F.concat_ws(" ", F.lit("at"), "offset", "file"))
+    linked = records.select(name.alias("name"), "type", F.explode("concurrent_to").alias("other"))
+    links = linked.select(F.when(own, F.col("name")).otherwise(F.col("other")).alias("capture"), F.when(own, F.col("other")).otherwise(F.col("name")).alias("name"))
+    kinds = records.filter(F.col("type").isin("request", "metadata")).select(name.alias("name"), "type", every.alias("record"))
+    parts = links.distinct().join(kinds, "name").groupBy("capture").agg(
+        *(F.min_by(F.when(F.col("type") == k, F.col("record")), F.when(F.col("type") == k, F.col("name"))).alias(k) for k in ("request", "metadata"))
     )
-    captures = records.filter(own).select(F.col("record_id").alias("capture_id"), every.alias("response")).dropDuplicates(["capture_id"])
-    return captures.join(parts, "capture_id", "left")
+    captures = records.filter(own).select(name.alias("capture"), F.col("record_id").alias("capture_id"), every.alias("response")).dropDuplicates(["capture"])
+    return captures.join(parts, "capture", "left").drop("capture")

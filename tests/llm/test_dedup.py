@@ -194,3 +194,17 @@ def test_components(spark, links):
 def test_long_chain(spark):
     got = components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"))
     assert {r.root for r in got.collect()} == {0} and got.count() == 60
+
+
+def test_writes_leave_the_session_as_it_was(spark):
+    """Also when they overlap, whichever ends first."""
+    from helmsight.llm import common
+
+    own = spark.conf.get(common._CLEAN_UP, None)
+    first, second = common._cleaning_up(spark), common._cleaning_up(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(common._CLEAN_UP) == "true"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(common._CLEAN_UP, None) == own

@@ -297,6 +297,12 @@ def test_ids_are_the_library_s(spark):
     odd = spark.createDataFrame([(1, None, "?"), (1, None, "?"), (2, [], "?"), (None, [300], "?")], "doc_id long, ids array<int>, text string").withColumn("id", F.lit(0))
     assert sorted((x.doc_id or 0, x.text == "") for x in sentencepiece_np.decode_documents(odd, path).collect()) == [(0, False), (1, True), (1, True), (2, True)]
     assert sentencepiece_np.decode_documents(odd.limit(0), path).count() == 0
+    holes = spark.createDataFrame([(1, [None, 300, None]), (2, [300]), (3, [None])], "doc_id long, ids array<int>")
+    texts = {r.doc_id: r.text for r in sentencepiece_np.decode_documents(holes, path).collect()}
+    assert texts[1] == texts[2] != "" and texts[3] == ""
+    for bad in (-1, sp.vocab_size()):
+        with pytest.raises(Exception, match="of a model with"):
+            sentencepiece_np.decode_documents(spark.createDataFrame([(1, [5, bad])], "doc_id long, ids array<int>"), path).collect()
     assert sentencepiece_np.encode_documents(odd_docs(spark), path).count() == len(ODD) + 2
 
 

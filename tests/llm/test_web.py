@@ -108,6 +108,7 @@ def test_very_many_equal_rows(spark, tmp_path, monkeypatch):
     made = warc.assemble(records).collect()
     assert len(made) == len(rows) == records.filter("type in ('response', 'revisit')").select("record_id").distinct().count()
     own = {r.capture_id for r in made if r.response.type == "response"}
+    assert sorted(r.response.payload for r in made if r.response.type == "response") == [b""] * 41 + [b"x"] * 95 + [b"z"]
     assert len(own) == 95 + 41 + 1 and {r.response.refers_to for r in made if r.response.type == "revisit"} <= own
 
 
@@ -147,6 +148,20 @@ def test_links_both_ways_and_orphans(spark):
     assert got == {"r1": ("q1", "m1"), "r2": (None, None)}
 
 
+def test_records_without_an_id(spark):
+    """They are told apart by their places, and belong to what they name."""
+    row = lambda i, t, to, at: (i, t, None, None, to, None, None, None, None, 0, "", b"", "f", at)
+    rows = [row(None, "response", [], 0), row(None, "response", ["q1"], 9), row("q1", "request", [], 20), row("r1", "response", [], 30), row(None, "request", ["r1"], 40), row(None, "metadata", [], 50)]
+    got = warc.assemble(spark.createDataFrame(rows, warc.RECORD)).collect()
+    assert sorted((r.capture_id or "", r.response.offset, r.request and r.request.offset, r.metadata) for r in got) == [("", 0, None, None), ("", 9, 20, None), ("r1", 30, 40, None)]
+
+
+@pytest.mark.parametrize("length", ["", "Content-Length: x\r\n", "Content-Length: -5\r\n", "Content-Length: 5\r\nContent-Length: 4\r\n"])
+def test_records_without_a_length_are_errors(length):
+    with pytest.raises(ValueError, match="byte 0 has no Content-Length"):
+        list(warc.parse(f"WARC/1.1\r\nWARC-Type: metadata\r\n{length}\r\nhello\r\n\r\n".encode()))
+
+
 def test_cut_archives_are_errors():
     record = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     assert [(h["warc-type"], b) for _, h, b in warc.parse(record * 2)] == [(["metadata"], b"hello")] * 2
