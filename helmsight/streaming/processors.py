@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,38 +36,52 @@ def _null(x) -> bool:
 
 
 class InOrder(StatefulProcessor):
-    """Steps each robot's rows through one state, a tuple of the columns in STATE."""
+    """Takes each robot's rows in order through one state, a tuple of the columns in STATE.
+
+    A micro-batch's rows of one robot are held at once, so bound the files of a trigger.
+    """
 
     STATE = ""
     START: tuple = ()
     OUTPUT = ""
-    ORDER = ("ts", "event_id")
+    ORDER = ("ts", "event_id", "rank")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.saved = handle.getValueState("state", f"at_ts timestamp_ntz, at_id bigint, at_rank int, late bigint, {self.STATE}")
+        self.columns = [c.split()[0] for c in self.output().split(", ")]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(rows), ignore_index=True)
         if "rank" not in df:
             df["rank"] = 0
-        df = df.sort_values(["ts", "event_id", "rank"], kind="stable")
+        df = df.sort_values(list(self.ORDER), kind="stable", ignore_index=True)
         got = self.saved.get() if self.saved.exists() else None
         at, late, state = (None, 0, list(self.START)) if got is None else ((pd.Timestamp(got[0]), got[1], got[2]), got[3], list(got[4:]))
-        out = []
-        for row in df.to_dict("records"):
-            now = (row["ts"], int(row["event_id"]), int(row["rank"]))
-            if at is not None and now < at:
-                late += 1
-                continue
-            at = now
-            if (made := self.step(state, row)) is not None:
-                out.append({"robot_id": int(key[0]), "event_id": now[1], "late": late, **made})
+        if at is not None:
+            ts, event, rank = (df[c] for c in self.ORDER)
+            passed = (ts < at[0]) | ((ts == at[0]) & ((event < at[1]) | ((event == at[1]) & (rank < at[2]))))
+            late += int(passed.sum())
+            df = df[~passed].reset_index(drop=True)
+        if len(df):
+            at = (df["ts"].iat[-1], int(df["event_id"].iat[-1]), int(df["rank"].iat[-1]))
+            made = self.steps(state, df)
+        else:
+            made = pd.DataFrame(columns=self.columns)
         self.saved.update((at[0].to_pydatetime(), at[1], at[2], late, *state))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.output().split(", ")])
+        yield made.assign(robot_id=int(key[0]), late=late)[self.columns]
 
     def output(self) -> str:
         return f"robot_id bigint, event_id bigint, late bigint, {self.OUTPUT}"
 
+    def steps(self, state: list, df: pd.DataFrame) -> pd.DataFrame:
+        """Change the state in place by rows in order, at least one; output rows with their event_id.
+        Here one row after the other, by `step`; over whole columns where a processor can."""
+        out = []
+        for row in df.to_dict("records"):
+            if (made := self.step(state, row)) is not None:
+                out.append({"event_id": int(row["event_id"]), **made})
+        return pd.DataFrame(out, columns=[c for c in self.columns if c not in ("robot_id", "late")])
+
     def step(self, state: list, row: dict) -> dict | None:
         """Change the state in place; the columns of an output row, if the input row makes one."""
         raise NotImplementedError
@@ -81,12 +96,12 @@ class Toggle(InOrder):
     STATE, START = "pressed int, armed boolean", (0, False)
     OUTPUT = "armed boolean"
 
-    def step(self, state, row):
-        lb = int(row["lb"])
-        if lb and not state[0]:
-            state[1] = not state[1]
-        state[0] = lb
-        return {"armed": state[1]}
+    def steps(self, state, df):
+        lb = df["lb"].astype("int64").to_numpy()
+        before = np.concatenate([[state[0]], lb[:-1]])
+        armed = state[1] ^ (np.cumsum((lb != 0) & (before == 0)) % 2 == 1)
+        state[:] = int(lb[-1]), bool(armed[-1])
+        return df[["event_id"]].assign(armed=armed)
 
 
 class ManualDrive(Toggle):
@@ -94,8 +109,8 @@ class ManualDrive(Toggle):
 
     OUTPUT = "ts timestamp_ntz, armed boolean, rt double, lt double, lla double"
 
-    def step(self, state, row):
-        return {"ts": row["ts"], **super().step(state, row), **{c: row[c] for c in ("rt", "lt", "lla")}}
+    def steps(self, state, df):
+        return super().steps(state, df).join(df[["ts", "rt", "lt", "lla"]])
 
 
 class StatusEdges(InOrder):
@@ -104,12 +119,12 @@ class StatusEdges(InOrder):
     STATE, START = "was string", ("ok",)
     OUTPUT = "edge string"
 
-    def step(self, state, row):
-        now = row["now"]
-        if _null(now) or now == state[0]:
-            return None
-        state[0] = now
-        return {"edge": "recovered" if now == "ok" else "error"}
+    def steps(self, state, df):
+        said = df.loc[df["now"].notna(), ["event_id", "now"]]
+        changed = said[said["now"].to_numpy() != said["now"].shift(fill_value=state[0]).to_numpy()]
+        if len(said):
+            state[0] = str(said["now"].iat[-1])
+        return changed[["event_id"]].assign(edge=np.where(changed["now"] == "ok", "recovered", "error"))
 
 
 class GapFill(InOrder):
@@ -118,12 +133,16 @@ class GapFill(InOrder):
     STATE, START = "shown array<int>", (None,)
     OUTPUT = "pixels array<int>, is_filled boolean"
 
-    def step(self, state, row):
-        if row["status"] == "data_error":
-            return None
-        if row["status"] == "ok":
-            state[0] = [int(x) for x in row["pixels"]]
-        return {"pixels": state[0], "is_filled": row["status"] == "no_frame"}
+    def steps(self, state, df):
+        status = df["status"].to_numpy()
+        places = np.arange(len(df))
+        shown = np.maximum.accumulate(np.where(status == "ok", places, -1))  # -1: what was shown before
+        kept = status != "data_error"
+        pixels = df["pixels"].to_numpy()
+        images = [state[0] if i < 0 else pixels[i] for i in shown[kept]]
+        if shown[-1] >= 0:
+            state[0] = np.asarray(pixels[shown[-1]]).tolist()
+        return pd.DataFrame({"event_id": df["event_id"].to_numpy()[kept], "pixels": pd.Series(images, dtype=object), "is_filled": status[kept] == "no_frame"})
 
 
 class Camera(StatefulProcessor):

@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -302,3 +303,30 @@ def test_most_recent_at_each_trigger(configured, tmp_path):
     finally:
         run.stop()
     assert [x for x in seen if x] == [[(1, 3, 2), (2, 1, 0)], [(1, 4, 2), (2, 2, 0)]]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_columns_step_as_rows_do(seed):
+    """Whole columns, cut into micro-batches anywhere, give what single rows give."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 40))
+    pixels = [list(map(int, rng.integers(0, 9, 3))) for _ in range(n)]
+    df = pd.DataFrame({"event_id": range(n), "ts": pd.Timestamp(0), "lb": rng.integers(0, 2, n), "now": rng.choice(np.array(["ok", "bad", "worse", None], object), n),
+                       "status": rng.choice(["ok", "no_frame", "data_error"], n), "pixels": [np.array(x) for x in pixels]})
+    pressed, armed, was, shown, want = 0, False, "ok", None, ([], [], [])
+    for i in range(n):
+        lb, now, status = df["lb"][i], df["now"][i], df["status"][i]
+        armed, pressed = armed ^ bool(lb and not pressed), lb
+        want[0].append((i, armed))
+        if now is not None and now != was:
+            want[1].append((i, "recovered" if now == "ok" else "error"))
+            was = now
+        shown = pixels[i] if status == "ok" else shown
+        if status != "data_error":
+            want[2].append((i, shown, status == "no_frame"))
+    cuts = sorted({0, n, *map(int, rng.integers(0, n + 1, 3))})
+    for processor, rows in zip((processors.Toggle(), processors.StatusEdges(), processors.GapFill()), want, strict=True):
+        state, got = list(processor.START), []
+        for a, b in zip(cuts, cuts[1:]):
+            got += processor.steps(state, df[a:b].reset_index(drop=True)).itertuples(index=False, name=None)
+        assert [tuple(list(x) if isinstance(x, np.ndarray) else x for x in row) for row in got] == rows
