@@ -2,8 +2,9 @@
 benchmark passages go; what stays is encoded.
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir). Stages drop
-documents by an anti-join with what to drop, which is by broadcast only where that turns
-out to be little. Where ids are null or repeated, which a count of the ids tells, ids do
+documents by an anti-join with what to drop. That is written first, so that its own size
+tells how to join: little is broadcast and the texts stay where they are, and only where it
+is much are both sides shuffled. Where ids are null or repeated, which a count of the ids tells, ids do
 not name rows, and decisions go by the id with the text: a row goes for what its own text
 is, and of exact copies one row stays, also of repeated rows and of rows without an id.
 Without an id, null texts and empty ones are groups of their own.
@@ -35,12 +36,19 @@ def row_name() -> Column:
     return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit(last)), F.lpad(text, 18, "0")).cast("decimal(38,0)")
 
 
+def to_drop(rows: DataFrame) -> DataFrame:
+    """``rows``, written as what a join takes as small or large by the size of its files, so without compression."""
+    return written(rows, "drop", "none")
+
+
 def without(docs: DataFrame, found, drop) -> DataFrame:
-    """``docs`` without those rows for which ``drop`` holds in found(docs, id column)."""
-    if ids_name_rows(docs):
-        return docs.join(found(docs, "doc_id").filter(drop).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    named = docs.withColumn("_name", row_name())
-    return named.join(found(named, "_name").filter(drop).select("_name"), "_name", "left_anti").select(docs.columns)
+    """``docs`` without those rows for which ``drop`` holds in found(docs, id column), a written table, which is deleted."""
+    name = "doc_id" if ids_name_rows(docs) else "_name"
+    named = docs if name == "doc_id" else docs.withColumn("_name", row_name())
+    all_rows = found(named, name)
+    gone = to_drop(all_rows.filter(drop).select(name))
+    discard(all_rows)
+    return named.join(gone, name, "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +58,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if ids_name_rows(docs):
-        return docs.join(exact_dedup(docs).filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+        return docs.join(to_drop(exact_dedup(docs).filter(~F.col("kept")).select("doc_id")), "doc_id", "left_anti").select(docs.columns)
     found = exact_dedup(docs).select("doc_id", "kept", F.col("text_sha256").alias("_sha"))
     rows = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
     # what an id and a text are kept for is one decision, however many rows have both
     groups = found.groupBy("doc_id", "_sha").agg(F.bool_and("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    groups = groups.filter("NOT _kept OR _n > 1").withColumnsRenamed({"doc_id": "_id", "_sha": "_of"})
+    groups = to_drop(groups.filter("NOT _kept OR _n > 1").withColumnsRenamed({"doc_id": "_id", "_sha": "_of"}))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of"))
     repeated = rows.join(groups.filter("_kept"), same, "left_semi")
     none = (F.col("doc_id").isNull() & F.col("text").isNull()).alias("_none")
